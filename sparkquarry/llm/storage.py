@@ -45,13 +45,13 @@ HOT_SHARE = 0.001
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, unique: str) -> DataFrame:
-    """Left join with a right side that has one row a key and the number of left rows in `weight`.
+    """Left join with a right side that has one row a key and in `weight` the number of left rows of that key.
 
     Hot keys (at most 1 / HOT_SHARE of them) are broadcast; their left rows don't meet in one task.
     `unique` is a left column that spreads those rows over the tasks of the other join.
     """
     least = max(1000, int(total * HOT_SHARE))
-    values = [c for c in right.columns if c not in (key, weight)]
+    values = [c for c in right.columns if c != key]
     packed = F.struct(*values)
     hot = right.where(F.col(weight) >= least).select(F.col(key).alias("_k"), packed.alias("_hot"))
     cold = right.where(F.col(weight) < least).select(F.col(key).cast("string").alias("_c"), packed.alias("_cold"))

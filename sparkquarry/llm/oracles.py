@@ -9,3 +9,25 @@ with t as (select doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWE
 g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by 1)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)
 """
+
+op2_url_filter = f"""
+with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+r(rule_host, rule_path, rule_verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+best as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(rule_verdict, length(rule_host || rule_path)) as verdict
+  from h join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
+select h.page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host, '(^|[.])(spam|casino|cheap|free|ads)-') then 'block' else 'allow' end) as verdict
+from h left join best using (page_id)
+"""
+
+op6_chat_format = """
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, turn, role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) t(turn, role)),
+e as (select *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\\\<\\[\\]]', '', 'g')) + 9 as piece from r)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256, sum(piece)::bigint as formatted_chars
+from e group by 1
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,3 +61,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     out = out.join(cold, F.col("_q") == F.col("_c"), "left").drop("_q", "_c")
     out = out.withColumn("_v", F.coalesce("_hot", "_cold")).drop("_hot", "_cold")
     return out.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now; it acts when the JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -20,10 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import lookup, written
+from .storage import BITS, bitmap, lookup, written
 
-#: Size of a bitmap; 2 ** 26 bits are 8 MB.
-BITS = 1 << 26
 #: Bytes of a text that the second step hashes.
 PREFIX = 256
 
@@ -33,17 +31,9 @@ def normalised(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def _bitmap(classes: DataFrame, bit: Column) -> np.ndarray:
-    """Bits of the classes that have two rows or more; at most BITS / 8 bytes reach the driver."""
-    shared = classes.groupBy(bit.alias("bit")).count().where("count > 1")
-    number = F.col("bit") + 1  # these functions count from 1
-    packed = shared.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in packed.toLocalIterator():
-        at = (row["part"] - 1) * 4096
-        block = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[at : at + len(block)] = block[: len(out) - at]
-    return out
+def _shared(classes: DataFrame, bit: Column) -> np.ndarray:
+    """Bits of the classes that have two rows or more."""
+    return bitmap(classes.groupBy(bit.alias("bit")).count().where("count > 1"))
 
 
 def _in(bits: np.ndarray, at: int) -> bool:
@@ -62,7 +52,7 @@ def refined(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digest
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    lengths = spark.sparkContext.broadcast(_bitmap(rows, F.pmod(F.octet_length("t").cast("long"), F.lit(BITS))))
+    lengths = spark.sparkContext.broadcast(_shared(rows, F.pmod(F.octet_length("t").cast("long"), F.lit(BITS))))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = lengths.value
@@ -71,7 +61,7 @@ def refined(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digest
             yield pd.DataFrame({"bit": [_prefix_bit(d) for d in data if _in(bits, len(d) % BITS)]}, dtype="int64")
 
     # A prefix in UTF-8 has at most PREFIX characters, but its length must be that of the whole text.
-    both = spark.sparkContext.broadcast(_bitmap(rows.select("t").mapInPandas(prefixes, "bit long"), F.col("bit")))
+    both = spark.sparkContext.broadcast(_shared(rows.select("t").mapInPandas(prefixes, "bit long"), F.col("bit")))
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = lengths.value, both.value

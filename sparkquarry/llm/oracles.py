@@ -31,3 +31,19 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256, sum(piece)::bigint as formatted_chars
 from e group by 1
 """
+
+op8_minhash_dedup = f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+  from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 75 * (na + nb - c)),
+d as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as low from documents union select d.b, r.low from r join d on d.a = r.node where r.low < d.b)
+select doc_id, len(sh)::bigint as n_shingles, min(low) as component_id, min(low) = doc_id as kept from s join r on r.node = doc_id group by doc_id, sh
+"""

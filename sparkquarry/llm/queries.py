@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, katz, packing, quality, toxicity, urls
+from . import bpe, chat, exact, katz, minhash, packing, quality, toxicity, urls
 from .urls import Rule
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -68,3 +68,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document; a seventh of the ids is held out."""
     return katz.scores(_table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,19 @@ def cleaned(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now; it acts when the JVM collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Size of a bitmap of classes; 2 ** 26 bits are 8 MB for any input.
+BITS = 1 << 26
+
+
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """Bytes with the bits that a column `bit` of numbers below BITS names. At most BITS / 8 bytes reach the driver."""
+    number = F.col("bit") + 1  # these functions count from 1
+    packed = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for row in packed.toLocalIterator():
+        at = (row["part"] - 1) * 4096
+        block = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[at : at + len(block)] = block[: len(out) - at]
+    return out

@@ -47,3 +47,14 @@ d as (select a, b from l union all select b, a from l),
 r as (select doc_id as node, doc_id as low from documents union select d.b, r.low from r join d on d.a = r.node where r.low < d.b)
 select doc_id, len(sh)::bigint as n_shingles, min(low) as component_id, min(low) = doc_id as kept from s join r on r.node = doc_id group by doc_id, sh
 """
+
+op7_embedding_dedup = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as node, vec_id as low from embeddings union select d.b, r.low from r join d on d.a = r.node where r.low < d.b),
+c as (select node, min(low) as component_id from r group by 1),
+n as (select a, count(*) as n from d group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, component_id = vec_id as kept from embeddings join c on node = vec_id left join n on a = vec_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, katz, minhash, packing, quality, toxicity, urls
+from . import bpe, chat, epsgrid, exact, katz, minhash, packing, quality, toxicity, urls
 from .urls import Rule
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -73,3 +73,8 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return epsgrid.linked(_table(spark, sf_dir, "embeddings"), 0.9)

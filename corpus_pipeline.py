@@ -8,7 +8,11 @@ from sparkquarry.llm import stages
 from sparkquarry.llm.storage import written
 
 STAGES = [
+    ("quality_classifier", stages.quality_filter),
+    ("toxicity", stages.toxicity_filter),
     ("exact_dedup", stages.exact_dedup),
+    ("minhash_dedup", stages.minhash_dedup),
+    ("best_fit_packing", stages.best_fit_packing),
 ]
 
 #: The classifiers are fitted by gradient steps, which SQL can't state; tests hold the pipeline against a plain version.

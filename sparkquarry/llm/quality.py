@@ -225,6 +225,21 @@ def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "
     return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInPandas(run, f"`{key}` {kind}, score double, predicted int")
 
 
+def predicted(machine: Machine, docs: DataFrame):
+    """A function of a text column: 1 for good quality, else 0; the other columns of a row don't pass through Python."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = sent.value
+        buckets = _Buckets(m.settings.hashed)
+        for texts in batches:
+            texts = list(texts)
+            parts = [m.score(texts[i : i + 256], buckets) >= 0.5 for i in range(0, len(texts), 256)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool)).astype("int32")
+
+    return F.pandas_udf(run, "int")
+
+
 def judged(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row, learned outside the held-out fold."""
     out = scored(docs, learned(docs, labels, label, parts, held_out))

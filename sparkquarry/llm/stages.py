@@ -8,7 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact
+from . import exact, minhash, packing, quality, toxicity
+
+CAPACITIES = [512, 1024, 2048, 4096, 8192]
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What classifiers are fitted on: the labelled documents as they came, whatever an earlier stage has dropped."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -16,8 +27,31 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality."""
+    machine = quality.learned(_documents(spark, sf_dir), _labels(spark, sf_dir), "quality", 3, 1)
+    return docs.where(quality.predicted(machine, docs)("text") == 1)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic."""
+    lexicon = toxicity.learned(_documents(spark, sf_dir), _labels(spark, sf_dir), "toxic", 5, 0)
+    return docs.where(toxicity.predicted(lexicon)("text") == 0)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of all documents with the same text, A-Z in either case; the one with the largest key."""
     found = exact.exact_duplicates(docs)
     kept = _only(docs, found.where("kept").select(F.col("doc_id").alias("_id")))
-    mark = F.xxhash64("text")
-    return kept.withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, the one with the smallest key."""
+    found = minhash.near_duplicates(docs)
+    return _only(docs, found.where("kept").select(F.col("doc_id").alias("_id")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A place in a bin for every document; the length is its number of words and one."""
+    return packing.packed(packing.words(docs.select("doc_id", "text")), "n_words", CAPACITIES)

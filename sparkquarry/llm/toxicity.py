@@ -251,6 +251,20 @@ def scored(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "
     return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInPandas(run, f"`{key}` {kind}, score double, predicted int, matches array<string>")
 
 
+def predicted(lexicon: Lexicon):
+    """A function of a text column: 1 for toxic, else 0; the other columns of a row don't pass through Python."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)
+        for texts in batches:
+            clean = [folded(t) if t else "  " for t in texts]
+            raw = np.array([sum(matcher.words(t).values()) for t in clean], float)
+            score = lexicon.score(raw, np.array([t.count(" ") for t in clean], float))
+            yield pd.Series((score >= 0.5).astype("int32"))
+
+    return F.pandas_udf(run, "int")
+
+
 def judged(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted, matches) of each row, learned outside the held-out fold."""
     out = scored(docs, learned(docs, labels, label, parts, held_out))

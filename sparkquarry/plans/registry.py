@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import corpus, oracles
+
 
 def queries() -> dict:
-    return {}
+    return {name: getattr(corpus, name) for name in oracles.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -1 +1 @@
-
+"""Column functions that rules and queries share."""

@@ -1,0 +1,60 @@
+"""Queries over the sample units: program text is not in the driver's tables, and SQL can't parse it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkquarry.sources import files, sinks
+
+from . import analysis, catalogue, samples
+
+
+def _tables(spark):
+    return files.tables(files.in_memory(spark, samples.SOURCES))
+
+
+def code_tree(spark, sf_dir):
+    return _tables(spark).ast
+
+
+def code_tokens(spark, sf_dir):
+    return _tables(spark).tok
+
+
+def code_lines(spark, sf_dir):
+    return _tables(spark).lines
+
+
+def form_components(spark, sf_dir):
+    return _tables(spark).comp
+
+
+def form_properties(spark, sf_dir):
+    return _tables(spark).prop
+
+
+def source_facts(spark, sf_dir):
+    return _tables(spark).texts.select("file_id", "bom", "valid_utf8", "non_ascii", "control_line", "high_line")
+
+
+def rule_catalogue(spark, sf_dir):
+    return spark.createDataFrame([(r.rule_id, r.kind, r.severity, r.type, r.confidence) for r in catalogue.RULES.values()], "rule_id string, kind string, severity int, type string, confidence int")
+
+
+def _profile(name: str):
+    def query(spark, sf_dir):
+        return analysis.scan(files.in_memory(spark, samples.SOURCES), analysis.Settings(profile=name, least_confidence=0))
+
+    return query
+
+
+scan_security = _profile("security")
+scan_forms = _profile("dfm-only")
+scan_style = _profile("style")
+
+
+def scan_sarif(spark, sf_dir):
+    return sinks.sarif_results(scan_security(spark, sf_dir)).select("file_id", F.col("value"))
+
+
+NAMES = ["code_tree", "code_tokens", "code_lines", "form_components", "form_properties", "source_facts", "rule_catalogue", "scan_security", "scan_forms", "scan_style", "scan_sarif"]

@@ -1,12 +1,12 @@
-"""Queries over the driver's tables, each with the SQL that states the same result."""
+"""Queries over the driver's tables, each with the SQL that states the same result, and queries over program text."""
 
 from __future__ import annotations
 
-from . import corpus, oracles
+from . import code_queries, corpus, oracles
 
 
 def queries() -> dict:
-    return {name: getattr(corpus, name) for name in oracles.SQL}
+    return {name: getattr(corpus, name) for name in oracles.SQL} | {name: getattr(code_queries, name) for name in code_queries.NAMES}
 
 
 def oracle_sql() -> dict[str, str]:

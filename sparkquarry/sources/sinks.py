@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from sparkquarry.operators import findings, scoring
 from sparkquarry.plans import catalogue
 
-LEVELS = F.create_map(*[F.lit(x) for pair in ((0, "error"), (1, "warning"), (2, "note")) for x in pair])
-NAMES = F.create_map(*[F.lit(x) for pair in ((0, "Error"), (1, "Warning"), (2, "Hint")) for x in pair])
+
+def level(severity: Column) -> Column:
+    return F.when(severity == 0, "error").when(severity == 1, "warning").otherwise("note")
+
+
+def severity_name(severity: Column) -> Column:
+    return F.when(severity == 0, "Error").when(severity == 1, "Warning").otherwise("Hint")
 
 
 def _flat(text: Column) -> Column:
@@ -27,7 +32,7 @@ def sarif_results(found: DataFrame) -> DataFrame:
     prints = [line_hash.alias("primaryLocationLineHash")]
     if "context_hash" in found.columns:
         prints.append(F.col("context_hash").alias("contextHash/v1"))
-    result = F.struct(F.col("rule_id").alias("ruleId"), LEVELS[F.col("severity").cast("int")].alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(*prints).alias("partialFingerprints"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(*prints).alias("partialFingerprints"))
     return found.where(F.col("kind") != findings.EXEMPT).select("file_id", "line", F.to_json(result).alias("value"))
 
 
@@ -56,17 +61,17 @@ def sonar_issues(found: DataFrame) -> DataFrame:
 
 def csv(found: DataFrame, path: str) -> None:
     """Parts of a semicolon table File;Method;Line;Kind;Severity;Detail."""
-    rows = found.select(F.col("file_id").alias("File"), F.col("method").alias("Method"), F.col("line").alias("Line"), F.col("kind").alias("Kind"), NAMES[F.col("severity").cast("int")].alias("Severity"), _flat(F.col("message")).alias("Detail"))
+    rows = found.select(F.col("file_id").alias("File"), F.col("method").alias("Method"), F.col("line").alias("Line"), F.col("kind").alias("Kind"), severity_name(F.col("severity")).alias("Severity"), _flat(F.col("message")).alias("Detail"))
     rows.write.option("header", "true").option("sep", ";").option("quote", '"').option("escape", '"').mode("overwrite").csv(path)
 
 
 def json_lines(found: DataFrame) -> DataFrame:
-    return found.select(F.to_json(F.struct(F.col("file_id").alias("file"), "method", "line", "kind", NAMES[F.col("severity").cast("int")].alias("severity"), F.col("message").alias("detail"), F.col("rule_id").alias("ruleId"))).alias("value"))
+    return found.select(F.to_json(F.struct(F.col("file_id").alias("file"), "method", "line", "kind", severity_name(F.col("severity")).alias("severity"), F.col("message").alias("detail"), F.col("rule_id").alias("ruleId"))).alias("value"))
 
 
 def grouped_text(found: DataFrame, least_severity: int = findings.HINT, wiki: bool = False) -> DataFrame:
     """(file_id, body): the findings of a file as lines, in order; wiki adds the marks of an issue tracker."""
-    row = F.struct("line", F.concat(F.lit("* " if wiki else ""), F.format_string("%d: [%s] %s", "line", NAMES[F.col("severity").cast("int")], _flat(F.col("message")))).alias("text"))
+    row = F.struct("line", F.concat(F.lit("* " if wiki else ""), F.format_string("%d: [%s] %s", "line", severity_name(F.col("severity")), _flat(F.col("message")))).alias("text"))
     head = F.concat(F.lit("h3. " if wiki else ""), F.col("file_id"), F.lit("\n"))
     grouped = found.where(F.col("severity") <= least_severity).groupBy("file_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return grouped.select("file_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("body"))

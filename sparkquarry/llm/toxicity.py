@@ -56,7 +56,8 @@ class Settings:
     shortest: int = 3
     longest: int = 8
     least_documents: int = 3
-    least_share: float = 0.01
+    least_share: float = 0.02
+    least_surprise: float = 16.0
     least_odds: float = 20.0
     steps: int = 400
 
@@ -132,6 +133,12 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def _surprise(bad: int, good: int, share: float) -> float:
+    """Log-likelihood ratio of a pattern's documents against the share of bad documents among all."""
+    n = bad + good
+    return 2 * (bad * np.log(bad / (n * share)) + (good * np.log(good / (n * (1 - share))) if good else 0.0))
+
+
 def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, s: Settings = Settings()) -> Lexicon:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,18 +174,19 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
             yield pd.DataFrame({"pattern": list(seen), "n": list(seen.values())})
 
     in_good = dict(sample.where("label = 0").mapInPandas(of_good, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect())
-    odds = {p: ((t + 0.5) / (bad + 1)) / ((in_good.get(p, 0) + 2) / (good + 2)) for p, t in in_bad.items()}
-    strong = {p: float(np.log(x)) for p, x in odds.items() if x >= s.least_odds and in_bad[p] > in_good.get(p, 0)}
+    odds = {p: ((t + 0.5) / (bad + 1)) / ((in_good.get(p, 0) + 0.5) / (good + 1)) for p, t in in_bad.items()}
+    strong = {p: float(np.log(x)) for p, x in odds.items() if x >= s.least_odds and _surprise(in_bad[p], in_good.get(p, 0), bad / (bad + good)) >= s.least_surprise}
     entries: dict[str, float] = {}
-    longer: dict[str, int] = {}  # the most documents that any extension of a beginning has
+    longer: dict[str, tuple[int, float]] = {}  # the most documents that any extension of a beginning has, and its weight
     for p in strong:
         word = p.strip()
         for n in range(s.shortest, len(word) + (p[-1] == " ")):
             if (short := f" {word[:n]}") != p:
-                longer[short] = max(longer.get(short, 0), in_bad[p])
+                longer[short] = max(longer.get(short, (0, 0.0)), (in_bad[p], strong[p]))
     for p in sorted(strong, key=lambda x: (len(x), x)):
-        if longer.get(p, 0) >= 0.95 * in_bad[p]:
-            continue  # a longer entry finds the same documents with less risk
+        most, weight = longer.get(p, (0, 0.0))
+        if most >= 0.95 * in_bad[p] or most >= 0.5 * in_bad[p] and weight >= strong[p] + 1:
+            continue  # a longer entry finds the same documents, or most of them, with less risk
         if any(p.startswith(q) and strong[q] >= strong[p] - 0.7 for q in (p[: n + 1] for n in range(s.shortest, len(p))) if q in entries):
             continue  # a shorter one is about as sure
         entries[p] = strong[p]
@@ -209,16 +217,22 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
 
 
 def _calibrated(raw: np.ndarray, words: np.ndarray, y: np.ndarray, steps: int) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps; a small ridge keeps separable data finite."""
+    """Logistic regression by Newton steps; a small ridge keeps separable data finite. Slopes that come out negative are left out."""
     x = np.stack([np.ones(len(y)), np.log1p(raw), np.log1p(1000 * raw / (words + 50))], axis=1)
-    b = np.zeros(3)
-    for _ in range(min(steps, 50)):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (p - y) + 0.05 * b)
-        b -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(b[0]), float(b[1]), float(b[2])
+    used = [0, 1, 2]
+    while True:
+        z, b = x[:, used], np.zeros(len(used))
+        for _ in range(min(steps, 50)):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(used)), z.T @ (p - y) + 0.05 * b)
+            b -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        negative = [i for i, v in zip(used, b, strict=True) if i and v < 0]
+        if not negative:
+            out = dict(zip(used, map(float, b), strict=True))
+            return out[0], out.get(1, 0.0), out.get(2, 0.0)
+        used.remove(negative[0])
 
 
 def _measure(lexicon: Lexicon, columns: list[str]):

@@ -8,7 +8,7 @@ import corpus_pipeline
 from sparkquarry.llm import packing, stages
 from sparkquarry.llm.storage import written
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

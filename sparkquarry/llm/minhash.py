@@ -2,18 +2,20 @@
 
 A document's set has its distinct five-word shingles. Equal sets are one text from here on: its smallest key stands for
 all. TREES independent trees are grown. A root takes one minwise coordinate and sends each text to the child named by
-its token there. A child with more than SMALL texts branches again, each branch by another coordinate that the
-path picks, up to DEPTH coordinates. Two texts of similarity s share a child of a root with probability s.
+its token there. A node with more than SMALL texts branches again as STEPS say, each branch by coordinates of its own.
+Two texts of similarity s share a child of a root with probability s, and a child by m coordinates with s ** m.
 
 Links are confirmed in two rounds, because only components are asked for:
   1. In every node, large or small, each text is held against the node's leader, its smallest key. So a
      group of copies is joined by as many comparisons as it has texts, however large.
-  2. Nodes whose texts are already in one component are done. In the others small nodes are compared exhaustively; those
-     still large at the last depth are compared in blocks, each text of a smaller component against all blocks.
-     A pair is compared only across components, and sent on for confirmation unless its sketches differ too much.
+  2. Nodes whose texts are already in one component are done. In the others small nodes are compared exhaustively, on
+     sketches first and then on sets of 32-bit hashes, where collisions can only add links. A node sends on no more pairs
+     than join its components, so no group gives more rows than it has texts. Nodes that are still large at the last
+     depth are compared in blocks, each text outside the largest component against all blocks.
 Sketches have SKETCH bytes, one of each coordinate; a pair at the threshold agrees in 3/4 of them, and passes from 1/2 on,
 which it misses with a probability below one in 100,000. TREES = 10 leave one pair in a million apart at the threshold
-where nodes are small.
+where nodes are small; within groups so large that STEPS are used up it is about one in fifty, unless other members link
+the two.
 
 A confirmation counts common shingles of two whole texts. Texts without words have an empty set and no links.
 """
@@ -28,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import Forest, components
 from .storage import BITS, bitmap, cleaned, lookup, release, written
 
 WORDS = 5
 TREES = 10
-DEPTH = 4
-#: Branches of a large node.
-BRANCHES = 2
+#: Branches of a large node and coordinates of each, by depth.
+STEPS = [(2, 1), (2, 1), (2, 1), (1, 4), (1, 8)]
+DEPTH = len(STEPS) + 1
 SMALL = 48
 BLOCK = 128
 SKETCH = 64
@@ -52,7 +54,7 @@ class Words(dict):
     """64-bit hash by word; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -91,7 +93,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """(k, n, same, tokens, sketch): size, a hash of the set, minwise tokens for paths, and a byte of each for the sketch."""
-    used = TREES + DEPTH * BRANCHES
+    used = TREES + sum(b * c for b, c in STEPS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -114,7 +116,7 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tokens = np.frombuffer(b"".join(pdf["tokens"]), "<u8").reshape(len(pdf), -1) if len(pdf) else np.zeros((0, TREES + DEPTH * BRANCHES), np.uint64)
+            tokens = np.frombuffer(b"".join(pdf["tokens"]), "<u8").reshape(len(pdf), -1) if len(pdf) else np.zeros((0, SKETCH), np.uint64)
             key = pdf["k"].to_numpy(np.int64)
             paths = []
             if depth == 0:
@@ -122,9 +124,13 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
                     paths.append(_mixed(tokens[:, tree] * np.uint64(2 * tree + 3)))
             else:
                 old = pdf["path"].to_numpy(np.int64).astype(np.uint64)
-                for b in range(BRANCHES):
-                    at = TREES + (depth - 1) * BRANCHES + b
-                    paths.append(_mixed(old * np.uint64(0x9E3779B97F4A7C15) + tokens[:, at] + np.uint64(b)))
+                at = TREES + sum(b * c for b, c in STEPS[: depth - 1])
+                for b in range(STEPS[depth - 1][0]):
+                    path = _mixed(old * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))
+                    for _ in range(STEPS[depth - 1][1]):
+                        path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + tokens[:, at])
+                        at += 1
+                    paths.append(path)
             yield pd.DataFrame({"path": np.concatenate(paths).astype(np.int64), "k": np.tile(key, len(paths))})
 
     return nodes.mapInPandas(run, "path long, k long")
@@ -195,33 +201,79 @@ def _across(k, c, n, s, k2, c2, n2, s2) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _exhaustive(small: DataFrame) -> DataFrame:
-    """Pairs within nodes (path, k, c, n, sketch) across components; a node has SMALL rows at most."""
+def _by_node(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """work(arrays of one node) for each node of small ones; a node's rows are together, and a task holds a batch of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(path, k, c, n, s) -> pd.DataFrame:
-            cut = np.flatnonzero(np.diff(path)) + 1
-            edges = np.concatenate(([0], cut, [len(path)]))
-            found = [_across(*[x[i:j] for x in (k, c, n, s)] * 2) for i, j in zip(edges[:-1], edges[1:], strict=True) if j - i > 1]
-            a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
-            b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
-            return pd.DataFrame({"a": a[a < b], "b": b[a < b]}).drop_duplicates()
+        def out(pdf: pd.DataFrame) -> pd.DataFrame:
+            path = pdf["path"].to_numpy(np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
+            found = [work(pdf.iloc[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True) if j - i > 1]
+            found = [f for f in found if len(f)]
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in schema.split(", ")})
 
         held = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            now = [pdf[x].to_numpy(np.int64) for x in ("path", "k", "c", "n")] + [np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)]
-            if held is not None:
-                now = [np.concatenate((x, y)) for x, y in zip(held, now, strict=True)]
-            end = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            held = [x[end:] for x in now]
+            now = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            end = int(np.searchsorted(now["path"].to_numpy(np.int64), now["path"].iloc[-1]))  # the last node may go on
+            held = now.iloc[end:]
             if end:
-                yield out(*[x[:end] for x in now])
+                yield out(now.iloc[:end])
         if held is not None:
-            yield out(*held)
+            yield out(held)
+
+    return rows.repartition("path").sortWithinPartitions("path", "k").select("path", "k", *columns).mapInPandas(run, schema)
+
+
+def _hopeful(small: DataFrame) -> DataFrame:
+    """(path, k) of the texts that have a partner in another component of their node by sketches."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, c, n = (pdf[x].to_numpy(np.int64) for x in ("k", "c", "n"))
+        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+        a, b = _across(k, c, n, s, k, c, n, s)
+        return pdf.loc[np.isin(k, a) | np.isin(k, b), ["path", "k"]]
+
+    return _by_node(small, ["c", "n", "sketch"], "path long, k long", work)
+
+
+def _short_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, set) of the texts that keys names: their shingles in 32 bits."""
 
-    return small.repartition("path").sortWithinPartitions("path", "k").select("path", "k", "c", "n", "sketch").mapInPandas(run, "a long, b long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in batches:
+            sets = [np.unique((shingles(t, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in pdf["t"]]
+            yield pd.DataFrame({"k": pdf["_k"], "set": sets})
+
+    return _needed(docs, keys.select(F.col("k").alias("a"), F.col("k").alias("b"))).mapInPandas(run, "k long, set binary").dropDuplicates(["k"])
+
+
+def _exhaustive(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small nodes (path, k, c, n, set) that reach the threshold and join their components."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, c, n = (pdf[x].to_numpy(np.int64) for x in ("k", "c", "n"))
+        sets = [np.frombuffer(bytes(x), np.uint32) for x in pdf["set"]]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(k)), size)
+        common = np.zeros((len(k), len(k)))
+        for low in range(0, int(at.max()) + 1 if len(at) else 0, 8192):
+            here = (at >= low) & (at < low + 8192)
+            x = np.zeros((len(k), 8192), np.float32)
+            x[row[here], at[here] - low] = 1
+            common += x @ x.T
+        good = (100 * common >= 75 * (n[:, None] + n[None, :] - common)) & (c[:, None] != c[None, :])
+        forest, out = Forest(), []
+        for i, j in zip(*np.nonzero(np.triu(good, 1)), strict=True):
+            if forest.join(int(c[i]), int(c[j])):
+                out.append((min(k[i], k[j]), max(k[i], k[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return _by_node(small, ["c", "n", "set"], "a long, b long", work)
 
 
 def _blocks(large: DataFrame, main: DataFrame) -> DataFrame:
@@ -287,7 +339,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tagged = written(tagged, "tagged")
     mixed = tagged.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("path")
     open_ = written(tagged.join(mixed, "path", "left_semi").withColumnRenamed("n", "size").join(sketches, "k"), "open")
-    small = _exhaustive(open_.where(F.col("size") <= SMALL))
+    in_small = open_.where(F.col("size") <= SMALL)
+    hopeful = written(_hopeful(in_small), "hopeful")
+    sets = _short_sets(sources, hopeful)
+    small = _exhaustive(hopeful.join(in_small.select("path", "k", "c", "n"), ["path", "k"]).join(sets, "k"))
     large = open_.where(F.col("size") > SMALL)
     counts = large.groupBy("path", "c").count().groupBy("path").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     more = written(small.unionAll(_blocks(large, counts)).distinct(), "pairs")

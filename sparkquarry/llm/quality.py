@@ -105,7 +105,7 @@ class _Buckets(dict):
         self.n = n
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = at = zlib.crc32(word.lower()) % self.n
         return at

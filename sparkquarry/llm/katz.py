@@ -41,8 +41,8 @@ FIXED = 0.01
 HEAD = 1024
 FREQUENT = 1 << 19
 #: Pairs of a bucket, and pairs that a task packs at a time.
-BUCKET = 2_000_000
-CHUNK = 1_000_000
+BUCKET = 800_000
+CHUNK = 400_000
 START, END = 1, 2
 #: Bits of a context or a word in a packed pair: a flag and the place in the frequent table, or a hash.
 BITS = 40
@@ -54,7 +54,7 @@ class Words(dict):
     """64-bit hash by word; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = max(xxhash.xxh64_intdigest(word), 3)
         return h
@@ -138,21 +138,29 @@ def _counts(docs: DataFrame, head: np.ndarray) -> DataFrame:
             keys = np.fromiter((words[w] if isinstance(w, bytes) else w for w in seen), np.uint64, len(seen))
             return pd.DataFrame({"kind": 0, "key": keys.astype(np.int64), "n": list(seen.values())})
 
+        def within(held: list[np.ndarray]) -> None:
+            h = np.concatenate(held)
+            at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+            at = np.where(head[at] == h, at, -1)
+            both = (at[:-1] >= 0) & (at[1:] >= 0) & (h[:-1] != END)
+            np.add.at(square, at[:-1][both] * HEAD + at[1:][both], 1)
+
         for pdf in batches:
             held: list[np.ndarray] = []
+            size = 0
             for t in pdf["t"]:
                 if t:
                     seen.update(t.encode("utf-8", "surrogatepass").lower().split())
                 seen[END] += 1
-                held.append(words.hashes(t))
-                held.append(np.zeros(1, np.uint64))  # between texts
-            if held and len(head):
-                h = np.concatenate(held)
-                at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-                at = np.where(head[at] == h, at, -1)
-                both = (at[:-1] >= 0) & (at[1:] >= 0) & (h[:-1] != END)
-                square += np.bincount(at[:-1][both] * HEAD + at[1:][both], minlength=HEAD * HEAD)
-            if len(seen) > 700_000:
+                if len(head):
+                    held += [words.hashes(t), np.zeros(1, np.uint64)]  # a zero between texts
+                    size += len(held[-2])
+                    if size > 100_000:
+                        within(held)
+                        held, size = [], 0
+            if held:
+                within(held)
+            if len(seen) > 400_000:
                 yield out()
                 seen.clear()
         yield out()

@@ -2,7 +2,8 @@
 
 A document's set has its distinct five-word shingles. Equal sets are one text from here on: its smallest key stands for
 all. TREES independent trees are grown. A root takes one minwise coordinate and sends each text to the child named by
-its token there. A node with more than SMALL texts branches again as STEPS say, each branch by coordinates of its own.
+its token there. A node with more than SMALL texts branches again as STEPS say. The path to a branch, and so the tree,
+chooses its coordinates among those that no root takes.
 Two texts of similarity s share a child of a root with probability s, and a child by m coordinates with s ** m.
 
 Links are confirmed in two rounds, because only components are asked for:
@@ -14,8 +15,8 @@ Links are confirmed in two rounds, because only components are asked for:
      depth are compared in blocks, each text outside the largest component against all blocks.
 Sketches have SKETCH bytes, one of each coordinate; a pair at the threshold agrees in 3/4 of them, and passes from 1/2 on,
 which it misses with a probability below one in 100,000. TREES = 10 leave one pair in a million apart at the threshold
-where nodes are small; within groups so large that STEPS are used up it is about one in fifty, unless other members link
-the two.
+where nodes are small; in a simulation of 4,000 pairs at the threshold within groups that stay large, all trees together
+kept 99.98 % of pairs in a common node up to depth 3, 98.8 % at depth 4 and 54.3 % at depth 5, where blocks are compared.
 
 A confirmation counts common shingles of two whole texts. Texts without words have an empty set and no links.
 """
@@ -93,7 +94,6 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """(k, n, same, tokens, sketch): size, a hash of the set, minwise tokens for paths, and a byte of each for the sketch."""
-    used = TREES + sum(b * c for b, c in STEPS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -103,7 +103,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 s = shingles(t, words)
                 if len(s):
                     m = minwise(s)
-                    out.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()), m[:used].astype("<u8").tobytes(), (m & np.uint64(255)).astype(np.uint8).tobytes()))
+                    out.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()), m.astype("<u8").tobytes(), (m & np.uint64(255)).astype(np.uint8).tobytes()))
                 else:
                     out.append((k, 0, None, None, None))
             yield pd.DataFrame(out, columns=["k", "n", "same", "tokens", "sketch"])
@@ -124,12 +124,12 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
                     paths.append(_mixed(tokens[:, tree] * np.uint64(2 * tree + 3)))
             else:
                 old = pdf["path"].to_numpy(np.int64).astype(np.uint64)
-                at = TREES + sum(b * c for b, c in STEPS[: depth - 1])
+                row = np.arange(len(pdf))
                 for b in range(STEPS[depth - 1][0]):
                     path = _mixed(old * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))
                     for _ in range(STEPS[depth - 1][1]):
-                        path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + tokens[:, at])
-                        at += 1
+                        at = TREES + (_mixed(path) % np.uint64(SKETCH - TREES)).astype(np.int64)
+                        path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + tokens[row, at])
                     paths.append(path)
             yield pd.DataFrame({"path": np.concatenate(paths).astype(np.int64), "k": np.tile(key, len(paths))})
 

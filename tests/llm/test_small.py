@@ -105,6 +105,17 @@ def test_minhash_against_brute_force(spark, monkeypatch):
     assert got == {k: find(k) for k in sets}
 
 
+def test_minhash_trees_have_their_own_coordinates(spark):
+    """Texts that differ in a few coordinates only share children in most trees, whichever coordinates these are."""
+    one = np.arange(minhash.SKETCH, dtype=np.uint64) + np.uint64(7)
+    for first in range(minhash.TREES, minhash.SKETCH - 3, 9):
+        two = one.copy()
+        two[first : first + 4] += np.uint64(1000)
+        rows = spark.createDataFrame([(1, one.astype("<u8").tobytes()), (2, two.astype("<u8").tobytes())], "k long, tokens binary")
+        nodes = minhash._children(minhash._children(rows, 0).join(rows, "k"), 1)
+        assert nodes.groupBy("path").count().where("count = 2").count() >= minhash.TREES
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 200)], "a long, b long").repartition(7)
     got = {r["node"]: r["component"] for r in components(links).collect()}

@@ -6,17 +6,20 @@ its token there. A node with more than SMALL texts branches again as STEPS say.
 chooses its coordinates among those that no root takes.
 Two texts of similarity s share a child of a root with probability s, and a child by m coordinates with s ** m.
 
-Links are confirmed in two rounds, because only components are asked for:
-  1. In every node, large or small, each text is held against the node's leader, its smallest key. So a
-     group of copies is joined by as many comparisons as it has texts, however large.
-  2. Nodes whose texts are already in one component are done. In the others small nodes are compared exhaustively, on
-     sketches first and then on sets of 32-bit hashes, where collisions can only add links. A node sends on no more pairs
-     than join its components, so no group gives more rows than it has texts. Nodes that are still large at the last
-     depth are compared in blocks, each text outside the largest component against all blocks.
-Sketches have SKETCH bytes, one of each coordinate; a pair at the threshold agrees in 3/4 of them, and passes from 1/2 on,
-which it misses with a probability below one in 100,000. TREES = 10 leave one pair in a million apart at the threshold
-where nodes are small; in a simulation of 4,000 pairs at the threshold within groups that stay large, all trees together
-kept 99.98 % of pairs in a common node up to depth 3, 98.8 % at depth 4 and 54.3 % at depth 5, where blocks are compared.
+Links are confirmed in three rounds, because only components are asked for:
+  1. In every root each text is held against the root's leader, its smallest key. So a group of copies is joined by as
+     many comparisons as it has texts, however large.
+  2. Nodes whose texts are already in one component are done, at any depth. A large node with more than SMALL texts
+     outside its main component branches. In every large node texts are held against a leader that is another one in
+     each node, where components differ.
+  3. Nodes that don't branch and still hold several components are compared in full: small ones on sketches first and
+     then on sets of 32-bit hashes, where collisions can only add links; a small node sends on no more pairs than join
+     its components. In large ones, and in all nodes of the last depth, each text outside the main component is held
+     against all texts, in blocks.
+So every pair of different components that shares a node which doesn't branch is compared. Sketches have SKETCH bytes, one
+of each coordinate; a pair at the threshold agrees in 3/4 of them, and passes from 1/2 on, which it misses with a
+probability below one in 100,000. At the threshold a branching node keeps a pair in 3/2 of its branches on average, so
+depth loses few pairs: of 4,000 simulated pairs in groups that stay large, 99.98 % shared a node of the last depth.
 
 A confirmation counts common shingles of two whole texts. Texts without words have an empty set and no links.
 """
@@ -37,7 +40,7 @@ from .storage import BITS, bitmap, cleaned, lookup, release, written
 WORDS = 5
 TREES = 10
 #: Branches of a large node and coordinates of each, by depth.
-STEPS = [(2, 1), (2, 1), (2, 1), (1, 4), (1, 8)]
+STEPS = [(2, 1)] * 6
 DEPTH = len(STEPS) + 1
 SMALL = 48
 BLOCK = 128
@@ -112,12 +115,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    """(path, k) of the next depth for rows (path, k, tokens); depth 0 grows the roots of all trees."""
+    """(path, k) of the next depth for rows (path, k, tokens), with c where rows have it; depth 0 grows the roots of all trees."""
+    kept = [c for c in ("k", "c") if c in nodes.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens = np.frombuffer(b"".join(pdf["tokens"]), "<u8").reshape(len(pdf), -1) if len(pdf) else np.zeros((0, SKETCH), np.uint64)
-            key = pdf["k"].to_numpy(np.int64)
             paths = []
             if depth == 0:
                 for tree in range(TREES):
@@ -131,9 +134,9 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
                         at = TREES + (_mixed(path) % np.uint64(SKETCH - TREES)).astype(np.int64)
                         path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + tokens[row, at])
                     paths.append(path)
-            yield pd.DataFrame({"path": np.concatenate(paths).astype(np.int64), "k": np.tile(key, len(paths))})
+            yield pd.DataFrame({"path": np.concatenate(paths).astype(np.int64)} | {c: np.tile(pdf[c].to_numpy(np.int64), len(paths)) for c in kept})
 
-    return nodes.mapInPandas(run, "path long, k long")
+    return nodes.mapInPandas(run, ", ".join(f"{c} long" for c in ["path", *kept]))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
@@ -141,6 +144,23 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("k").alias("leader")).where("n > 1")
 
 
+def _mixed_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes (path, k, c) that hold several components: (path, size, main, rest, leader, leads).
+
+    main is the component that most texts have, rest the number of the others; leader is a text that the path chooses, and
+    leads its component.
+    """
+    chosen = F.min(F.struct(F.xxhash64("path", "k").alias("h"), "k", "c")).alias("one")
+    parts = rows.groupBy("path", "c").agg(F.count("*").alias("w"), chosen)
+    nodes = parts.groupBy("path").agg(F.count("*").alias("parts"), F.sum("w").alias("size"), F.max(F.struct("w", "c")).alias("most"), F.min("one").alias("one"))
+    return nodes.where("parts > 1").selectExpr("path", "size", "most.c as main", "size - most.w as rest", "one.k as leader", "one.c as leads")
+
+
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component c of k; a text without links is its own."""
+    return rows.join(found.withColumnRenamed("node", "k"), "k", "left").select(*rows.columns, F.coalesce("component", "k").alias("c"))
+
+
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts that pairs name and a few more: a bitmap of fixed size keeps the others out of the shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))))
@@ -276,12 +296,12 @@ def _exhaustive(small: DataFrame) -> DataFrame:
     return _by_node(small, ["c", "n", "set"], "a long, b long", work)
 
 
-def _blocks(large: DataFrame, main: DataFrame) -> DataFrame:
+def _blocks(large: DataFrame) -> DataFrame:
     """Pairs within large nodes: texts outside a node's main component against all of its texts, in blocks."""
-    rows = large.join(main, "path").withColumn("block", F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / BLOCK)))
+    block = lambda n: F.pmod(F.xxhash64("k"), F.ceil(F.col(n) / BLOCK)).alias("block")
     packed = F.collect_list(F.struct("k", "c", "n", "sketch"))
-    every = rows.groupBy("path", "block").agg(packed.alias("two"))
-    rest = rows.where("c <> main").groupBy("path", "block").agg(packed.alias("one"))
+    every = large.groupBy("path", block("size")).agg(packed.alias("two"))
+    rest = large.where("c <> main").groupBy("path", block("rest")).agg(packed.alias("one"))
     both = rest.select("path", "one").join(every.select("path", "two"), "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,47 +330,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tokens = texts.select("k", "tokens")
     sources = rows.where("k is not null")
     levels = []
-    nodes = _children(tokens, 0)
-    for depth in range(DEPTH):
-        sized = written(_sized(nodes), f"nodes{depth}")
-        levels.append((sized, nodes))
-        if depth + 1 < DEPTH:
-            if not sized.where(F.col("n") > SMALL).head(1):
-                break
-            large = nodes.join(sized.where(F.col("n") > SMALL).select("path"), "path", "left_semi")
-            nodes = _children(written(large, f"large{depth}").join(tokens, "k"), depth + 1)
-    stars = None
-    members = []
-    for sized, nodes in levels:
-        member = written(nodes.join(sized, "path").withColumn("last", F.lit(sized is levels[-1][0])), "members")
-        members.append(member)
-        star = member.where("k <> leader").select(F.col("leader").alias("a"), F.col("k").alias("b"))
-        stars = star if stars is None else stars.unionAll(star)
     sketches = texts.select("k", "n", "sketch")
+    nodes = _children(tokens, 0)
+    roots = written(nodes.join(written(_sized(nodes), "nodes"), "path"), "members")
+    stars = roots.where("k <> leader").select(F.col("leader").alias("a"), F.col("k").alias("b"))
     pairs = written(_alike(stars.distinct(), sketches), "pairs")
-    first = written(_confirmed(pairs, sources).distinct(), "links")
-    found = components(first)
+    links = written(_confirmed(pairs, sources).distinct(), "links")
+    found = components(links)
     cleaned(docs.sparkSession)
     # Nodes that hold texts of several components.
-    every = members[0]
-    for m in members[1:]:
-        every = every.unionAll(m)
-    tagged = every.where((F.col("n") <= SMALL) | F.col("last")).join(found.withColumnRenamed("node", "k"), "k", "left").select("path", "k", "n", F.coalesce("component", "k").alias("c"))
-    tagged = written(tagged, "tagged")
-    mixed = tagged.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("path")
-    open_ = written(tagged.join(mixed, "path", "left_semi").withColumnRenamed("n", "size").join(sketches, "k"), "open")
+    nodes = _with_components(roots.select("path", "k"), found)
+    levels = []
+    for depth in range(DEPTH):
+        nodes = written(nodes, f"nodes{depth}")
+        level = written(nodes.join(written(_mixed_nodes(nodes), "mixed"), "path").withColumn("branches", (F.col("size") > SMALL) & (F.col("rest") > SMALL) & F.lit(depth + 1 < DEPTH)), f"level{depth}")
+        release(nodes)
+        levels.append(level)
+        if not level.where("branches").head(1):
+            break
+        nodes = _children(level.where("branches").select("path", "k", "c").join(tokens, "k"), depth + 1)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionAll(level)
+    stars = every.where((F.col("size") > SMALL) & (F.col("c") != F.col("leads"))).select(F.col("leader").alias("a"), F.col("k").alias("b"))
+    pairs = written(_alike(stars.distinct(), sketches), "pairs")
+    if pairs.head(1):
+        links = links.unionAll(written(_confirmed(pairs, sources).distinct(), "links"))
+        found = components(links)
+        cleaned(docs.sparkSession)
+    tagged = written(_with_components(every.where("not branches").select("path", "k"), found), "tagged")
+    open_ = written(tagged.join(written(_mixed_nodes(tagged), "mixed"), "path").join(sketches, "k"), "open")
     in_small = open_.where(F.col("size") <= SMALL)
     hopeful = written(_hopeful(in_small), "hopeful")
     sets = _short_sets(sources, hopeful)
     small = _exhaustive(hopeful.join(in_small.select("path", "k", "c", "n"), ["path", "k"]).join(sets, "k"))
-    large = open_.where(F.col("size") > SMALL)
-    counts = large.groupBy("path", "c").count().groupBy("path").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    more = written(small.unionAll(_blocks(large, counts)).distinct(), "pairs")
-    second = written(_confirmed(more, sources).distinct(), "links")
-    links = first.unionAll(second)
-    release(*members)
-    # Copies of a set follow the text that stands for it.
+    more = written(small.unionAll(_blocks(open_.where(F.col("size") > SMALL))).distinct(), "pairs")
+    links = links.unionAll(written(_confirmed(more, sources).distinct(), "links"))
+    release(roots, *levels, tagged)
     joined = components(links)
+    # Copies of a set follow the text that stands for it.
     of_set = texts.join(joined, texts["k"] == joined["node"], "left").select("same", "w", F.coalesce("component", "k").alias("component_id"))
     spread = F.coalesce(F.col("k"), F.lit(0))
     left = signed.select("k", "n", F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.hex("same")).otherwise(F.concat(F.lit("="), spread.cast("string"))).alias("same"))

@@ -116,6 +116,17 @@ def test_minhash_trees_have_their_own_coordinates(spark):
         assert nodes.groupBy("path").count().where("count = 2").count() >= minhash.TREES
 
 
+def test_minhash_links_in_large_groups(spark, monkeypatch):
+    """200 texts around one passage; each has one partner, no text is near the smallest key, and all nodes count as large."""
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    passage = [f"p{i}" for i in range(100)]
+    rows = []
+    for k in range(200):
+        rows.append((k, " ".join(passage + [f"a{k % 100}x{i}" for i in range(60)] + [f"b{k}x{i}" for i in range(24)])))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 100 for k in range(200)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 200)], "a long, b long").repartition(7)
     got = {r["node"]: r["component"] for r in components(links).collect()}

@@ -10,9 +10,10 @@ NEWLINE = r"\r\n|\n|\r"
 
 def split_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, text), numbered from 1. A newline at the end opens no further line; null has no lines."""
-    parts = F.split(F.col(text), NEWLINE)
-    rows = texts.select(key, F.posexplode(parts).alias("pos", "text"), F.size(parts).alias("n"))
-    return rows.where(~((F.col("pos") == F.col("n") - 1) & (F.col("text") == ""))).select(key, (F.col("pos") + 1).alias("line_no"), "text")
+    # The text is split in a projection of its own: what stands beside or above an explode is worked out for each line.
+    parts = texts.select(key, F.split(F.col(text), NEWLINE).alias("_parts"))
+    whole = F.when(F.element_at("_parts", -1) == "", F.slice("_parts", 1, F.size("_parts") - 1)).otherwise(F.col("_parts"))
+    return parts.select(key, F.posexplode(whole).alias("pos", "text")).select(key, (F.col("pos") + 1).alias("line_no"), "text")
 
 
 def matching(lines: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -145,10 +145,12 @@ def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=lamb
     text = keep(texts(files), "texts")
     form = F.lower("file_id").endswith(".dfm")
     code, forms_ = text.where(~form), text.where(form)
-    views = [F.split(c, "\r\n|\n|\r") for c in ("text", "code_ns", "code_ks", "comment")]
-    zipped = F.arrays_zip(*[v.alias(n) for v, n in zip(views, ("text", "code_ns", "code_ks", "comment"), strict=True)])
-    lines = code.select("file_id", F.posexplode(zipped).alias("pos", "x"), F.size(views[0]).alias("n"))
-    lines = lines.where(~((F.col("pos") == F.col("n") - 1) & (F.col("x.text") == ""))).select("file_id", (F.col("pos") + 1).alias("line_no"), "x.text", "x.code_ns", "x.code_ks", "x.comment")
+    views = ("text", "code_ns", "code_ks", "comment")
+    zipped = F.arrays_zip(*[F.split(v, "\r\n|\n|\r").alias(v) for v in views])
+    # The views have the same lines; an empty part behind the last newline is none.
+    whole = F.when(F.element_at("z", -1)["text"] == "", F.slice("z", 1, F.size("z") - 1)).otherwise(F.col("z"))
+    lines = code.select("file_id", zipped.alias("z")).select("file_id", F.posexplode(whole).alias("pos", "x"))
+    lines = lines.select("file_id", (F.col("pos") + 1).alias("line_no"), *[f"x.{v}" for v in views])
     tree = keep(_per_file(code, pascal.AST, lambda t, n: pascal.parsed(t, n, defined)[0]), "ast")
     tokens = _per_file(code, TOK, lambda t, n: [(n, i, x.kind, x.value, x.line, x.col) for i, x in enumerate(pascal.lexed(t, defined)[0])])
     ranges = _per_file(code, RANGES, lambda t, n: [(n, *r) for r in pascal.lexed(t, defined)[1]])

@@ -8,13 +8,15 @@ A text is its words and one end; the context of its first word is a start mark.
 counts up to CUT; larger counts lose FIXED, so that every context keeps some mass. All unknown words are one event.
 
 No table holds texts, and no step holds more than a bucket of pairs:
-  1. Counts of all words, and of all pairs within the HEAD words (which these are, changes the work and no result).
-     Words with high counts make a table of FREQUENT entries at most, which is broadcast.
-  2. Pairs, packed as 10 bytes, go to buckets by their context. A context with more pairs than fit is dealt to
-     as many buckets as it needs by its next word. A bucket counts the training texts' pairs and scores all texts'
-     tokens up to what only the corpus tells: discounts (tokens are counted by the count of their pair) and backoff.
-  3. Tokens that back off (in held-out texts only) meet alpha of their context and P of their word by joins.
-The number of buckets follows the number of tokens.
+  1. Counts of all words, and of all pairs within the HEAD words. Words with high counts make a table of FREQUENT entries
+     at most, in order of their counts, which is broadcast. Which words are the head changes the work and no result: they
+     come from SPREAD texts that a hash picks from the whole table, so a pair that is a thousandth of all pairs lies within.
+  2. Pairs go to buckets by their context. A context with more pairs than fit is dealt to as many buckets as it needs by
+     its next word. A bucket counts the training texts' pairs and sends every token's count back to its chunk of texts, and
+     what backoff needs of its contexts: the discounts are known only when all buckets have counted.
+  3. Each chunk adds up its texts. Tokens that back off from a frequent context take its alpha from a broadcast table; those
+     of rare contexts or rare words (which hold few tokens a key) meet alpha and P by joins.
+The number of buckets follows the number of tokens. Columns of numbers travel as byte planes under zstd.
 
 Null texts count as empty; an empty text is one end. Each row has a score of its own, whatever keys repeat. Without
 training texts every token has the mass of unknown words, which is then 1.
@@ -29,43 +31,39 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import remainder
-from .storage import cleaned, written
+from .storage import release, written
 
 CUT = 5
 FIXED = 0.01
 HEAD = 1024
+SPREAD = 5000
 FREQUENT = 1 << 19
 #: Pairs of a bucket, and pairs that a task packs at a time.
 BUCKET = 800_000
 CHUNK = 400_000
-START, END = 1, 2
-#: Bits of a context or a word in a packed pair: a flag and the place in the frequent table, or a hash.
-BITS = 40
-FLAG = 1 << (BITS - 1)
+END = 2
+#: A word's code is this flag and its place in the frequent table, or else its hash without the last bit.
+FLAG = np.uint64(1 << 63)
+#: Texts of a chunk, at most.
 DOCS = 1 << 20
+NONE = np.iinfo(np.uint32).max
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """64-bit hash by word; forgets all when it has grown large."""
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased words between runs of ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = max(xxhash.xxh64_intdigest(word), 3)
-        return h
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Of the words of a text, A-Z lower-cased, and its end."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out[-1] = END
-        return out
+def hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; those below 3 are END's and the like."""
+    return np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.uint64(3))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -78,13 +76,42 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
+def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts above 0 after discounting."""
+    return np.where(c > CUT, c - FIXED, d[np.minimum(c, CUT).astype(int)] * c)
+
+
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers as compressed byte planes."""
+    head = np.array([len(columns), *(x for c in columns for x in (len(c), c.itemsize))], "<u4").tobytes()
+    data = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return head + zstandard.compress(data, 1)
+
+
+def unplanes(blob: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(blob[:4], "<u4")[0])
+    sizes = np.frombuffer(blob[4 : 4 + 8 * count], "<u4").reshape(count, 2).astype(int)
+    data, at, out = np.frombuffer(zstandard.decompress(blob[4 + 8 * count :]), np.uint8), 0, []
+    for n, width in sizes:
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).reshape(-1).view(f"<u{width}"))
+        at += n * width
+    return out
+
+
+def steps(slots: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, and back by cumsum."""
+    return np.diff(slots, prepend=0).astype("<u4")
+
+
 @dataclass
 class Unigrams:
     """What all tasks need of the word counts."""
 
     hashes: np.ndarray  # of frequent words, sorted
-    counts: np.ndarray
-    head: np.ndarray  # hashes of the head words, sorted
+    ranks: np.ndarray  # their places in counts
+    counts: np.ndarray  # in descending order
+    head: dict[bytes, int]  # place of a head word in the square; 0 is the start mark and 1 the end
+    square_of: np.ndarray  # by rank, and last for the start mark: place in the square or -1
     total: int
     distinct: int
     texts: int
@@ -96,184 +123,174 @@ class Unigrams:
     def probability(self, c: np.ndarray) -> np.ndarray:
         """P(b) of words seen c times."""
         c = np.asarray(c, float)
-        d = np.where(c > CUT, c - FIXED, self.cut[np.minimum(c, CUT).astype(int)] * c)
-        return np.where(c > 0, self.scale * d, self.unknown)
+        return np.where(c > 0, self.scale * kept(np.maximum(c, 1), self.cut), self.unknown)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Place in the frequent table, or -1."""
+    def codes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return np.full(len(h), -1)
+            return h >> np.uint64(1)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-    def code(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, FLAG | at, (h >> np.uint64(25)).astype(np.int64) & (FLAG - 1)).astype(np.int64)
+        return np.where(self.hashes[at] == h, FLAG | self.ranks[at].astype(np.uint64), h >> np.uint64(1))
+
+    def contexts(self) -> np.ndarray:
+        """Counts of frequent words as contexts, and last the start mark's."""
+        return np.append(self.counts, self.texts)
+
+    def fan(self) -> np.ndarray:
+        """Buckets of each frequent context."""
+        return np.minimum(8 * self.contexts() // BUCKET + 1, self.buckets)
+
+
+class Coder(dict):
+    """Code by word; forgets all when it has grown large."""
+
+    def __init__(self, u: Unigrams) -> None:
+        self.u, self.end = u, u.codes(np.array([END], np.uint64))[0]
+
+    def text(self, text: str | None) -> np.ndarray:
+        found = words_of(text)
+        new = [w for w in set(found) if w not in self]
+        if new:
+            if len(self) > 200_000:
+                self.clear()
+                new = list(set(found))
+            self.update(zip(new, self.u.codes(hashed(new)).tolist(), strict=True))
+        out = np.empty(len(found) + 1, np.uint64)
+        out[:-1] = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+        out[-1] = self.end
+        return out
 
-    def spread(self) -> np.ndarray:
-        """Buckets of each frequent word as a context; the start mark's is the last."""
-        return np.minimum(np.maximum(1, 8 * np.append(self.counts, self.texts) // BUCKET + 1), self.buckets)
 
+def _head(docs: DataFrame) -> dict[bytes, int]:
+    rows = docs.count()
 
-def _head(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = Words(), Counter()
+        seen: Counter[bytes] = Counter()
         for pdf in batches:
             for t in pdf["t"]:
-                seen.update(words.hashes(t).tolist())
+                seen.update(words_of(t))
         top = seen.most_common(HEAD)
-        yield pd.DataFrame({"h": np.array([h for h, _ in top], np.uint64).astype(np.int64), "n": [n for _, n in top]})
+        yield pd.DataFrame({"w": [w for w, _ in top], "n": [n for _, n in top]})
 
-    rows = docs.limit(2000).mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAD).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).astype(np.uint64))
+    some = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(max(1, rows // SPREAD))) == 0).select("t").mapInPandas(run, "w binary, n long")
+    found = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(max(0, HEAD - 2)).collect()
+    return {bytes(r["w"]): i + 2 for i, r in enumerate(found)}
 
 
-def _counts(docs: DataFrame, head: np.ndarray) -> DataFrame:
-    """(kind, key, n): 0 and a word's hash, or 1 and a pair of head words; over training texts."""
+def _counts(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(kind, key, n): 0 and a word's hash, or 1 and a pair of places in the head; over training texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = Words(), Counter()
-        square = np.zeros(HEAD * HEAD, np.int64)
+        seen: Counter[bytes] = Counter()
+        texts, side = 0, len(head) + 2
+        square = np.zeros(side * side, np.int64)
+        place = head.get
 
         def out() -> pd.DataFrame:
-            keys = np.fromiter((words[w] if isinstance(w, bytes) else w for w in seen), np.uint64, len(seen))
-            return pd.DataFrame({"kind": 0, "key": keys.astype(np.int64), "n": list(seen.values())})
-
-        def within(held: list[np.ndarray]) -> None:
-            h = np.concatenate(held)
-            at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-            at = np.where(head[at] == h, at, -1)
-            both = (at[:-1] >= 0) & (at[1:] >= 0) & (h[:-1] != END)
-            np.add.at(square, at[:-1][both] * HEAD + at[1:][both], 1)
+            return pd.DataFrame({"kind": 0, "key": hashed(list(seen)).astype(np.int64), "n": list(seen.values())})
 
         for pdf in batches:
-            held: list[np.ndarray] = []
-            size = 0
+            held, size = [], 0
             for t in pdf["t"]:
-                if t:
-                    seen.update(t.encode("utf-8", "surrogatepass").lower().split())
-                seen[END] += 1
-                if len(head):
-                    held += [words.hashes(t), np.zeros(1, np.uint64)]  # a zero between texts
-                    size += len(held[-2])
-                    if size > 100_000:
-                        within(held)
-                        held, size = [], 0
-            if held:
-                within(held)
-            if len(seen) > 400_000:
+                words = words_of(t)
+                seen.update(words)
+                texts += 1
+                held.append(0)
+                held += [place(w, -1) for w in words]
+                held.append(1)
+                if len(held) > 200_000:
+                    _within(held, square, side)
+                    held = []
+            _within(held, square, side)
+            if len(seen) > 300_000:
                 yield out()
                 seen.clear()
         yield out()
+        yield pd.DataFrame({"kind": [0], "key": [END], "n": [texts]})
         at = np.flatnonzero(square)
         yield pd.DataFrame({"kind": 1, "key": at, "n": square[at]})
 
-    return docs.where("train").mapInPandas(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.where("train").select("t").mapInPandas(run, "kind int, key long, n long").where("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _within(held: list[int], square: np.ndarray, side: int) -> None:
+    if held:
+        at = np.array(held)
+        both = (at[:-1] >= 0) & (at[1:] >= 0) & (at[:-1] != 1)
+        square += np.bincount(at[:-1][both] * side + at[1:][both], minlength=side * side)
 
 
-def _unigrams(counts: DataFrame, head: np.ndarray) -> Unigrams:
+def _unigrams(counts: DataFrame, head: dict[bytes, int]) -> Unigrams:
     words = counts.where("kind = 0")
     row = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(F.col("n") > CUT, F.col("n") - FIXED)).alias("large"), F.sum(F.when(F.col("key") == END, F.col("n"))).alias("texts"), *[F.sum(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, CUT + 2)]).first()
     n = [0] + [row[f"n{r}"] or 0 for r in range(1, CUT + 2)]
     total, cut = row["total"] or 0, discounts(n)
-    kept = (row["large"] or 0.0) + sum(cut[r] * r * n[r] for r in range(1, CUT + 1))
-    unknown = max(1 - kept / total, 1 / (total + 1)) if total else 1.0
+    mass = (row["large"] or 0.0) + sum(cut[r] * r * n[r] for r in range(1, CUT + 1))
+    unknown = max(1 - mass / total, 1 / (total + 1)) if total else 1.0
     # The least count that leaves FREQUENT words or fewer, from the numbers of words above powers of two.
-    steps = [1 << i for i in range(48)]
-    above = words.agg(*[F.sum(F.when(F.col("n") >= s, 1)).alias(f"s{s}") for s in steps]).first()
-    least = next(s for s in steps if (above[f"s{s}"] or 0) <= FREQUENT)
+    powers = [1 << i for i in range(48)]
+    above = words.agg(*[F.sum(F.when(F.col("n") >= s, 1)).alias(f"s{s}") for s in powers]).first()
+    least = next(s for s in powers if (above[f"s{s}"] or 0) <= FREQUENT)
     table = words.where((F.col("n") >= least) | (F.col("key") == END)).select("key", "n").toPandas()
-    h = table["key"].to_numpy(np.int64).astype(np.uint64)
+    h, c = table["key"].to_numpy(np.int64).astype(np.uint64), table["n"].to_numpy(np.int64)
+    down = np.lexsort((h, -c))
+    h, c = h[down], c[down]
     order = np.argsort(h)
-    return Unigrams(h[order], table["n"].to_numpy(np.int64)[order], head, total, row["distinct"] or 0, row["texts"] or 0, unknown, (1 - unknown) / kept if kept else 0.0, cut, max(1, -(-total // BUCKET)))
-
-
-OUT = "kind int, i long, j long, b long, x double, y double, m1 long, m2 long, m3 long, m4 long, m5 long, blob binary"
-COLUMNS = [c.split()[0] for c in OUT.split(", ")]
-#: What a text gathers: summed logarithms of its seen pairs and of counts + 1, known words, tokens by the count of their pair.
-PART = np.dtype([("at", "<i4"), ("sum", "<f8"), ("base", "<f8"), ("known", "<i4"), ("r", "<i4", (CUT,))])
-
-
-def _frame(**columns) -> pd.DataFrame:
-    n = max(len(c) for c in columns.values() if hasattr(c, "__len__") and not isinstance(c, bytes))
-    out = pd.DataFrame({c: columns.get(c, [None] * n) for c in COLUMNS})
-    return out.astype({c: "Int64" for c in COLUMNS if c not in ("x", "y", "blob", "kind")} | {"x": "float64", "y": "float64", "kind": "int32"})
-
-
-def _parts(chunk: int, part: np.ndarray) -> pd.DataFrame:
-    return _frame(kind=[0], i=[chunk], blob=[part.tobytes()])
+    square_of = np.full(len(c) + 1, -1)
+    u = Unigrams(h[order], order, c, head, square_of, total, row["distinct"] or 0, row["texts"] or 0, unknown, (1 - unknown) / mass if mass else 0.0, cut, max(1, -(-total // BUCKET)))
+    square_of[-1] = 0
+    if len(c):
+        code = u.codes(np.append(np.uint64(END), hashed(list(head))))
+        known = code >= FLAG  # head words outside the table go the usual way
+        square_of[(code[known] ^ FLAG).astype(np.int64)] = np.append(1, list(head.values())).astype(int)[known]
+    return u
 
 
 def _packed(docs: DataFrame, sent, square) -> DataFrame:
-    """(bucket, chunk, texts, sizes, one, two, blob): packed pairs; bucket < 0 for what is settled already."""
+    """(bucket, chunk, keys, blob): packed pairs; bucket < 0 for what a chunk knows of its own texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u: Unigrams = sent.value
         table: np.ndarray = square.value
-        spread = u.spread()
-        logs = np.log10(u.counts + 1.0) if len(u.counts) else np.zeros(0)
-        words, number = Words(), TaskContext.get().partitionId() << 20
-
-        def out(held: list[np.ndarray], train: list[bool], keys: list) -> Iterator[pd.DataFrame]:
-            nonlocal number
+        side = len(u.head) + 2
+        contexts, fan = u.contexts(), u.fan()
+        logs = np.log10(np.append(u.counts, 0) + 1.0)
+        shares = np.log10(np.maximum(contexts, 1.0))
+        start = FLAG | np.uint64(len(u.counts))
+        coder, number = Coder(u), TaskContext.get().partitionId() << 20
+
+        def out(held: list[np.ndarray], train: list[bool], keys: list) -> pd.DataFrame:
             sizes = np.fromiter(map(len, held), np.int64, len(held))
-            h = np.concatenate(held)
-            text = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            b = np.concatenate(held)
+            text = np.repeat(np.arange(len(held)), sizes)
             first = np.cumsum(sizes) - sizes
-            at = u.find(h)
-            before, before_at = np.roll(h, 1), np.roll(at, 1)
-            before[first], before_at[first] = START, -1
-            known = at >= 0
-            part = np.zeros(len(held), PART)
-            part["at"] = np.arange(len(held))
-            part["base"] = np.bincount(text[known], weights=logs[at[known]], minlength=len(held))
-            part["known"] = np.bincount(text[known], minlength=len(held))
-            in_head = np.minimum(np.searchsorted(u.head, h), max(len(u.head) - 1, 0)) if len(u.head) else np.zeros(len(h), np.int64)
-            in_head = np.where(u.head[in_head] == h, in_head, -1) if len(u.head) else np.full(len(h), -1)
-            before_head = np.roll(in_head, 1)
-            before_head[first] = -1
-            # Head words that never occur in training texts are not in the table; their pairs go the usual way.
-            local = (before_head >= 0) & (in_head >= 0) & (before_at >= 0) & known
-            unseen = []
-            if local.any():
-                where = np.flatnonzero(local)
-                c = table[before_head[where] * HEAD + in_head[where]]
-                context = u.counts[before_at[where]].astype(float)
-                seen = c > 0
-                low = seen & (c <= CUT)
-                value = np.log10(np.where(c > CUT, c - FIXED, np.maximum(c, 1))) - np.log10(context)
-                part["sum"] += np.bincount(text[where[seen]], weights=value[seen], minlength=len(held))
-                np.add.at(part["r"], (text[where[low]], c[low].astype(int) - 1), 1)
-                lost = where[~seen]
-                unseen.append((text[lost], -1 - before_at[lost], u.probability(u.counts[at[lost]])))
-            yield rows([-1 - number], [number], blob=[part.tobytes()], keys=[keys], sizes=[sizes.astype("<i4").tobytes()], texts=[np.array(train, np.uint8).tobytes()])
-            for t, a, p in unseen:
-                if len(t):
-                    yield rows([-1 - number], [number], texts=[t.astype("<i4").tobytes()], one=[a.astype("<i8").tobytes()], two=[np.log10(p).astype("<f8").tobytes()])
+            a = np.roll(b, 1)
+            a[first] = start
+            a_known, b_known = a >= FLAG, b >= FLAG
+            a_at, b_at = np.where(a_known, a ^ FLAG, 0).astype(np.int64), np.where(b_known, b ^ FLAG, len(u.counts)).astype(np.int64)
+            total = lambda x: np.bincount(text, weights=x, minlength=len(held))
+            base, known = total(logs[b_at] * b_known), total(b_known)
+            score = total(-shares[a_at] * a_known)
+            # Pairs within the head are counted already.
+            one, two = np.where(a_known, u.square_of[a_at], -1), np.where(b_known, u.square_of[b_at], -1)
+            local = (one >= 0) & (two >= 0)
+            where = np.flatnonzero(local)
+            c = table[one[where] * side + two[where]]
+            high, lost = c > CUT, c == 0
+            score += np.bincount(text[where[high]], weights=np.log10(c[high] - FIXED), minlength=len(held))
+            low, gone = where[~high & ~lost], where[lost]
+            none = np.zeros(0, "<u4")
+            own = planes(sizes.astype("<u4"), np.array(train, np.uint8), known.astype("<u4"), base.view("<u8"), score.view("<u8"))
+            parts = planes(steps(text[low]), c[~high & ~lost].astype("<u4"), none, none, steps(text[gone]), a_at[gone].astype("<u4"), b_at[gone].astype("<u4"))
+            rows = [(-1 - number, number, keys, own), (-1 - number, number, None, parts)]
             rest = np.flatnonzero(~local)
-            a_at, b_at = before_at[rest], at[rest]
-            a, b = u.code(before[rest], a_at), u.code(h[rest], b_at)
-            fan = np.where(a_at >= 0, spread[a_at], np.where(before[rest] == START, spread[-1], 1))
-            mixed = (h[rest] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            seat = (before[rest] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-            bucket = ((seat + mixed % fan.astype(np.uint64)) % np.uint64(u.buckets)).astype(np.int64)
-            one = (a.astype(np.uint64) << np.uint64(24)) | (b.astype(np.uint64) >> np.uint64(16))
-            two = (b & 0xFFFF).astype(np.uint16)
+            a, b, text, a_at, a_known = a[rest], b[rest], text[rest], a_at[rest], a_known[rest]
+            bucket = ((a * _GOLD >> np.uint64(32)) + (b * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.where(a_known, fan[a_at], 1).astype(np.uint64)) % np.uint64(u.buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            got = []
-            for rows_of in np.split(order, cuts) if len(order) else []:
-                t = text[rest[rows_of]]
-                change = np.flatnonzero(np.diff(t, prepend=-1))
-                flag = np.array(train, np.int32)[t[change]]
-                got.append((int(bucket[rows_of[0]]), (t[change] * 2 + flag).astype("<i4").tobytes(), np.diff(np.append(change, len(t))).astype("<i4").tobytes(), one[rows_of].astype("<u8").tobytes(), two[rows_of].astype("<u2").tobytes()))
-            if got:
-                k, t, s, x, y = zip(*got, strict=True)
-                yield rows(list(k), [number] * len(k), texts=list(t), sizes=list(s), one=list(x), two=list(y))
-            number += 1
-
-        def rows(bucket: list, chunk: list, **more) -> pd.DataFrame:
-            none = [None] * len(bucket)
-            return pd.DataFrame({"bucket": bucket, "chunk": chunk} | {c: more.get(c, none) for c in ("texts", "sizes", "one", "two", "blob", "keys")})
+            mine = (text * 2 + np.array(train, np.int64)[text]) if len(text) else text
+            for part in np.split(order, cuts) if len(order) else []:
+                rows.append((int(bucket[part[0]]), number, None, planes(steps(mine[part]), a[part], b[part])))
+            return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "blob"])
 
         held: list[np.ndarray] = []
         train: list[bool] = []
@@ -281,100 +298,92 @@ def _packed(docs: DataFrame, sent, square) -> DataFrame:
         size = 0
         for pdf in batches:
             for k, t, y in zip(pdf["k"].astype("Int64").tolist(), pdf["t"], pdf["train"], strict=True):
-                held.append(words.hashes(t))
+                held.append(coder.text(t))
                 train.append(bool(y))
                 keys.append(None if k is pd.NA else k)
                 size += len(held[-1])
                 if size >= CHUNK or len(held) >= DOCS - 1:
-                    yield from out(held, train, keys)
+                    yield out(held, train, keys)
                     held, train, keys, size = [], [], [], 0
+                    number += 1
         if held:
-            yield from out(held, train, keys)
+            yield out(held, train, keys)
+
+    return docs.mapInPandas(run, "bucket long, chunk long, keys array<long>, blob binary")
 
-    return docs.mapInPandas(run, "bucket long, chunk long, texts binary, sizes binary, one binary, two binary, blob binary, keys array<long>")
 
+#: kind 0: blob for a chunk i, with keys if it is what the chunk knows; 1: a token of text i backs off from the rare context j;
+#: 2: sums of the context j; 3: the rare word b follows the context j; 4: b pairs were seen j times; 5: a token of text i is the rare word b
+FOUND = "kind int, i long, j long, b long, x double, y double, m1 long, m2 long, m3 long, m4 long, m5 long, keys array<long>, blob binary"
+COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 
-def _array(cells, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(bytes(x), kind) for x in cells]
+
+def _frame(kind: int, n: int, **columns) -> pd.DataFrame:
+    out = pd.DataFrame({c: columns.get(c, np.zeros(n, float if c in ("x", "y") else np.int64)) for c in COLUMNS if c not in ("kind", "keys", "blob")})
+    out.insert(0, "kind", np.full(n, kind, np.int32))
+    return out.assign(keys=columns.get("keys", [None] * n), blob=columns.get("blob", [None] * n))
 
 
 def _bucket(pdf: pd.DataFrame, u: Unigrams) -> Iterator[pd.DataFrame]:
     """Everything that one bucket tells; see the module's text."""
-    texts, sizes = _array(pdf["texts"], "<i4"), _array(pdf["sizes"], "<i4")
-    one, two = np.concatenate(_array(pdf["one"], "<u8")), np.concatenate(_array(pdf["two"], "<u2"))
-    per_row = np.fromiter(map(len, texts), np.int64, len(texts))
-    chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), per_row)
-    texts = np.concatenate(texts)
-    slot = np.repeat(np.arange(len(texts), dtype=np.int32), np.concatenate(sizes))
-    n = len(texts)
-    order = np.lexsort((two, one))
-    one, two, slot = one[order], two[order], slot[order]
-    new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-    pair = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    train = (texts & 1).astype(bool)
-    c = np.bincount(pair, weights=train[slot], minlength=len(head)).astype(np.int64)
-    a_of = (one[head] >> np.uint64(24)).astype(np.int64)
-    b_of = ((one[head] & np.uint64(0xFFFFFF)).astype(np.int64) << 16) | two[head].astype(np.int64)
-    del one, two, order
-    new_a = np.concatenate(([True], a_of[1:] != a_of[:-1]))
-    context = np.cumsum(new_a) - 1
-    a = a_of[new_a]
-    total = np.bincount(context, weights=c, minlength=len(a))
-    fan = u.spread()
-    at = np.where(a & FLAG, a ^ FLAG, -1)
-    start = int(u.code(np.array([START], np.uint64), np.array([-1]))[0])
-    wide = np.zeros(len(a), bool)
-    frequent = at >= 0
-    total[frequent] = u.counts[at[frequent]]
-    wide[frequent] = fan[at[frequent]] > 1
-    is_start = a == start
-    total[is_start] = u.texts
-    wide[is_start] = fan[-1] > 1
-    b_at = np.where(b_of & FLAG, b_of ^ FLAG, -1)
-    p_b = np.full(len(b_of), np.nan)
-    p_b[b_at >= 0] = u.probability(u.counts[b_at[b_at >= 0]])
-    r, t = c[pair], context[pair]
-    seen = r > 0
-    part = np.zeros(n, PART)
-    part["at"] = texts >> 1
-    value = np.log10(np.where(c > CUT, c - FIXED, np.maximum(c, 1))) - np.log10(np.maximum(total[context], 1))
-    part["sum"] = np.bincount(slot[seen], weights=value[pair[seen]], minlength=n)
-    for k in range(1, CUT + 1):
-        part["r"][:, k - 1] = np.bincount(slot[r == k], minlength=n)
-    rare = ~frequent & ~is_start
-    of_rare = rare[t]
-    part["base"] = np.bincount(slot[of_rare], weights=np.log10(total[t[of_rare]] + 1), minlength=n)
-    part["known"] = np.bincount(slot[of_rare], weights=total[t[of_rare]] > 0, minlength=n)
-    lost = np.flatnonzero(~seen)
-    plain = lost[(total[t[lost]] == 0) & (b_at[pair[lost]] >= 0)]  # no context and a known word: settled here
-    if len(plain):
-        part["sum"] += np.bincount(slot[plain], weights=np.log10(p_b[pair[plain]]), minlength=n)
-        lost = lost[(total[t[lost]] > 0) | (b_at[pair[lost]] < 0)]
-    edge = np.flatnonzero(np.diff(chunk)) + 1
-    for rows in np.split(np.arange(n), edge):
-        yield _parts(int(chunk[rows[0]]), part[rows])
-    name = np.where(is_start, -1 - len(u.counts), np.where(frequent, -1 - at, (int(pdf["bucket"].iloc[0]) << BITS) | a))
-    if len(lost):
-        who = (chunk[slot[lost]] << 20) | (texts[slot[lost]] >> 1)
-        k = pair[lost]
-        yield _frame(kind=np.full(len(lost), 1), i=who, j=pd.array(np.where(total[t[lost]] > 0, name[t[lost]], 0), "Int64").copy(), b=pd.array(np.where(b_at[k] < 0, b_of[k], 0), "Int64"), x=np.log10(p_b[k]))
+    parts = [unplanes(x) for x in pdf["blob"]]
+    chunks = pdf["chunk"].to_numpy(np.int64)
+    sizes = np.fromiter((len(p[0]) for p in parts), np.int64, len(parts))
+    mine = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])
+    a, b = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    del parts
+    text, train = mine >> 1, (mine & 1).astype(bool)
+    mixed = a * _GOLD
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(mixed)
+    new = np.concatenate(([True], np.diff(mixed[order]) != 0))
+    pair = np.empty(len(a), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    first = order[new]
+    del mixed, order, new
+    c = np.bincount(pair, weights=train, minlength=len(first)).astype(np.int64)
+    name, context = np.unique(a[first], return_inverse=True)
+    frequent = name >= FLAG
+    at = np.where(frequent, name ^ FLAG, 0).astype(np.int64)
+    total = np.where(frequent, u.contexts()[at], np.bincount(context, weights=c, minlength=len(name)).astype(np.int64))
+    b_of = b[first]
+    b_known = b_of >= FLAG
+    b_at = np.where(b_known, b_of ^ FLAG, 0).astype(np.int64)
+    count, ctx = c[pair], context[pair]
+    seen, rare = count > 0, ~frequent[ctx]
+    lost = ~seen
+    starts = total[ctx] > 0
+    edges = np.cumsum(sizes) - sizes
+    blobs = []
+    a32, b32 = np.where(frequent[ctx] & starts, at[ctx], NONE).astype("<u4"), np.where(b_known[pair], b_at[pair], NONE).astype("<u4")
+    for i, n in zip(edges, sizes, strict=True):
+        s = slice(i, i + n)
+        t, f, r = text[s], seen[s], rare[s]
+        gone = lost[s] & ((a32[s] != NONE) | (b32[s] != NONE))
+        blobs.append(planes(steps(t[f]), count[s][f].astype("<u4"), steps(t[r]), (total[ctx[s][r]] * 2 + f[r]).astype("<u4"), steps(t[gone]), a32[s][gone], b32[s][gone]))
+    yield _frame(0, len(blobs), i=chunks, blob=blobs)
+    who = (np.repeat(chunks, sizes) << 20) | text
+    far = lost & rare & starts
+    signed = name.astype(np.int64)
+    label = np.where(frequent, -1 - at, signed)
+    yield _frame(1, int(far.sum()), i=who[far], j=label[ctx[far]])
+    strange = lost & ~b_known[pair]
+    yield _frame(5, int(strange.sum()), i=who[strange], b=b_of[pair[strange]].astype(np.int64))
     # Tokens may back off from wide contexts in other buckets, and from head words where no bucket sees them.
-    need = wide | np.isin(at, u.find(u.head)) & frequent
-    need[t[lost]] = True
+    need = frequent & ((u.fan()[at] > 1) | (u.square_of[at] >= 0))
+    need[ctx[lost]] = True
     need &= total > 0
     took = need[context] & (c > 0)
     if need.any():
-        small = [np.bincount(context[took & (c == k)], minlength=len(a)) for k in range(1, CUT + 1)]
-        big = took & (c > CUT)
-        large = np.bincount(context[big], weights=c[big] - FIXED, minlength=len(a))
-        known = took & (b_at >= 0)
-        mass = np.bincount(context[known], weights=p_b[known], minlength=len(a))
-        yield _frame(kind=np.full(int(need.sum()), 2), i=name[need], j=total[need].astype(np.int64), x=large[need], y=mass[need], **{f"m{k + 1}": v[need] for k, v in enumerate(small)})
-        tail = took & (b_at < 0)
-        if tail.any():
-            yield _frame(kind=np.full(int(tail.sum()), 3), i=name[context[tail]], b=b_of[tail])
-    yield _frame(kind=[4] * (CUT + 1), j=list(range(1, CUT + 2)), x=[float((c == k).sum()) for k in range(1, CUT + 2)])
+        def summed(mask, weights=None):
+            return np.bincount(context[mask], weights=weights, minlength=len(name))[need]
+
+        small = {f"m{k}": summed(took & (c == k)) for k in range(1, CUT + 1)}
+        big, known = took & (c > CUT), took & b_known
+        yield _frame(2, int(need.sum()), j=label[need], b=total[need], x=summed(big, c[big] - FIXED), y=summed(known, u.probability(u.counts[b_at[known]]) if len(u.counts) else None), **small)
+        tail = took & ~b_known
+        yield _frame(3, int(tail.sum()), j=label[context[tail]], b=b_of[tail].astype(np.int64))
+    yield _frame(4, CUT + 1, j=np.arange(1, CUT + 2), b=np.array([(c == k).sum() for k in range(1, CUT + 2)]))
 
 
 def scores(docs: DataFrame, parts: int = 7, held_out: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,90 +394,91 @@ def scores(docs: DataFrame, parts: int = 7, held_out: int = 2, key: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"), (remainder(docs[key], parts) != held_out).alias("train"))
     head = _head(rows)
-    counts = written(_counts(rows, head), "word-counts")
-    cleaned(spark)
+    counts = written(_counts(rows, head), "word-counts", 2000)
     u = _unigrams(counts, head)
-    square = np.zeros(HEAD * HEAD, np.int64)
+    side = len(head) + 2
+    square = np.zeros(side * side, np.int64)
     pairs = counts.where("kind = 1").select("key", "n").toPandas()
     square[pairs["key"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
+    usable = np.zeros(side, bool)
+    usable[u.square_of[u.square_of >= 0]] = True
+    square *= np.outer(usable, usable).reshape(-1)
     sent, table = spark.sparkContext.broadcast(u), spark.sparkContext.broadcast(square)
 
-    def run(pdf_key, batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf_key[0] >= 0:
-            yield from _bucket(pdf, sent.value)
-            return
-        for row in pdf.itertuples(index=False):
-            if row.blob is not None:
-                yield _parts(int(row.chunk), np.frombuffer(bytes(row.blob), PART))
-                keys = pd.array([None if x is None or x != x else int(x) for x in row.keys], "Int64")
-                sizes, train = np.frombuffer(bytes(row.sizes), "<i4"), np.frombuffer(bytes(row.texts), np.uint8)
-                yield _frame(kind=np.full(len(keys), 5), i=(int(row.chunk) << 20) | np.arange(len(keys)), j=sizes.astype(np.int64), b=keys, m1=train.astype(np.int64))
-            else:
-                who, a, p = np.frombuffer(bytes(row.texts), "<i4"), np.frombuffer(bytes(row.one), "<i8"), np.frombuffer(bytes(row.two), "<f8")
-                yield _frame(kind=np.full(len(who), 1), i=(int(row.chunk) << 20) | who.astype(np.int64), j=a, b=np.zeros(len(a), np.int64), x=p)
-
-    found = written(_grouped(_packed(rows, sent, table), "bucket", run, OUT), "pair-scores")
-    cleaned(spark)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] >= 0:
+            return pd.concat([x for x in _bucket(pdf, sent.value) if len(x)], ignore_index=True)
+        return _frame(0, len(pdf), i=pdf["chunk"].to_numpy(np.int64), keys=pdf["keys"].tolist(), blob=pdf["blob"].tolist())
+
+    found = written(_packed(rows, sent, table).groupBy("bucket").applyInPandas(run, FOUND), "pair-counts", 2000)
     n = [0] * (CUT + 2)
-    for r in found.where("kind = 4").groupBy("j").agg(F.sum("x").alias("x")).collect():
-        n[r["j"]] = int(r["x"])
+    for r in found.where("kind = 4").groupBy("j").agg(F.sum("b").alias("b")).collect():
+        n[r["j"]] = int(r["b"])
     for r in range(1, CUT + 2):
         n[r] += int((square == r).sum())
     d = discounts(n)
     # alpha of each context that a token backs off from
-    more = _head_contexts(spark, u, square)
-    rare = counts.where("kind = 0").select(F.expr(f"shiftrightunsigned(key, 25) & {FLAG - 1}L").alias("b"), F.col("n").alias("c"))
+    rare = counts.where("kind = 0").select(F.shiftrightunsigned("key", 1).alias("b"), F.col("n").alias("c")).groupBy("b").agg(F.max("c").alias("c"))
     chance = F.when(F.col("c") > CUT, (F.col("c") - FIXED) * u.scale)
     for r in range(1, CUT + 1):
         chance = chance.when(F.col("c") == r, float(u.cut[r] * r * u.scale))
-    rare = rare.groupBy("b").agg(F.max("c").alias("c")).select("b", chance.alias("p"))
-    tail = found.where("kind = 3").select("i", "b").join(rare, "b").groupBy("i").agg(F.sum("p").alias("y"))
-    contexts = found.where("kind = 2").select("i", "j", "x", "y", *[f"m{r}" for r in range(1, CUT + 1)]).unionByName(more)
-    mass = contexts.select("i", "j", (F.col("x") + sum(F.col(f"m{r}") * float(d[r] * r) for r in range(1, CUT + 1))).alias("x"), "y").unionAll(tail.select("i", F.lit(None).cast("long"), F.lit(0.0), "y"))
-    alpha = mass.groupBy("i").agg(F.max("j").alias("j"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    alpha = alpha.select(F.col("i").alias("j"), F.log10(F.greatest(1 - F.col("x") / F.col("j"), F.lit(1e-12)) / F.greatest(1 - F.col("y"), F.lit(1e-12))).alias("alpha"))
-    lost = found.where("kind = 1").select("i", "j", "b", "x")
-    word = F.coalesce(F.when(F.col("b") == 0, F.col("x")), F.log10("p"), F.lit(float(np.log10(u.unknown))))
-    lost = lost.join(rare, "b", "left").select("i", "j", word.alias("x"))
-    lost = lost.join(alpha, "j", "left").groupBy("i").agg(F.sum(F.col("x") + F.coalesce("alpha", F.lit(0.0))).alias("x"))
+    rare = rare.select("b", chance.alias("p"))
+    tail = found.where("kind = 3").select("j", "b").join(rare, "b").groupBy("j").agg(F.sum("p").alias("y"))
+    contexts = found.where("kind = 2").select("j", "b", "x", "y", *[f"m{r}" for r in range(1, CUT + 1)]).unionByName(_head_contexts(spark, u, square))
+    mass = contexts.select("j", "b", (F.col("x") + sum(F.col(f"m{r}") * float(d[r] * r) for r in range(1, CUT + 1))).alias("x"), "y").unionAll(tail.select("j", F.lit(None).cast("long"), F.lit(0.0), "y"))
+    alpha = mass.groupBy("j").agg(F.max("b").alias("b"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    alpha = written(alpha.select("j", F.log10(F.greatest(1 - F.col("x") / F.col("b"), F.lit(1e-12)) / F.greatest(1 - F.col("y"), F.lit(1e-12))).alias("alpha")), "alpha")
+    known = alpha.where("j < 0").toPandas()  # FREQUENT + 1 rows at most
+    backoff = np.zeros(len(u.counts) + 1)
+    backoff[-1 - known["j"].to_numpy(np.int64)] = known["alpha"].to_numpy(float)
+    last = spark.sparkContext.broadcast((d, backoff))
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [np.frombuffer(bytes(x), PART) for x in pdf["blob"]]
-        got = np.zeros(max(int(x["at"].max()) for x in blobs if len(x)) + 1, PART)
-        for x in blobs:
-            for name in ("sum", "base", "known", "r"):
-                got[name][x["at"]] += x[name]
-        low = got["r"] @ np.log10(d[1:])
-        return pd.DataFrame({"i": (int(pdf["i"].iloc[0]) << 20) | np.arange(len(got)), "x": got["sum"] + low, "base": got["base"], "known": got["known"].astype(np.int64)})
-
-    seen = found.where("kind = 0").select("i", "blob").groupBy("i").applyInPandas(gathered, "i long, x double, base double, known long")
-    texts = found.where("kind = 5").select("i", F.col("b").alias(key), F.col("j").alias("n_tokens"), (F.col("m1") == 0).alias("held_out"))
-    none = F.lit(None)
-    every = seen.select("i", "x", "base", "known", none.cast("long").alias(key), none.cast("long").alias("n_tokens"), none.cast("boolean").alias("held_out"))
-    every = every.unionByName(lost.select("i", "x"), allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
-    out = every.groupBy("i").agg(F.sum("x").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("n_known"), F.max(key).alias(key), F.max("n_tokens").alias("n_tokens"), F.max("held_out").alias("held_out"))
+        u, (d, backoff) = sent.value, last.value
+        i, own = int(pdf["i"].iloc[0]), next(r for r in pdf.itertuples(index=False) if r.keys is not None)
+        sizes, train, known, base, score = unplanes(own.blob)
+        known, base, score = known.astype(np.int64), base.view("<f8").copy(), score.view("<f8").copy()
+        shares, chances = np.log10(np.maximum(u.contexts(), 1.0)), np.log10(u.probability(u.counts))
+        total = lambda t, w: np.bincount(t, weights=w, minlength=len(sizes))
+        for r in pdf.itertuples(index=False):
+            if r.keys is not None:
+                continue
+            t, c, t_rare, rare, t_lost, a, b = unplanes(r.blob)
+            t, t_rare, t_lost = (np.cumsum(x, dtype=np.int64) for x in (t, t_rare, t_lost))
+            score += total(t, np.log10(kept(c.astype(np.int64), d)))
+            n = rare >> 1
+            base += total(t_rare, np.log10(n + 1.0))
+            known += np.bincount(t_rare[n > 0], minlength=len(sizes))
+            score -= total(t_rare, np.where(rare & 1, np.log10(np.maximum(n, 1)), 0.0))
+            f, w = a != NONE, b != NONE
+            score += total(t_lost[f], (backoff + shares)[a[f]])
+            score += total(t_lost[w], chances[b[w]])
+        keys = pd.array([None if k is None or k != k else int(k) for k in own.keys], "Int64")
+        return pd.DataFrame({"i": (i << 20) | np.arange(len(sizes)), "x": score, "base": base, "known": known, key: keys, "n_tokens": sizes.astype(np.int64), "held_out": train == 0})
+
+    texts = found.where("kind = 0").select("i", "keys", "blob").groupBy("i").applyInPandas(gathered, f"i long, x double, base double, known long, `{key}` long, n_tokens long, held_out boolean")
+    # What tokens of rare contexts and rare words add; the rows of a key are few, since the key is rare.
+    more = found.where("kind = 1").select("i", "j").join(alpha, "j").select("i", F.col("alpha").alias("x"))
+    word = F.coalesce(F.log10("p"), F.lit(float(np.log10(u.unknown))))
+    more = more.unionAll(found.where("kind = 5").select("i", "b").join(rare, "b", "left").select("i", word.alias("x")))
+    more = more.groupBy("i").agg(F.sum("x").alias("more"))
     norm = float(np.log10(u.total + u.distinct + 1))
-    return out.select(key, "held_out", "n_tokens", "n_known", F.lit(u.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
-
-
-def _grouped(packed: DataFrame, key: str, run, schema: str) -> DataFrame:
-    """One call of run for each bucket, whose rows it takes as one frame."""
-
-    def whole(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(run(k, [pdf])), ignore_index=True)
-
-    return packed.groupBy(key).applyInPandas(whole, schema)
+    out = texts.join(more, "i", "left")
+    return out.select(key, "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(u.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), (F.col("x") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def _head_contexts(spark, u: Unigrams, square: np.ndarray) -> DataFrame:
     """What pairs within the head add to the sums of their contexts."""
-    schema = "i long, j long, x double, y double, m1 long, m2 long, m3 long, m4 long, m5 long"
-    at = u.find(u.head)
-    table = square.reshape(HEAD, HEAD)[: len(at), : len(at)]
-    p = np.where(at >= 0, u.probability(u.counts[np.maximum(at, 0)]), 0.0) if len(u.counts) else np.zeros(len(at))
+    schema = "j long, b long, x double, y double, m1 long, m2 long, m3 long, m4 long, m5 long"
+    side = len(u.head) + 2
+    table, contexts = square.reshape(side, side), u.contexts()
+    p = np.zeros(side)
+    ranks = np.flatnonzero(u.square_of >= 0)
+    words = ranks[ranks < len(u.counts)]
+    p[u.square_of[words]] = u.probability(u.counts[words])
     rows = []
-    for k in np.flatnonzero((table.sum(axis=1) > 0) & (at >= 0)) if len(at) else []:
-        c = table[k]
-        rows.append((int(-1 - at[k]), int(u.counts[at[k]]), float((c[c > CUT] - FIXED).sum()), float(p[c > 0].sum()), *(int((c == r).sum()) for r in range(1, CUT + 1))))
+    for rank in ranks[contexts[ranks] > 0]:
+        c = table[u.square_of[rank]]
+        if c.any():
+            rows.append((int(-1 - rank), int(contexts[rank]), float((c[c > CUT] - FIXED).sum()), float(p[c > 0].sum()), *(int((c == r).sum()) for r in range(1, CUT + 1))))
     return spark.createDataFrame(rows, schema)

@@ -22,11 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table: later steps neither recompute them nor need the executors that made them."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
+    """The same rows read back from a table: later steps neither recompute them nor need the executors that made them.
+
+    batch: rows that Python workers get at a time while the table is made, where rows are large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

@@ -38,7 +38,7 @@ class Forest:
         return True
 
 
-#: Links that a task holds at most before it passes its forest on.
+#: Links that a task holds at most before it passes its forest on. So many are joined in one task; more, in rounds.
 HELD = 500_000
 
 
@@ -66,11 +66,14 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Self-links and repeated links do no harm. A table of no links gives no rows. Each round is a written table.
     """
-    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(_forests, "hi long, lo long").distinct(), "links")
+    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(_forests, "hi long, lo long"), "links")
+    count = edges.count()
+    if count <= HELD:
+        edges = written(edges.selectExpr("hi as a", "lo as b").repartition(1).mapInPandas(_forests, "hi long, lo long"), "links")
+        return edges.selectExpr("hi as node", "lo as component").unionAll(edges.selectExpr("lo as node", "lo as component").distinct())
+    edges = edges.distinct()
     seen = _mark(edges)
     for _ in range(rounds):
-        if not seen[0]:
-            break
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("w"))
         large = lookup(both, least, "u", "w", 2 * seen[0], "v").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()

@@ -86,12 +86,12 @@ def cleaned(spark: SparkSession) -> None:
 BITS = 1 << 26
 
 
-def bitmap(bits: DataFrame) -> np.ndarray:
-    """Bytes with the bits that a column `bit` of numbers below BITS names. At most BITS / 8 bytes reach the driver."""
+def bitmap(bits: DataFrame, size: int = BITS) -> np.ndarray:
+    """Bytes with the bits that a column `bit` of numbers below size names. At most size / 8 bytes reach the driver."""
     number = F.col("bit") + 1  # these functions count from 1
     packed = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in packed.toLocalIterator():
+    out = np.zeros(size // 8, np.uint8)
+    for row in packed.collect():
         at = (row["part"] - 1) * 4096
         block = np.frombuffer(bytes(row["bits"]), np.uint8)
         out[at : at + len(block)] = block[: len(out) - at]

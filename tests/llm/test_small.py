@@ -105,15 +105,64 @@ def test_minhash_against_brute_force(spark, monkeypatch):
     assert got == {k: find(k) for k in sets}
 
 
-def test_minhash_trees_have_their_own_coordinates(spark):
+def test_minhash_trees_have_their_own_coordinates():
     """Texts that differ in a few coordinates only share children in most trees, whichever coordinates these are."""
-    one = np.arange(minhash.SKETCH, dtype=np.uint64) + np.uint64(7)
+    one = np.arange(minhash.SKETCH, dtype=np.uint16) + np.uint16(7)
+    roots = np.arange(minhash.TREES) * 1000 + 1
     for first in range(minhash.TREES, minhash.SKETCH - 3, 9):
         two = one.copy()
-        two[first : first + 4] += np.uint64(1000)
-        rows = spark.createDataFrame([(1, one.astype("<u8").tobytes()), (2, two.astype("<u8").tobytes())], "k long, tokens binary")
-        nodes = minhash._children(minhash._children(rows, 0).join(rows, "k"), 1)
-        assert nodes.groupBy("path").count().where("count = 2").count() >= minhash.TREES
+        two[first : first + 4] += np.uint16(1000)
+        *_, (row, path) = minhash._walk(np.stack([roots, roots]), np.stack([one, two]), [np.sort(roots)])
+        assert len(set(path[row == 0]) & set(path[row == 1])) >= minhash.TREES
+
+
+def test_minhash_forest_takes_the_likest_pairs():
+    near = np.array([[64, 60, 40, 10], [60, 64, 50, 10], [40, 50, 64, 10], [10, 10, 10, 64]], np.uint8)
+    assert minhash._tree(near) == [(0, 1), (1, 2)]
+
+
+def test_minhash_repeated_keys(spark):
+    """A key with several texts links them; none of them loses its own copies."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (5, c), (5, c), (6, b + " tail")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1}
+    rows = [(1, a), (1, b), (1, c), (2, c + " tail"), (7, "other words stand here alone")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {1: 1, 2: 1, 7: 7}
+
+
+def test_minhash_recall_around_a_centre(spark):
+    """A thousand near copies of a text that isn't the smallest key, most of them unlike each other: nodes large at every level.
+
+    Links found are held against all pairs.
+    """
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(150)]
+    rows = []
+    for k in range(1000):
+        words = list(base)
+        for at in rng.sample(range(150), 0 if k == 700 else rng.choice([3, 4, 5])):
+            words[at] = f"u{k}x{at}"
+        rows.append((k, " ".join(words)))
+    words = minhash.Words()
+    sets = [minhash.shingles(t, words) for _, t in rows]
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    x = np.zeros((1000, at.max() + 1), np.float32)
+    x[np.repeat(np.arange(1000), [len(s) for s in sets]), at] = 1
+    common, n = x @ x.T, np.array([len(s) for s in sets])
+    linked = 100 * common >= 75 * (n[:, None] + n[None, :] - common)
+    component = np.arange(1000)
+    while True:
+        low = np.where(linked, component[None, :], 1000).min(axis=1)
+        if (low == component).all():
+            break
+        component = low
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lonely = linked.sum(axis=1) == 1
+    assert 20 < lonely.sum() < 900  # the group isn't all one star
+    right = sum(got[k] == component[k] for k in range(1000))
+    assert right >= 990
 
 
 def test_minhash_links_in_large_groups(spark, monkeypatch):

@@ -7,7 +7,8 @@ exception phrase doesn't count. The sum is normalised by length and calibrated t
 
 Entries, exception phrases and the calibration are learned from a bounded sample of labelled documents. Scoring reads
 whole texts. Null and empty texts have no matches and so the score of a text without any; without labels of both kinds
-the lexicon is empty and every score is the same.
+the lexicon is empty and every score is the same. What is learned depends on the rows only, not on their order or partitions;
+rows that repeat a key each have a score; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -145,9 +146,9 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
             texts = [folded(t) for t in pdf["text"]]
             yield pd.DataFrame({"text": texts, "label": pdf["label"], "rough": [_rough(t.split()) for t in texts]})
 
-    # Of copies one stays, so that a text with many copies doesn't make its rare words look like a pattern.
+    # Of copies one stays, the least, so that a text with many copies doesn't make its rare words look like a pattern.
     sample = labelled_sample(docs, labels, label, parts, held_out, s.rows)
-    sample = written(sample.mapInPandas(fold, "text string, label int, rough long").dropDuplicates(["rough", "label"]), "toxicity-sample")
+    sample = written(sample.mapInPandas(fold, "text string, label int, rough long").groupBy("rough", "label").agg(F.min("text").alias("text")), "toxicity-sample")
     size = dict(sample.groupBy("label").count().collect())
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
@@ -200,18 +201,17 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
                 found = set()
                 for at in matcher.words(t):
                     end = t.index(" ", at + 1)
-                    before, after = t[max(0, at - 40) : at].split(), t[end : end + 40].split()
                     word = t[at + 1 : end]
-                    if before and t[at - 1] != " ":
-                        found.add(f" {before[-1]} {word} ")
-                    if after and t[end + 1 : end + 2] not in ("", " "):
-                        found.add(f" {word} {after[0]} ")
+                    if at and t[at - 1] != " ":
+                        found.add(f" {t[t.rindex(' ', 0, at) + 1 : at]} {word} ")
+                    if t[end + 1 : end + 2] not in ("", " "):
+                        found.add(f" {word} {t[end + 1 : t.index(' ', end + 1)]} ")
                 seen.update((p, y) for p in found)
             yield pd.DataFrame([(p, n if y else 0, 0 if y else n) for (p, y), n in seen.items()], columns=["pattern", "t", "c"])
 
     found = sample.mapInPandas(phrases, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     lexicon.exceptions = sorted(r["pattern"] for r in found.where((F.col("c") >= s.least_documents) & (F.col("c") >= 10 * F.col("t"))).collect())
-    x = sample.mapInPandas(_measure(lexicon, ["label"]), "label int, raw double, words long").toPandas()
+    x = sample.mapInPandas(_measure(lexicon, ["label"]), "label int, raw double, words long").toPandas().sort_values(["raw", "words", "label"])
     lexicon.calibration = _calibrated(x["raw"].to_numpy(), x["words"].to_numpy(), x["label"].to_numpy(), s.steps)
     return lexicon
 
@@ -246,7 +246,7 @@ def _measure(lexicon: Lexicon, columns: list[str]):
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted, matches) of each row; matches lists the folded words that count, at most 20 of them."""
+    """(key, score, predicted, matches) of each row; matches lists the folded words that count."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +258,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "
                 found = matcher.words(t)
                 raw.append(sum(found.values()))
                 words.append(t.count(" "))
-                shown.append([t[at + 1 : t.index(" ", at + 1)] for at in list(found)[:20]])
+                shown.append([t[at + 1 : t.index(" ", at + 1)] for at in found])
             score = lexicon.score(np.array(raw, float), np.array(words, float))
             yield pd.DataFrame({key: pdf["k"], "score": score, "predicted": (score >= 0.5).astype("int32"), "matches": shown})
 

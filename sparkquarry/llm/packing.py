@@ -1,19 +1,20 @@
 """Variable-capacity best-fit packing of token sequences into bins of several permitted lengths.
 
-Sequences are dealt by a hash of their key to shards of about SHARD rows, so no task ever holds more, and each shard
+Sequences are dealt by a hash of their row to shards of about SHARD rows, whatever keys or lengths repeat, and each shard
 is packed on its own. A shard goes from its longest piece to its shortest. A piece goes to the open bin where it leaves
-least room. If none has room, a new bin is opened: of the permitted lengths that can hold the piece, the one whose
-expected waste is least, by what the shard's still unplaced tokens can fill. At the end every bin is downsized to the
-smallest permitted length that holds its contents.
+least room. If none has room, a new bin is opened, of the length with the least cost: for each permitted length that can hold
+the piece, the room is filled as far as the shard's unplaced pieces can, longest first, and what then stays empty of the
+smallest length that holds the contents is the cost for each token placed. So the lengths are chosen jointly, by the pieces
+that are there to fill them. At the end every bin is downsized to the smallest permitted length that holds its contents.
 
 A sequence longer than the largest length is cut into full bins and a rest. Every sequence, empty ones too, is placed
 once and whole. Null lengths count as 0. Rows are told apart by their place in the shard, so repeated keys each have
-their own place.
+their own place. An empty table gives none. The shard of a row depends on its place in the input.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,18 @@ from pyspark.sql import functions as F
 SHARD = 2048
 
 
+def _cost(capacity: int, n: int, left: list[int], sizes: list[int]) -> tuple[float, int]:
+    """Waste a token of a bin that is opened for a piece of n and filled from the ascending lengths left; larger bins win ties."""
+    room, at = capacity - n, len(left)
+    while room > 0:
+        at = min(at, bisect_right(left, room)) - 1
+        if at < 0 or left[at] == 0:
+            break
+        room -= left[at]
+    filled = capacity - room
+    return (sizes[bisect_left(sizes, filled)] - filled) / max(filled, 1), -capacity
+
+
 def pack(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int]], dict[int, int]]:
     """Pieces as (item, bin, offset in the item, size), and the final capacity of each bin."""
     sizes = sorted(capacities)
@@ -39,21 +52,19 @@ def pack(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, int
             at += largest
         pieces.append((n - at, item, at))
     pieces.sort(key=lambda p: (-p[0], p[1]))
-    left = sum(p[0] for p in pieces)
+    left = [p[0] for p in reversed(pieces)]  # unplaced lengths, ascending
     room: list[tuple[int, int]] = []  # (free tokens, bin), sorted
     for n, item, at in pieces:
+        left.pop()
         k = bisect_left(room, (n, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            # Cost of a length: what stays empty if the rest of the shard goes in as well as it can.
-            # A bin that the remaining tokens can't fill wastes the difference; else larger bins waste less a token.
             b = len(fill)
-            free = min((c for c in sizes if c >= n), key=lambda c: (max(0, c - left), -c))
+            free = min((c for c in sizes if c >= n), key=lambda c: _cost(c, n, left, sizes))
             fill[b] = 0
         out.append((item, b, at, n))
         fill[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
     return out, {b: sizes[min(bisect_left(sizes, n), len(sizes) - 1)] for b, n in fill.items()}
@@ -67,8 +78,8 @@ def packed(docs: DataFrame, lengths: str, capacities: list[int], key: str = "doc
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[lengths].cast("long"), F.lit(0)).alias("n"))
     shards = max(1, round(rows.count() / SHARD))
-    # The hash takes the length too: rows that repeat one key (or have none) but differ are spread.
-    dealt = rows.withColumn("s", F.pmod(F.xxhash64("k", "n"), F.lit(shards)))
+    # The hash takes the row's place too: rows that repeat one key and length, or have none, are spread.
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("k", "n", F.monotonically_increasing_id()), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "n"], kind="stable", na_position="first", ignore_index=True)

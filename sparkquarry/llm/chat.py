@@ -27,13 +27,17 @@ OPEN, CLOSE = "<s>[", "</s>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Either a list of turns with its role and text fields, or single fields that are turns of a fixed role."""
+    """Either a list of turns with its role and text fields, or single fields that are turns of a fixed role.
+
+    verbatim keeps roles as they are written; else ROLES and lower case make them alike.
+    """
 
     name: str
     list_field: str = ""
     role: str = ""
     text: str = ""
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    verbatim: bool = False
 
     @property
     def paths(self) -> list[str]:
@@ -48,6 +52,7 @@ class Layout:
 
 #: Declared layouts. Texts of a turn with several fields are joined by an empty line.
 LAYOUTS = [
+    Layout("turn_records", "turns", "role", "text", verbatim=True),
     Layout("messages", "messages", "role", "content"),
     Layout("shared", "conversations", "from", "value"),
     Layout("instruction", turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -101,7 +106,7 @@ def _string(text: Column) -> Column:
 def _turns(layout: Layout, field) -> Column:
     if layout.list_field:
         items = field(layout.list_field)
-        return F.coalesce(F.transform(items, lambda x: F.struct(_role(x[layout.role]).alias("role"), _string(x[layout.text]).alias("text"))), F.array().cast(TURNS))
+        return F.coalesce(F.transform(items, lambda x: F.struct((_string if layout.verbatim else _role)(x[layout.role]).alias("role"), _string(x[layout.text]).alias("text"))), F.array().cast(TURNS))
     turns = []
     for role, fields in layout.turns:
         parts = F.filter(F.array(*[_string(field(f)) for f in fields]), lambda x: x != "")
@@ -110,10 +115,13 @@ def _turns(layout: Layout, field) -> Column:
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """rows with a column `turns` by the layout of their schema, which is settled when the plan is made."""
+    """rows with `turns` and `layout` by the layout of their schema, which is settled when the plan is made.
+
+    Columns of rows that have these names already are read, if a layout wants them, and then replaced.
+    """
     layout = layout_of(rows.schema)
     turns = _turns(layout, lambda f: rows[f"`{f}`"]) if layout else F.lit(None).cast(TURNS)
-    return rows.select("*", F.lit(layout.name if layout else None).cast("string").alias("layout"), turns.alias("turns"))
+    return rows.withColumns({"layout": F.lit(layout.name if layout else None).cast("string"), "turns": turns})
 
 
 def canonical_json(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -138,8 +146,11 @@ def canonical_json(rows: DataFrame, key: str, column: str) -> DataFrame:
     return out.select(key, "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 
-def from_turn_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, turns) of a table with a row for each turn."""
+def conversations(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, turns) of a table with a row for each turn: records whose layout canonical() finds out by their fields.
+
+    Turns are in order of turn (nulls first), then role, then text.
+    """
     one = F.struct(rows[turn].alias("turn"), _string(rows[role]).alias("role"), _string(rows[text]).alias("text"))
     grouped = rows.select(rows[key].alias(key), one.alias("_one")).groupBy(key).agg(F.array_sort(F.collect_list("_one")).alias("_all"))
     return grouped.select(key, F.transform("_all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))

@@ -37,8 +37,8 @@ def type_parents(t: Tables) -> DataFrame:
 
 
 def descendants(t: Tables) -> DataFrame:
-    """(node, ancestor, depth) of all types, 32 steps at most."""
-    return scopes.closure(type_parents(t).select(F.col("name").alias("child"), "parent"), "type_edges")
+    """(node, ancestor, depth) of all types."""
+    return scopes.closure(type_parents(t).select(F.col("name").alias("child"), "parent"))
 
 
 def type_kinds(t: Tables) -> DataFrame:

@@ -52,21 +52,48 @@ def blanked(text: str) -> tuple[str, str, str]:
 
 
 def _condition(text: str, defined: set[str]) -> bool:
-    """{$IF …}: defined(), and, or, not, parentheses; anything else counts as true."""
-    words = re.findall(r"defined\s*\(\s*(\w+)\s*\)|(\w+)|([()])", text, re.I)
-    out = []
-    for name, word, sign in words:
-        if name:
-            out.append(str(name.upper() in defined))
-        elif word and word.lower() in ("and", "or", "not"):
-            out.append(word.lower())
-        elif sign:
-            out.append(sign)
-        else:
-            return True
+    """{$IF …}: defined(), and, or, not, parentheses; a form that isn't understood counts as true."""
+    words = [(m[1] or m[2] or m[3]).lower() if not m[1] else (m[1].upper() in defined) for m in re.finditer(r"defined\s*\(\s*(\w+)\s*\)|([A-Za-z_]\w*)|(\S)", text, re.I)]
+    at = 0
+
+    def peek():
+        return words[at] if at < len(words) else None
+
+    def either() -> bool:
+        nonlocal at
+        value = both()
+        while peek() == "or":
+            at += 1
+            value = both() or value
+        return value
+
+    def both() -> bool:
+        nonlocal at
+        value = one()
+        while peek() == "and":
+            at += 1
+            value = one() and value
+        return value
+
+    def one() -> bool:
+        nonlocal at
+        word = peek()
+        at += 1
+        if word == "not":
+            return not one()
+        if isinstance(word, bool):
+            return word
+        if word == "(":
+            value = either()
+            if peek() == ")":
+                at += 1
+                return value
+        raise ValueError
+
     try:
-        return bool(eval(" ".join(out), {"__builtins__": {}}))  # only True, False, and, or, not and parentheses
-    except SyntaxError:
+        value = either()
+        return value if at == len(words) else True
+    except (ValueError, RecursionError):
         return True
 
 

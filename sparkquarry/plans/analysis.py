@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkquarry.operators import duplicates, findings, lines, scopes, suppression
 from sparkquarry.sources import files
+from sparkquarry.tables import written
 
-from . import catalogue, text_rules, tree_rules
+from . import catalogue, flow, text_rules, tree_rules
 
 
 @dataclass(frozen=True)
@@ -24,34 +27,53 @@ class Settings:
     forbidden_classes: tuple[str, ...] = ()
     custom: DataFrame | None = None
     changed: DataFrame | None = None
+    #: Members of the project that is scanned, as files.project_members() gives them.
+    project: DataFrame | None = None
     baseline: DataFrame | None = None
     block_lines: int = 8
     extra_kinds: frozenset[str] = frozenset()
     defined: frozenset[str] = field(default=files.pascal.DEFINED)
 
 
-def _views(t: files.Tables, forbidden: tuple[str, ...]) -> None:
-    spark = t.ast.sparkSession
-    for name in ("ast", "tok", "lines", "ranges", "texts", "comp", "prop"):
-        getattr(t, name).createOrReplaceTempView(name)
-    spark.createDataFrame([(c,) for c in forbidden], "class string").createOrReplaceTempView("forbidden")
-    for name, sql in tree_rules.VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
+class _Views:
+    """The tables under names of their own, so that a session's views stay as they are. sql() reads them by their plain names."""
+
+    def __init__(self, t: files.Tables, forbidden: tuple[str, ...]) -> None:
+        self.spark, self.prefix = t.ast.sparkSession, f"v{uuid.uuid4().hex}_"
+        tables = {name: getattr(t, name) for name in ("ast", "tok", "lines", "ranges", "texts", "comp", "prop")}
+        tables["forbidden"] = self.spark.createDataFrame([(c,) for c in forbidden], "class string")
+        self.names = [*tables, *tree_rules.VIEWS]
+        # A table without an alias keeps its plain name as one.
+        ends = r"\s*(?:$|[),]|(?:where|join|left|inner|cross|on|group|window|lateral|order|having|union|limit)\b)"
+        self.read = re.compile(rf"(?i)\b(from|join)\s+({'|'.join(self.names)})\b(?!\s*[.(])(?P<bare>(?={ends}))?")
+        for name, table in tables.items():
+            table.createOrReplaceTempView(self.prefix + name)
+        for name, sql in tree_rules.VIEWS.items():
+            self.sql(sql).createOrReplaceTempView(self.prefix + name)
+
+    def sql(self, text: str) -> DataFrame:
+        return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{m[2]}" + (f" {m[2]}" if m["bare"] is not None else ""), text))
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.catalog.dropTempView(self.prefix + name)
 
 
 #: Rules of one plan; a union of all of them would take the optimiser minutes.
 TOGETHER = 20
 
 
-def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), keep=lambda df, name: df) -> DataFrame:
+def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), keep=written) -> DataFrame:
     """(file_id, line, end_line, kind, detail, related_lines) of the wanted rules; others make no part of the plan."""
-    spark = t.ast.sparkSession
-    _views(t, s.forbidden_classes)
+    views = _Views(t, s.forbidden_classes)
     plain = ["file_id", "line", "kind", "detail"]
     parts = [text_rules.line_findings(t.lines, kinds).select(*plain), text_rules.text_findings(t.texts, kinds).select(*plain)]
     for kind, sql in {**tree_rules.AST, **tree_rules.FORM}.items():
         if kind in kinds:
-            parts.append(spark.sql(sql).select(F.col("file_id"), F.col("line").cast("int").alias("line"), F.lit(kind).alias("kind"), F.col("detail").cast("string").alias("detail")))
+            parts.append(views.sql(sql).select(F.col("file_id"), F.col("line").cast("int").alias("line"), F.lit(kind).alias("kind"), F.col("detail").cast("string").alias("detail")))
+    views.drop()
+    if kinds & {*flow.FLOW}:
+        parts.append(flow.flow_findings(t.ast, kinds).select(*plain))
     if "DfmCircularDataSource" in kinds:
         parts.append(_circular(t).select(*plain))
     # Read errors pass every gate.
@@ -65,6 +87,9 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     out = groups[0]
     for g in groups[1:]:
         out = out.unionByName(g)
+    if s.project is not None and kinds & {"NotIncludedInProject", "UsedButNotInProject"}:
+        gaps = project_gaps(spark, t.files, s.project, t).where(F.col("kind").isin(sorted(kinds)))
+        out = out.unionByName(gaps.select("file_id", F.lit(1).alias("line"), "kind", F.lit("").alias("detail")))
     out = out.withColumns({"end_line": F.col("line"), "related_lines": F.lit(None).cast("array<int>")})
     if "DuplicateBlock" in kinds:
         code = t.lines.where(F.trim("code_ks") != "").select("file_id", "line_no", F.col("code_ks").alias("text"))
@@ -83,7 +108,7 @@ def _circular(t: files.Tables) -> DataFrame:
     node = lambda form, name: F.concat_ws("|", form, F.lower(name))
     named = t.comp.select("form_id", "comp_id", "name", "line")
     pointers = t.prop.where(F.lower("path").isin("dataset", "mastersource", "datasource") & (F.col("raw") != "")).join(named, ["form_id", "comp_id"])
-    found = scopes.cycles(pointers.select(node("form_id", "name").alias("child"), node("form_id", "raw").alias("parent")), "data_edges")
+    found = scopes.cycles(pointers.select(node("form_id", "name").alias("child"), node("form_id", "raw").alias("parent")))
     return named.join(found, node("form_id", "name") == found["node"]).select(F.col("form_id").alias("file_id"), named["line"].alias("line"), F.lit("DfmCircularDataSource").alias("kind"), F.col("name").alias("detail"))
 
 
@@ -104,11 +129,12 @@ def markers(t: files.Tables) -> DataFrame:
     return found.unionByName(of_forms)
 
 
-def scan(source: DataFrame, s: Settings = Settings(), keep=lambda df, name: df) -> DataFrame:
+def scan(source: DataFrame, s: Settings = Settings(), keep=written) -> DataFrame:
     """Findings of files (file_id, content, length).
 
     Order: profile and severity, suppression, path overrides, confidence, then changed files and the baseline. Overrides
     may raise a severity that the gate would have dropped. Indexes are made of all files, changed or not.
+    keep(df, name) holds tables that many rules read; by default it writes them.
     """
     t = files.tables(source, s.defined, keep)
     kinds = catalogue.profile(s.profile) | s.extra_kinds
@@ -146,6 +172,6 @@ def project_gaps(spark: SparkSession, listing: DataFrame, members: DataFrame, t:
     outside = listing.select("file_id", norm(F.col("file_id")).alias("m")).join(named, "m", "left_anti")
     unit = F.lower(F.regexp_extract("file_id", r"([^\\/]*)[.]\w+$", 1))
     uses = t.ast.where("kind = 'UsesItem'").select(unit.alias("child"), F.lower("name").alias("parent"))
-    reach = scopes.closure(uses, "uses_edges").join(named.select(F.regexp_extract("m", r"([^/]*)[.]\w+$", 1).alias("node")).distinct(), "node", "left_semi").select(F.col("ancestor").alias("unit")).distinct().withColumn("used", F.lit(True))
+    reach = scopes.closure(uses).join(named.select(F.regexp_extract("m", r"([^/]*)[.]\w+$", 1).alias("node")).distinct(), "node", "left_semi").select(F.col("ancestor").alias("unit")).distinct().withColumn("used", F.lit(True))
     out = outside.withColumn("unit", unit).join(reach, "unit", "left")
     return out.select("file_id", F.when(F.col("used") & F.lower("file_id").endswith(".pas"), "UsedButNotInProject").otherwise("NotIncludedInProject").alias("kind"))

@@ -224,18 +224,22 @@ class Rule:
 
 RULES = {p[1]: Rule(p[0], p[1], SEVERITY[p[2]], TYPES[p[3]], CONFIDENCE[p[4]]) for p in (line.split() for line in CATALOGUE.strip().splitlines())}
 
-#: Kinds that only the layout or the names of a source concern.
-STYLE = {
-    "TabulationCharacter", "TooLongLine", "TrailingWhitespace", "LowercaseKeyword", "EmptyArgumentList", "DigitGrouping", "UnitLevelKeywordIndent", "GroupedDeclaration", "ConsecutiveSection",
-    "BeginEndRequired", "IfElseBegin", "PointerName", "FieldName", "TypeName", "InterfaceName", "MethodName", "UnsortedUses", "MissingUnitHeader", "LocalConstantName", "RedundantParentheses",
+#: The kinds of the profiles. strict has all kinds, default all but those of style.
+PROFILES = {
+    "style": "PublicMemberWithoutDoc NilComparison BeginEndRequired WithStatement ClassPerFile DfmHardcodedCaption IfElseBegin",
+    "ide-fast": """MemoryLeak SQLInjection HardcodedSecret FormatMismatch NilDeref MissingFinally DivByZero DeadCode DebugOutput FileReadError DfmHardcodedDbCreds DfmDeadEvent DfmDuplicateBinding
+        DfmSchemaMismatch DfmCircularDataSource DfmSqlFromUserInput DfmRequiredFieldUnbound DfmRequiredFieldNotVisible DfmCrossFormCoupling DfmActionMismatch""",
+    "security": "SQLInjection HardcodedSecret HardcodedPath DfmHardcodedDbCreds DfmSqlFromUserInput",
+    "bugs-only": """MemoryLeak FormatMismatch NilDeref DivByZero SQLInjection HardcodedSecret FileReadError DfmDuplicateBinding DfmDeadEvent DfmSchemaMismatch DfmCircularDataSource DfmRequiredFieldUnbound
+        DfmRequiredFieldNotVisible DfmCrossFormCoupling DfmActionMismatch""",
+    "code-quality": """EmptyExcept UnusedUses MissingFinally DeadCode LongMethod LongParamList MagicNumber DebugOutput DeepNesting TodoComment EmptyMethod CyclomaticComplexity DuplicateString DuplicateBlock
+        DfmDefaultName DfmHardcodedCaption DfmOrphanHandler DfmEmptyBoundEvent DfmFieldTypeMismatch DfmTabOrderConflict DfmForbiddenClass DfmDbInUiForm DfmLayerViolation DfmGodHandler NotIncludedInProject UsedButNotInProject""",
+    "dfm-only": """DfmDefaultName DfmHardcodedCaption DfmHardcodedDbCreds DfmDuplicateBinding DfmDeadEvent DfmOrphanHandler DfmEmptyBoundEvent DfmSchemaMismatch DfmCircularDataSource DfmSqlFromUserInput
+        DfmRequiredFieldUnbound DfmRequiredFieldNotVisible DfmFieldTypeMismatch DfmTabOrderConflict DfmForbiddenClass DfmDbInUiForm DfmCrossFormCoupling DfmLayerViolation DfmGodHandler DfmActionMismatch""",
 }
 
 
 def profile(name: str) -> set[str]:
     """Kinds of a profile: strict, default, style, ide-fast, security, bugs-only, code-quality or dfm-only."""
-    of = lambda *types: {k for k, r in RULES.items() if r.type in types}
-    forms = {k for k in RULES if k.startswith("Dfm")}
-    return {
-        "strict": {*RULES}, "default": {*RULES} - STYLE, "style": STYLE, "ide-fast": {*RULES} - STYLE - of("CodeDuplication") - forms, "security": of("Vulnerability", "SecurityHotspot"),
-        "bugs-only": of("Bug"), "code-quality": of("CodeSmell", "CodeDuplication") - STYLE, "dfm-only": forms,
-    }[name]
+    style = {*PROFILES["style"].split()}
+    return {"strict": {*RULES}, "default": {*RULES} - style}.get(name) or {*PROFILES[name].split()}

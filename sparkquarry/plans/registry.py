@@ -1,13 +1,13 @@
-"""Queries over the driver's tables, each with the SQL that states the same result, and queries over program text."""
+"""Queries over the driver's tables, over sample units and over the cases of the rules, each with the SQL that states the same result."""
 
 from __future__ import annotations
 
-from . import code_queries, corpus, oracles
+from . import case_queries, code_queries, corpus, oracles
 
 
 def queries() -> dict:
-    return {name: getattr(corpus, name) for name in oracles.SQL} | {name: getattr(code_queries, name) for name in code_queries.NAMES}
+    return {name: getattr(corpus, name) for name in oracles.SQL} | code_queries.queries() | case_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | code_queries.oracle_sql() | case_queries.oracle_sql()

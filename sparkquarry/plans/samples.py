@@ -1,81 +1,47 @@
-"""A small corpus of units and forms, for queries and demonstrations where no program text is at hand."""
+"""A small corpus of units and a form, for queries and demonstrations where no program text is at hand."""
 
 from __future__ import annotations
 
-ORDERS = """unit uOrders;
-{ Orders of the shop }
+STATION = """unit uStation;
+{ readings of a weather station }
 interface
 
-uses System.SysUtils, Data.DB;
+uses Data.DB, System.SysUtils;
 
 type
-  TOrders = class(TForm)
-    btnSave: TButton;
-    edCity: TEdit;
-    qryOrders: TFDQuery;
-    procedure btnSaveClick(Sender: TObject);
-  private
-    FCache: TStringList;
-  public
-    constructor Create(AOwner: TComponent); override;
-    destructor Destroy; override;
-    function Sum(const Values: TArray<Double>): Double; virtual;
+  TStation = class(TForm)
+    btnRead: TButton;
+    edPlace: TEdit;
+    procedure btnReadClick(Sender: TObject);
   end;
 
 implementation
 
-constructor TOrders.Create(AOwner: TComponent);
-begin
-  inherited Create(AOwner);
-  FCache := TStringList.Create;
-end;
-
-destructor TOrders.Destroy;
-begin
-  FCache.Free;
-end;
-
-function TOrders.Sum(const Values: TArray<Double>): Double;
+procedure TStation.btnReadClick(Sender: TObject);
 var
   i: Integer;
 begin
-  Result := 0;
-  for i := 0 to High(Values) do
-    Result := Result + Values[i];
-end;
-
-procedure TOrders.btnSaveClick(Sender: TObject);
-var
-  log: TStringList;
-begin
-  log := TStringList.Create;
-  qryOrders.SQL.Text := 'SELECT * FROM orders WHERE city = ' + edCity.Text;
-  try
-    qryOrders.Open;
-  except
-  end;
-  if edCity.Text = 'x' then Exit;
-  ShellExecute(0, 'open', PChar('cmd /c ' + edCity.Text), nil, nil, 1);
-  apiToken := 'k3jd93kd03kd';
-  // TODO: page through the rows
+  for i := 1 to 3 do
+    Sample(i);
+  if edPlace.Text = '' then Exit;
+  Shell.Run(edPlace.Text);
+  Password := 'k3jd93kd03kd';
+  qryLog.SQL.Text := 'SELECT * FROM log WHERE place = ' + edPlace.Text;
 end;
 
 end.
 """
 
-ORDERS_FORM = """object Orders: TOrders
-  Caption = 'Orders'
-  object btnSave: TButton
+STATION_FORM = """object Station: TStation
+  Caption = 'Station'
+  object btnRead: TButton
     TabOrder = 0
-    OnClick = btnSaveClick
+    OnClick = btnReadClick
   end
-  object edCity: TEdit
+  object edPlace: TEdit
     TabOrder = 0
   end
-  object qryOrders: TFDQuery
-    MasterSource = dsCustomers
-  end
 end
 """
 
-SOURCES: dict[str, str | bytes] = {"shop/uOrders.pas": ORDERS, "shop/uOrders.dfm": ORDERS_FORM, "shop/uWide.pas": "unit uWide;\ninterface\nimplementation\nend.\n".encode("utf-16"), "shop/uOld.pas": b"unit uOld; // caf\xe9\n"}
+SOURCES: dict[str, str | bytes] = {"sky/uStation.pas": STATION, "sky/uStation.dfm": STATION_FORM, "sky/uWide.pas": "unit uWide;\ninterface\nimplementation\nend.\n".encode("utf-16"), "sky/uOld.pas": b"unit uOld; // caf\xe9\n"}

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkquarry.sources import files
+from sparkquarry.tables import written
 
 from . import analysis, catalogue
 
@@ -49,7 +50,7 @@ def source(spark: SparkSession, r: Request) -> tuple[DataFrame, DataFrame | None
     return listed, changed
 
 
-def run(spark: SparkSession, r: Request, keep=lambda df, name: df) -> DataFrame:
+def run(spark: SparkSession, r: Request, keep=written) -> DataFrame:
     every, changed = source(spark, r)
     return analysis.scan(every, replace(r.settings, changed=changed) if changed is not None else r.settings, keep)
 

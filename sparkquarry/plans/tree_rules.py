@@ -15,6 +15,11 @@ VIEWS = {
     "mtok": """select t.file_id, max(m.node_id) as method_id, t.seq, lower(ltrim('&', t.value)) as word, t.line, t.col from tok t join meth m on m.file_id = t.file_id and t.line between m.line and m.end_line
         where t.kind = 'ident' group by t.file_id, t.seq, t.value, t.line, t.col""",
     "lits": r"""select file_id, node_id, line, explode(regexp_extract_all(concat_ws(' ', name, type_ref), "'((?:[^']|'')*)'", 1)) as lit from ast where kind in ('Assign', 'Call', 'Value', 'Raise', 'IfStmt')""",
+    # names that the interface of a unit declares, and the words of its enumerations
+    "declared": r"""select distinct lower(u.name) as unit, lower(w.name) as name from ast u join ast s on s.file_id = u.file_id and s.kind = 'Section' and s.name = 'interface'
+        join ast d on d.file_id = s.file_id and d.node_id between s.node_id + 1 and s.last_pre and d.kind not in ('UsesItem', 'Uses', 'Section')
+        lateral view explode(case when d.kind = 'EnumType' then array_append(regexp_extract_all(d.type_ref, '([A-Za-z_][A-Za-z0-9_]*)', 1), d.name) else array(substring_index(regexp_replace(d.name, '<.*$', ''), '.', -1)) end) w as name
+        where u.kind = 'Unit' and w.name <> '' and not exists (select 1 from ast i where i.file_id = u.file_id and i.kind = 'Section' and i.name = 'initialization')""",
     "loops": "select * from ast where kind in ('ForStmt', 'WhileStmt', 'RepeatStmt')",
     "vars": "select * from ast where kind in ('LocalVar', 'Param')",
     "pv": """select form_id, comp_id, max(case when lower(path) = 'datasource' then raw end) as datasource, max(case when lower(path) = 'datafield' then raw end) as datafield, max(case when lower(path) = 'dataset' then raw end) as dataset,
@@ -51,13 +56,12 @@ _members = """
    and d.type_ref not like 'constructor%' and d.type_ref not like 'destructor%'"""
 _refs = f"""
  select p.file_id, p.owner, p.short, p.name, p.line,
-   max(case when t.file_id <> p.file_id and (k.short is null) then 1 else 0 end) as external, max(case when k.short is not null and k.short <> p.owner then 1 else 0 end) as subclass,
-   max(case when t.file_id = p.file_id and coalesce(m.owner, '') <> p.owner then 1 else 0 end) as unit, max(case when t.file_id = p.file_id and m.owner = p.owner then 1 else 0 end) as self
+   max(case when not (coalesce(m.short = p.short and m.owner = p.owner and t.line = m.line, false)) and t.file_id <> p.file_id and (k.short is null) then 1 else 0 end) as external, max(case when not (coalesce(m.short = p.short and m.owner = p.owner and t.line = m.line, false)) and k.short is not null and k.short <> p.owner then 1 else 0 end) as subclass,
+   max(case when not (coalesce(m.short = p.short and m.owner = p.owner and t.line = m.line, false)) and t.file_id = p.file_id and coalesce(m.owner, '') <> p.owner then 1 else 0 end) as unit, max(case when not (coalesce(m.short = p.short and m.owner = p.owner and t.line = m.line, false)) and t.file_id = p.file_id and m.owner = p.owner then 1 else 0 end) as self
  from ({_members}) p
  left join (select x.file_id, x.word, x.method_id, x.line, x.col from mtok x) t on t.word = p.short
  left join meth m on m.file_id = t.file_id and m.node_id = t.method_id
  left join (select distinct e.child as short, e.parent from edges e) k on k.short = m.owner and k.parent = p.owner
- where t.word is null or not (m.short = p.short and m.owner = p.owner and t.line = m.line)
  group by 1, 2, 3, 4, 5"""
 
 AST: dict[str, str] = {
@@ -75,18 +79,12 @@ AST: dict[str, str] = {
         regexp_replace(regexp_replace(regexp_extract(t, "(?i)\\bFormat *[(] *'((?:[^']|'')*)' *, *\\[((?:[^\\[\\]]|\\[[^\\]]*\\])*)\\]", 2), "'(?:[^']|'')*'", "''"), "[(][^()]*[)]|\\[[^\\]]*\\]", '') as args
         from (select file_id, line, name, concat_ws(' ', name, type_ref) as t from ast where kind in ('Assign', 'Call', 'Raise')) where t rlike "(?i)\\bFormat *[(] *'")
         where fmt <> '' and regexp_count(replace(fmt, '%%', ''), '%(?:\\d+:)?-?(?:\\d+|\\*)?(?:\\.(?:\\d+|\\*))?[dufegnmpsxDUFEGNMPSX]') <> case when trim(args) = '' then 0 else regexp_count(args, ',') + 1 end and fmt not rlike '%\\d+:|\\*'""",
-    "UnusedUses": "select u.file_id, u.line, u.name as detail from ast u where u.kind = 'UsesItem' and false",
-    "NilDeref": rf"""select d.file_id, min(d.line) as line, n.name as detail from ast n join ast d on d.file_id = n.file_id and d.method_id = n.method_id and d.node_id > n.node_id and d.kind in ('Assign', 'Call') and d.parent_id = n.parent_id
-        and concat_ws(' ', d.name, d.type_ref) rlike concat('(?i)(?<![A-Za-z0-9_.])', n.name, '[.](?!Free\\b|Destroy\\b)\\w')
-        where n.kind = 'Assign' and lower(n.type_ref) = 'nil' and n.name rlike '^\\w+$'
-        and not exists (select 1 from ast x where x.file_id = n.file_id and x.method_id = n.method_id and x.node_id > n.node_id and x.node_id < d.node_id and (x.kind = 'Assign' and lower(x.name) = lower(n.name) or x.kind in ('Call', 'IfStmt', 'WhileStmt') and {word('n.name', 'x.name')}))
-        group by d.file_id, n.node_id, n.name""",
+    # Units of the corpus only: what others declare isn't known. Units that are used for their initialization are used.
+    "UnusedUses": """select u.file_id, u.line, u.name as detail from ast u join (select distinct unit from declared) k on k.unit = lower(u.name)
+        left anti join (select distinct t.file_id, n.unit from tok t join declared n on n.name = lower(ltrim('&', t.value)) where t.kind = 'ident') x on x.file_id = u.file_id and x.unit = lower(u.name) where u.kind = 'UsesItem'""",
     "MissingFinally": rf"""select a.file_id, a.line, a.name as detail from ast a join ast v on v.file_id = a.file_id and v.method_id = a.method_id and v.kind = 'LocalVar' and lower(v.name) = lower(a.name)
         where a.kind = 'Assign' and a.type_ref rlike '(?i)^T\\w+(<[^>]*>)?[.]Create\\b' and exists (select 1 from ast f where f.file_id = a.file_id and f.method_id = a.method_id and f.kind = 'Call' and f.name rlike {FREE.format('a.name')})
         and not exists (select 1 from ast t where t.file_id = a.file_id and t.method_id = a.method_id and t.kind = 'TryFinally')""",
-    "DivByZero": rf"""select d.file_id, d.line, d.div as detail from (select file_id, line, method_id, node_id, explode(array_union(regexp_extract_all({NOSTR.format("concat_ws(' ', name, type_ref)")}, '(?i)\\b(?:div|mod)\\s+(\\w+)(?![\\w.(])', 1), regexp_extract_all({NOSTR.format("concat_ws(' ', name, type_ref)")}, '/\\s*(\\w+)(?![\\w.(])', 1))) as div from ast where kind in ('Assign', 'Call')) d
-        where d.div = '0' or exists (select 1 from vars v where v.file_id = d.file_id and v.method_id = d.method_id and lower(v.name) = lower(d.div) and lower(v.type_ref) in ('integer', 'int64', 'cardinal', 'word', 'byte', 'nativeint', 'longint', 'smallint') and v.kind = 'Param')
-        and not exists (select 1 from ast g where g.file_id = d.file_id and g.method_id = d.method_id and (g.kind in ('IfStmt', 'WhileStmt', 'CaseStmt') and {word('d.div', 'g.name')} or g.kind = 'Call' and g.name rlike '(?i)^Assert\\b' and {word('d.div', 'g.name')} or g.kind = 'Assign' and lower(g.name) = lower(d.div)))""",
     "DeadCode": """select file_id, line, detail from (select file_id, line, kind, name as detail, node_id, lag(kind) over w as before, lag(end_line) over w as before_line, lag(parent_id) over w as p from ast
         where kind in ('Assign', 'Call', 'IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt', 'TryFinally', 'TryExcept', 'Exit', 'Raise', 'Inherited', 'LabelMark', 'Block', 'Jump', 'Goto', 'WithStmt') window w as (partition by file_id, parent_id order by sibling_ix)) x
         where before in ('Exit', 'Raise') and kind <> 'LabelMark' and not exists (select 1 from ranges r where r.file_id = x.file_id and r.end_line between x.before_line and x.line)""",
@@ -156,14 +154,24 @@ AST: dict[str, str] = {
     "ExceptionTooGeneral": "select h.file_id, h.line, h.type_ref as detail from ast h where h.kind = 'OnHandler' and lower(h.type_ref) = 'exception' and not exists (select 1 from ast r where r.file_id = h.file_id and r.node_id between h.node_id and h.last_pre and (r.kind = 'Raise' or r.name rlike '(?i)log|HandleException|ShowException'))",
     "RaiseOutsideExcept": "select r.file_id, r.line, '' as detail from ast r where r.kind = 'Raise' and r.name = 'raise' and not exists (select 1 from ast e where e.file_id = r.file_id and e.kind in ('ExceptBlock', 'OnHandler') and r.node_id > e.node_id and r.node_id <= e.last_pre)",
     "AbstractNotImpl": "select k.file_id, k.line, concat(k.name, '.', d.name) as detail from klass k join decl d on d.file_id = k.file_id and d.owner = k.base and d.mods like '%;abstract;%' where k.mods not like '%abstract%' and not exists (select 1 from decl o where o.file_id = k.file_id and o.owner = k.short and o.short = d.short) and not exists (select 1 from edges e where e.parent = k.short)",
-    "LeakInConstructor": "select distinct a.file_id, a.line, a.name as detail from ast a join meth m on m.file_id = a.file_id and m.node_id = a.method_id and m.type_ref = 'constructor' join ast r on r.file_id = a.file_id and r.method_id = a.method_id and r.kind = 'Raise' and r.node_id > a.node_id where a.kind = 'Assign' and a.name rlike '^(Self[.])?F[A-Z]' and a.type_ref rlike '(?i)^T\\\\w+[.]Create\\\\b' and not exists (select 1 from ast t where t.file_id = a.file_id and t.method_id = a.method_id and t.kind = 'TryExcept') and not exists (select 1 from meth d where d.file_id = a.file_id and d.owner = m.owner and d.type_ref = 'destructor')",
+    "LeakInConstructor": "select distinct m.file_id, m.line, m.name as detail from ast a join meth m on m.file_id = a.file_id and m.node_id = a.method_id and m.type_ref = 'constructor' join ast r on r.file_id = a.file_id and r.method_id = a.method_id and r.kind = 'Raise' and r.node_id > a.node_id where a.kind = 'Assign' and a.name rlike '^(Self[.])?F[A-Z]' and a.type_ref rlike '(?i)^T\\\\w+[.]Create\\\\b' and not exists (select 1 from ast t where t.file_id = a.file_id and t.method_id = a.method_id and t.kind = 'TryExcept') and not exists (select 1 from meth d where d.file_id = a.file_id and d.owner = m.owner and d.type_ref = 'destructor')",
     "IntegerOverflow": rf"select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join vars v on v.file_id = a.file_id and v.method_id = a.method_id and lower(v.name) = lower(a.name) and lower(v.type_ref) in ('int64', 'uint64') where a.kind = 'Assign' and a.type_ref rlike '^\\w+\\s*[*]\\s*\\w+$' and a.type_ref not rlike '(?i)int64' and not exists (select 1 from vars o where o.file_id = a.file_id and o.method_id = a.method_id and lower(o.type_ref) in ('int64', 'uint64', 'double', 'extended', 'single') and {word('o.name', 'a.type_ref')})",
     "GodClass": "select k.file_id, k.line, concat(k.name, ' ', count_if(x.kind = 'MethodDecl'), ' methods ', count_if(x.kind = 'Field'), ' fields') as detail from klass k join ast x on x.file_id = k.file_id and x.parent_id = k.node_id group by k.file_id, k.node_id, k.line, k.name having (count_if(x.kind = 'MethodDecl') > 20 or count_if(x.kind = 'Field' and x.mods not like '%;class') > 15) and not (count_if(x.kind = 'MethodDecl') > 0 and count_if(x.kind = 'MethodDecl') = count_if(x.kind = 'MethodDecl' and x.mods rlike ';(abstract|external);'))",
-    "FreeWithoutNil": rf"select c.file_id, c.line, c.name as detail from ast c join meth m on m.file_id = c.file_id and m.node_id = c.method_id and m.type_ref <> 'destructor' where c.kind = 'Call' and c.name rlike '(?i)^F\\w+[.]Free$' and not exists (select 1 from ast n where n.file_id = c.file_id and n.method_id = c.method_id and n.node_id > c.node_id and (n.kind = 'Assign' and lower(n.name) = lower(substring_index(c.name, '.', 1)) or n.name rlike concat('(?i)FreeAndNil *[(] *', substring_index(c.name, '.', 1))))",
+    "InsecureRandom": r"""select l.file_id, l.line_no as line, trim(l.text) as detail from lines l where l.code_ns rlike '(?i)(?<![\\w.])Random(Range|From)?\\s*([(]|;|[)])' and l.code_ns not rlike '(?i)\\b(function|procedure)\\b'
+        and not exists (select 1 from tok t where t.file_id = l.file_id and t.kind = 'ident' and lower(t.value) = 'randomize')""",
+    "ThreadFreeOnTerminateWithRef": r"""select distinct u.file_id, u.line, f.who as detail from (select *, lower(regexp_extract(name, '(?i)^([A-Za-z_]\\w*)[.]FreeOnTerminate$', 1)) as who from ast where kind = 'Assign' and lower(type_ref) = 'true') f
+        join (select file_id, method_id, lower(substring_index(name, '.', 1)) as who, min(line) as line from ast where kind = 'Call' and name rlike '(?i)^[A-Za-z_]\\w*[.](Start|Resume)$' group by 1, 2, 3) s on s.file_id = f.file_id and s.method_id = f.method_id and s.who = f.who
+        join ast u on u.file_id = f.file_id and u.method_id = f.method_id and u.line > s.line and u.kind in ('Call', 'Assign') and case when u.kind = 'Call' then u.name else u.type_ref end rlike concat('(?i)(?<![A-Za-z0-9_.])', f.who, '\\s*[.]\\s*(?!(Start|Execute|Resume)\\b)\\w') where f.who <> ''""",
+    "FreeWithoutNil": rf"""select c.file_id, c.line, c.name as detail from (select *, lower(regexp_extract(name, '(?i)^(?:Self[.])?(\\w+)[.]Free$', 1)) as what from ast where kind = 'Call' and name rlike '(?i)^(Self[.])?\\w+[.]Free$') c
+        join meth m on m.file_id = c.file_id and m.node_id = c.method_id join ast b on b.file_id = c.file_id and b.node_id = c.parent_id
+        where c.what not in ('self', 'result', 'inherited') and not exists (select 1 from vars v where v.file_id = c.file_id and v.method_id = c.method_id and lower(v.name) = c.what)
+        and not exists (select 1 from ast n where n.file_id = c.file_id and n.method_id = c.method_id and n.line > c.line and (n.kind = 'Assign' and lower(replace(lower(n.name), 'self.', '')) = c.what or n.name rlike concat('(?i)FreeAndNil *[(] *(Self[.])?', c.what, '\\b')))
+        and c.node_id < m.last_pre""",
     "MultipleExit": "select m.file_id, m.line, concat(m.name, ' ', count(*)) as detail from meth m join ast x on x.file_id = m.file_id and x.method_id = m.node_id and x.kind = 'Exit' group by m.file_id, m.node_id, m.line, m.name having count(*) > 6",
     "LargeClass": "select k.file_id, k.line, k.name as detail from klass k left join (select file_id, owner, sum(end_line - line + 1) as n from meth group by file_id, owner) m on m.file_id = k.file_id and m.owner = k.short where k.end_line - k.line + 1 + coalesce(m.n, 0) > 500",
     "UnsortedUses": "select file_id, line, '' as detail from (select u.file_id, u.line, transform(array_sort(collect_list(struct(i.sibling_ix, lower(i.name) as name))), x -> x.name) as names from ast u join ast i on i.file_id = u.file_id and i.parent_id = u.node_id and i.kind = 'UsesItem' where u.kind = 'Uses' group by u.file_id, u.node_id, u.line) where names <> array_sort(names)",
-    "MissingUnitHeader": "select i.file_id, i.line, '' as detail from ast i where i.kind = 'Section' and i.name = 'interface' and not exists (select 1 from lines l where l.file_id = i.file_id and l.line_no <= i.line and trim(l.comment) <> '')",
+    "MissingUnitHeader": """select u.file_id, u.line, '' as detail from ast u join ast i on i.file_id = u.file_id and i.kind = 'Section' and i.name = 'interface' where u.kind = 'Unit' and u.mods = 'unit'
+        and not exists (select 1 from lines l where l.file_id = u.file_id and l.line_no > u.line and l.line_no < i.line and (trim(l.text) like '//%' or trim(l.text) like '{%' or trim(l.text) like '(*%'))""",
     "FloatEquality": r"select c.file_id, c.line, c.name as detail from ast c join vars v on v.file_id = c.file_id and v.method_id = c.method_id and lower(v.type_ref) in ('double', 'single', 'extended', 'real') and c.name rlike concat('(?i)(?<![A-Za-z0-9_.<>:])', v.name, '\\s*(=|<>)\\s*(?!nil|\\d+(?![\\d.]))[\\w(]|(?<![<>:])(=|<>)\\s*', v.name, '(?![A-Za-z0-9_.(])') where c.kind in ('IfStmt', 'WhileStmt', 'RepeatStmt')",
     "ExceptInDestructor": "select r.file_id, r.line, r.name as detail from ast r join meth m on m.file_id = r.file_id and m.node_id = r.method_id and m.type_ref = 'destructor' where r.kind = 'Raise' and not exists (select 1 from ast t where t.file_id = r.file_id and t.kind = 'TryExcept' and r.node_id > t.node_id and r.node_id <= t.last_pre)",
     "BooleanParam": f"select distinct p.file_id, p.line, p.name as detail from ast p join meth m on m.file_id = p.file_id and m.node_id = p.parent_id and m.short not like 'set%' join ast i on i.file_id = p.file_id and i.method_id = m.node_id and i.kind = 'IfStmt' and {word('p.name', 'i.name')} where p.kind = 'Param' and lower(p.type_ref) = 'boolean'",
@@ -173,11 +181,6 @@ AST: dict[str, str] = {
     "ConstantReturn": r"""select m.file_id, m.line, m.name as detail from meth m join ast a on a.file_id = m.file_id and a.method_id = m.node_id and a.kind = 'Assign' and lower(a.name) = 'result' where m.type_ref like 'function%' group by m.file_id, m.node_id, m.line, m.name having count(*) >= 2 and count(distinct a.type_ref) = 1 and bool_and(a.type_ref rlike "^(-?[0-9.]+|'[^']*'|(?i:True|False|nil))$")""",
     "CommandInjection": rf"select file_id, line, name as detail from ast where kind in ('Call', 'Assign') and {NOSTR.format('''concat_ws(' ', name, type_ref)''')} rlike '(?i)(?<![A-Za-z0-9_])(ShellExecute(Ex)?[AW]?|CreateProcess[AW]?|WinExec) *[(][^;]*[+]'",
     "UnusedRoutine": "select m.file_id, m.line, m.name as detail from meth m join ast s on s.file_id = m.file_id and s.node_id = m.parent_id and s.kind = 'Section' and s.name = 'implementation' where m.owner = '' and m.short not in ('register', 'movenext', 'getenumerator', 'current') and m.type_ref not rlike '^(con|de)structor' and m.mods not rlike ';(external|export|message);' and not exists (select 1 from ast d where d.file_id = m.file_id and d.kind = 'MethodDecl' and lower(d.name) = m.short) and not exists (select 1 from tok t where t.file_id = m.file_id and lower(t.value) = m.short and t.line not between m.line and m.end_line)",
-    "UninitVar": r"""select r.file_id, r.line, r.name as detail from (
-          select v.file_id, v.name, min(case when x.kind = 'Assign' and lower(x.name) = lower(v.name) or x.kind = 'ForStmt' and lower(x.name) = lower(v.name) or x.kind in ('Call', 'IfStmt', 'Assign', 'WhileStmt') and concat_ws(' ', x.name, x.type_ref) rlike concat('(?i)[(,]\\s*@?', v.name, '\\s*[,)]') then x.node_id end) as w,
-            min(case when x.kind in ('Assign', 'IfStmt', 'WhileStmt', 'CaseStmt', 'Exit') and (case when x.kind = 'Assign' then x.type_ref else concat_ws(' ', x.name, x.type_ref) end) rlike concat('(?i)(?<![A-Za-z0-9_.(,@])', v.name, '(?![A-Za-z0-9_.\\[])') then x.node_id end) as rd, min_by(x.line, case when x.kind in ('Assign', 'IfStmt', 'WhileStmt', 'CaseStmt', 'Exit') and (case when x.kind = 'Assign' then x.type_ref else concat_ws(' ', x.name, x.type_ref) end) rlike concat('(?i)(?<![A-Za-z0-9_.(,@])', v.name, '(?![A-Za-z0-9_.\\[])') then x.node_id end) as line
-          from ast v join ast x on x.file_id = v.file_id and x.method_id = v.method_id and x.node_id > v.node_id where v.kind = 'LocalVar' and v.name not like '\\_%' and lower(v.type_ref) in ('integer', 'boolean', 'double', 'int64', 'cardinal', 'byte', 'word', 'single', 'extended', 'char', 'pointer', 'longint', 'nativeint') and not exists (select 1 from ast s where s.file_id = v.file_id and s.method_id = v.method_id and s.kind = 'Asm') group by v.file_id, v.node_id, v.name) r
-        where r.rd is not null and (r.w is null or r.rd < r.w)""",
     "DefaultCaseInCaseStatement": "select c.file_id, c.line, c.name as detail from ast c left anti join ast a on a.file_id = c.file_id and a.parent_id = c.node_id and a.kind = 'CaseArm' and a.name = 'else' where c.kind = 'CaseStmt'",
     "AssertWithSideEffect": r"select file_id, line, name as detail from ast where kind = 'Call' and name rlike '(?i)^Assert *[(].*?\\b(?!Assigned|Length|High|Low|Ord|Supports|SameText|Pos|Copy|Trim|Abs|Odd|FileExists|DirectoryExists|IsNan|InRange|Assert|not|and|or|SizeOf|Format|Integer|Cardinal|NativeInt|Pointer|string|Is\\w*|Has\\w*|Can\\w*|Get\\w*|Contains\\w*)[A-Za-z_]\\w* *[(]|^Assert *[(] *(Delete|Remove|Add|Open|Close|Insert|Update|Save|Load|Write|Read|Execute|Next|Move|Set)\\w* *[,)]'",
     "ConstStringParameter": "select p.file_id, p.line, p.name as detail from ast p join ast m on m.file_id = p.file_id and m.node_id = p.parent_id and m.kind in ('Method', 'MethodDecl') where p.kind = 'Param' and p.mods = '' and lower(p.type_ref) in ('string', 'ansistring', 'widestring', 'unicodestring', 'utf8string', 'rawbytestring')",
@@ -190,9 +193,10 @@ AST: dict[str, str] = {
         group by m.file_id, m.node_id, m.line, m.name, s.node_id) group by file_id, mid, line, name having sum(n) > 15""",
     "AttributeDuplicate": "select file_id, line, name as detail from (select file_id, line, name, row_number() over (partition by file_id, parent_id, name, next order by node_id) as rn from (select *, first_value(case when kind <> 'Attribute' then node_id end, true) over (partition by file_id, parent_id order by sibling_ix rows between 1 following and unbounded following) as next from ast) where kind = 'Attribute') where rn > 1",
     "AttributeMisalignment": r"select file_id, line_no as line, '' as detail from (select file_id, line_no, code_ns, lead(text) over (partition by file_id order by line_no) as after from lines) where code_ns rlike '^\\s*\\[\\s*[A-Z]\\w*(\\([^)]*\\))?\\s*\\]\\s*$' and trim(after) = ''",
-    "ManagedResultUninit": rf"""select file_id, line, name as detail from (select m.file_id, m.line, m.name, min(case when x.kind = 'Assign' and lower(x.name) = 'result' and not {word("'result'", 'x.type_ref')} or x.kind in ('Call', 'Inherited') and {word("'result'", 'x.name')} then x.node_id end) as w,
-          min(case when (case when x.kind = 'Assign' then x.type_ref when x.kind in ('IfStmt', 'WhileStmt', 'Exit') then concat_ws(' ', x.name, x.type_ref) end) rlike '(?i)(?<![A-Za-z0-9_.])result(?![A-Za-z0-9_])' then x.node_id end) as rd
-          from meth m join ast x on x.file_id = m.file_id and x.method_id = m.node_id where m.type_ref rlike '(?i)^function:(string|ansistring|unicodestring|TArray<.*|array of .*|I[A-Z]\\w*)$' group by m.file_id, m.node_id, m.line, m.name) where rd is not null and (w is null or rd <= w)""",
+    "ManagedResultUninit": rf"""select file_id, rd_line as line, name as detail from (select m.file_id, m.line, m.name, min(case when x.kind = 'Assign' and lower(x.name) = 'result' and not {word("'result'", 'x.type_ref')} or x.kind in ('Call', 'Inherited') and {word("'result'", 'x.name')} then x.node_id end) as w,
+          min(case when (case when x.kind = 'Assign' then x.type_ref when x.kind in ('IfStmt', 'WhileStmt', 'Exit') then concat_ws(' ', x.name, x.type_ref) end) rlike '(?i)(?<![A-Za-z0-9_.])result(?![A-Za-z0-9_])' then x.node_id end) as rd,
+          min_by(x.line, x.node_id) filter (where (case when x.kind = 'Assign' then x.type_ref when x.kind in ('IfStmt', 'WhileStmt', 'Exit') then concat_ws(' ', x.name, x.type_ref) end) rlike '(?i)(?<![A-Za-z0-9_.])result(?![A-Za-z0-9_])') as rd_line
+          from meth m join ast x on x.file_id = m.file_id and x.method_id = m.node_id where m.type_ref rlike '(?i)^function:(string|ansistring|unicodestring|TArray<.*|array of .*|(?-i:I[A-Z])\\w*)$' group by m.file_id, m.node_id, m.line, m.name) where rd is not null and (w is null or rd <= w)""",
     "CompilerDirectiveScope": r"""select file_id, max_by(line_no, line_no) as line, name as detail from (select file_id, line_no, upper(regexp_extract(text, '(?i)[{][$](WARNINGS|HINTS|RANGECHECKS|OVERFLOWCHECKS|WARN \\w+)\\s+(ON|OFF)', 1)) as name, upper(regexp_extract(text, '(?i)[{][$](WARNINGS|HINTS|RANGECHECKS|OVERFLOWCHECKS|WARN \\w+)\\s+(ON|OFF)', 2)) as state from lines where text rlike '(?i)[{][$](WARNINGS|HINTS|RANGECHECKS|OVERFLOWCHECKS|WARN \\w+)\\s+(ON|OFF)')
         group by file_id, name having max_by(state, line_no) = 'OFF'""",
     "SourceUtf8NoBom": "select file_id, high_line as line, '' as detail from texts where bom = '' and valid_utf8 and non_ascii and lower(file_id) not like '%.dfm'",
@@ -208,7 +212,8 @@ AST: dict[str, str] = {
 FORM: dict[str, str] = {
     "DfmDefaultName": "select form_id as file_id, line, name as detail from comp where parent_id is not null and name rlike concat('(?i)^', regexp_replace(class, '^T', ''), '[0-9]+$')",
     "DfmHardcodedCaption": "select form_id as file_id, line, concat(path, ' = ', raw) as detail from prop where kind = 'String' and lower(path) in ('caption', 'hint', 'text') and raw rlike '[A-Za-z]{2}'",
-    "DfmHardcodedDbCreds": r"""select c.form_id as file_id, c.line, c.name as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id where c.class rlike '(?i)(Connection|Database|Session|Query|Login)' and (trim(coalesce(p.password, '')) <> '' or p.connection rlike "(?i)(password|pwd)=[^;'\\s]+")""",
+    "DfmHardcodedDbCreds": r"""select c.form_id as file_id, p.line, concat(c.name, '.', p.path) as detail from comp c join prop p on p.form_id = c.form_id and p.comp_id = c.comp_id where c.class rlike '(?i)(Connection|Database|Session|Query|Login)'
+        and (lower(p.path) = 'password' and p.kind = 'String' and p.raw <> '' or lower(p.path) in ('connectionstring', 'params.strings', 'params') and p.raw rlike '(?i)(password|pwd)=')""",
     "DfmDuplicateBinding": "select form_id as file_id, line, concat(datasource, '.', datafield) as detail from (select c.form_id, c.line, p.datasource, p.datafield, count(*) over (partition by c.form_id, lower(p.datasource), lower(p.datafield)) as n from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id where p.datasource <> '' and p.datafield <> '') where n > 1",
     "DfmDeadEvent": "select e.form_id as file_id, e.line, concat(e.event, ' = ', e.handler) as detail from evt e join form f on f.form_id = e.form_id join klass k on k.file_id = f.unit_id and k.short = f.short where e.handler not like '%.%' and k.base in ('tform', 'tframe', 'tdatamodule') and not exists (select 1 from decl d where d.file_id = f.unit_id and d.owner = f.short and d.short = lower(e.handler))",
     "DfmOrphanHandler": "select d.file_id, d.line, d.name as detail from decl d join form f on f.unit_id = d.file_id and f.short = d.owner join ast p on p.file_id = d.file_id and p.parent_id = d.node_id and p.kind = 'Param' and lower(p.type_ref) = 'tobject' and lower(p.name) = 'sender' where d.mods like '%;published;%' and not exists (select 1 from evt e where e.form_id = f.form_id and lower(e.handler) = d.short)",

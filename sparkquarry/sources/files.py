@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.tables import written
+
 from . import forms, pascal
 
 MAX_BYTES = 5 << 20
@@ -140,8 +142,8 @@ def _per_file(source: DataFrame, schema: str, rows_of) -> DataFrame:
     return source.select("file_id", "text").mapInPandas(run, schema)
 
 
-def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=lambda df, name: df) -> Tables:
-    """keep(df, name) may write or cache a table; a tree that many rules read should be kept."""
+def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=written) -> Tables:
+    """keep(df, name) holds a table that many rules read; by default it is written."""
     text = keep(texts(files), "texts")
     form = F.lower("file_id").endswith(".dfm")
     code, forms_ = text.where(~form), text.where(form)
@@ -156,7 +158,7 @@ def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=lamb
     ranges = _per_file(code, RANGES, lambda t, n: [(n, *r) for r in pascal.lexed(t, defined)[1]])
     comp = _per_file(forms_, forms.COMP, lambda t, n: forms.parsed(t, n)[0])
     prop = _per_file(forms_, forms.PROP, lambda t, n: forms.parsed(t, n)[1])
-    return Tables(files, text, keep(lines, "lines"), tree, keep(tokens, "tok"), ranges, keep(comp, "comp"), keep(prop, "prop"))
+    return Tables(files, text, keep(lines, "lines"), tree, keep(tokens, "tok"), keep(ranges, "ranges"), keep(comp, "comp"), keep(prop, "prop"))
 
 
 # project files

@@ -15,7 +15,7 @@ type
   TMore = class(TBase)
   end;
 var
-  Main: TOrders;
+  Main: TStation;
 implementation
 procedure TBase.Go;
 var
@@ -29,7 +29,7 @@ B = "unit B; interface implementation procedure P; var b: TMore; begin b.Go; end
 
 @pytest.fixture(scope="module")
 def t(spark):
-    return files.tables(files.in_memory(spark, {"A.pas": A, "B.pas": B, **samples.SOURCES}), keep=lambda df, name: df.cache())
+    return files.tables(files.in_memory(spark, {"A.pas": A, "B.pas": B, **samples.SOURCES}))
 
 
 def test_indexes(t):
@@ -37,8 +37,8 @@ def test_indexes(t):
     assert ("tmore", "tobject", 2) in {tuple(r) for r in indexes.descendants(t).collect()}
     assert {r["name"] for r in indexes.leaky_classes(t).collect()} == {"tbase", "tmore"}
     types = {(r["file_id"], r["name"], r["type"]) for r in indexes.resolved_types(t).collect()}
-    assert {("A.pas", "x", "Integer"), ("B.pas", "b", "TMore"), ("A.pas", "main", "TOrders")} <= types
-    assert {r["member"]: r["bound"] for r in indexes.form_bindings(t).collect()} == {"btnsave": True, "edcity": True, "qryorders": True, "btnsaveclick": True}
+    assert {("A.pas", "x", "Integer"), ("B.pas", "b", "TMore"), ("A.pas", "main", "TStation")} <= types
+    assert {r["member"]: r["bound"] for r in indexes.form_bindings(t).collect()} == {"btnread": True, "edplace": True, "btnreadclick": True}
     assert [(r["name"], r["ambiguous"]) for r in indexes.form_variables(t).collect()] == [("main", False)]
     assert indexes.word_positions(t).where("word = 'go' and file_id = 'B.pas'").first()["lines"] == [1]
     assert indexes.frames(t).count() == 0 and indexes.data_bindings(t).count() == 0 and indexes.type_kinds(t).count() == 3

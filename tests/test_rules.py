@@ -122,7 +122,7 @@ EXPECTED = {
     ("uMain.pas", "MissingRaise", 66), ("uMain.pas", "RaisingRawException", 67), ("uMain.pas", "DeadCode", 68), ("uMain.pas", "GotoStatement", 68), ("uMain.pas", "TodoComment", 69), ("uMain.pas", "HardcodedSecret", 70),
     ("uMain.pas", "HttpInsteadOfHttps", 71), ("uMain.pas", "DefaultCaseInCaseStatement", 72), ("uMain.pas", "FreeAndNilHint", 75), ("uMain.pas", "RaiseOutsideExcept", 76), ("uMain.pas", "DfmOrphanHandler", 11),
     ("uMain.dfm", "DfmHardcodedCaption", 2), ("uMain.dfm", "DfmDefaultName", 3), ("uMain.dfm", "DfmActionMismatch", 3), ("uMain.dfm", "DfmTabOrderConflict", 3), ("uMain.dfm", "DfmTabOrderConflict", 8), ("uMain.dfm", "DfmDeadEvent", 10),
-    ("uMain.dfm", "DfmEmptyBoundEvent", 5), ("uMain.dfm", "DfmMasterDetailUnlinked", 12), ("uMain.dfm", "DfmDbInUiForm", 12), ("uMain.dfm", "DfmCircularDataSource", 12), ("uMain.dfm", "DfmHardcodedDbCreds", 19), ("uMain.dfm", "DfmLayerViolation", 8),
+    ("uMain.dfm", "DfmEmptyBoundEvent", 5), ("uMain.dfm", "DfmMasterDetailUnlinked", 12), ("uMain.dfm", "DfmDbInUiForm", 12), ("uMain.dfm", "DfmCircularDataSource", 12), ("uMain.dfm", "DfmHardcodedDbCreds", 20), ("uMain.dfm", "DfmLayerViolation", 8),
     ("uMain.dfm", "DfmSchemaMismatch", 12), ("uMain.dfm", "DfmForbiddenClass", 16),
 }
 CLEAN = """unit uClean;
@@ -147,13 +147,13 @@ end.
 @pytest.fixture(scope="module")
 def tables(spark):
     sources = {"uMain.pas": UNIT, "uMain.dfm": FORM, "uClean.pas": CLEAN, "bad.pas": b"\xef\xbb\xbfunit x;\n\xff\n", "wide.pas": "unit y;".encode("utf-16")}
-    return files.tables(files.in_memory(spark, sources), keep=lambda df, name: df.cache())
+    return files.tables(files.in_memory(spark, sources))
 
 
 @pytest.fixture(scope="module")
 def found(tables):
     s = analysis.Settings(forbidden_classes=("TDataSource",))
-    return {(r["file_id"], r["kind"], r["line"]) for r in analysis.raw_findings(tables, {*catalogue.RULES}, s, lambda df, name: df.cache()).select("file_id", "kind", "line").collect()}
+    return {(r["file_id"], r["kind"], r["line"]) for r in analysis.raw_findings(tables, {*catalogue.RULES}, s).select("file_id", "kind", "line").collect()}
 
 
 def test_expected_findings(found):
@@ -177,11 +177,10 @@ def test_catalogue_is_whole():
 
 def test_scan_filters_in_order(spark):
     source = "unit u;\n// noinspection GotoStatement, MagicNumber\nprocedure A;\nbegin\n  // noinspection GotoStatement\n  goto x;\n  goto y;\nend;\nend.\n"
-    keep = lambda df, name: df.cache()
     # only a few rules: the plan holds no others
     import sparkquarry.plans.catalogue as c
 
-    t = files.tables(files.in_memory(spark, {"u.pas": source}), keep=keep)
+    t = files.tables(files.in_memory(spark, {"u.pas": source}))
     raw = analysis.rated(analysis.raw_findings(t, {"GotoStatement"})).withColumn("file_id", analysis.F.col("file_id"))
     kept, hits, unused = analysis.suppression.suppressed(raw, analysis.markers(t), "file_id")
     assert [r["line"] for r in kept.collect()] == [7] and [r["line"] for r in hits.collect()] == [6]

@@ -40,9 +40,9 @@ def test_conditionals():
 
 
 def test_forms_text_and_binary():
-    comps, props = forms.parsed(samples.ORDERS_FORM, "f")
-    assert [c[3] for c in comps] == ["Orders", "btnSave", "edCity", "qryOrders"] and comps[1][2] == 0
-    assert ("f", 0, "Caption", "String", "Orders", 2) in props
+    comps, props = forms.parsed(samples.STATION_FORM, "f")
+    assert [c[3] for c in comps] == ["Station", "btnRead", "edPlace"] and comps[1][2] == 0
+    assert ("f", 0, "Caption", "String", "Station", 2) in props
     data = b"TPF0" + b"\x05TForm\x02F1" + b"\x07Caption\x06\x02Hi" + b"\x03Tag\x02\x07" + b"\x00" + b"\x07TButton\x02B1" + b"\x00\x00" + b"\x00"
     comps, props = forms.parsed(forms.to_text(data), "g")
     assert [(c[3], c[4]) for c in comps] == [("F1", "TForm"), ("B1", "TButton")] and {p[4] for p in props} == {"Hi", "7"}

@@ -9,10 +9,15 @@ RELATED = 50
 
 
 def repeated(values: DataFrame, key: str, value: str, line: str, least: int = 3, shortest: int = 4) -> DataFrame:
-    """(key, value, n, line, related_lines) of values that a file has `least` times or more; related lines are capped at 50."""
+    """(key, value, n, line, related_lines) of values that a file has `least` times or more; related lines are capped at 50.
+
+    Places are ranked before they are gathered, so no list is longer than the cap.
+    """
+    place = F.row_number().over(Window.partitionBy(key, value).orderBy(line))
+    rows = values.where(F.length(value) >= shortest).select(key, value, line).withColumn("_place", place)
     return (
-        values.where(F.length(value) >= shortest).groupBy(key, value)
-        .agg(F.count("*").alias("n"), F.min(line).alias("line"), F.slice(F.array_sort(F.collect_list(line)), 1, RELATED).alias("related_lines"))
+        rows.groupBy(key, value)
+        .agg(F.count("*").alias("n"), F.min(line).alias("line"), F.array_sort(F.collect_list(F.when(F.col("_place") <= RELATED, F.col(line)))).alias("related_lines"))
         .where(F.col("n") >= least)
     )
 

@@ -22,18 +22,18 @@ def matching(lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return lines.withColumn("kind", F.explode(hits))
 
 
-#: The line rules that need no knowledge of a language.
-def line_rules(text: str = "text") -> dict[str, Column]:
-    t = F.col(text)
-    return {"TooLongLine": F.length(t) > 120, "TrailingWhitespace": t.rlike(r"[^ \t][ \t]+$"), "TabulationCharacter": F.instr(t, "\t") > 0}
+#: Rules of a table at most: it is broadcast.
+MANY = 10_000
 
 
 def custom_rules(lines: DataFrame, rules: DataFrame, path: str | None = None) -> DataFrame:
     """Lines that a rule of a table (id, pattern, pattern_type, severity, include, exclude) fits, once a rule and line.
 
-    pattern_type is substring (the default), word or regex; substrings and words ignore case. The rule table is written by
-    hand, so it is broadcast; rules with a broken regex should be refused before.
+    pattern_type is substring (the default), word or regex; substrings and words ignore case. Rules with a broken regex should be
+    refused before. Rule tables are written by hand; one of more than MANY rules is refused.
     """
+    if rules.limit(MANY + 1).count() > MANY:
+        raise ValueError(f"a table may have {MANY} custom rules")
     t = F.col("text")
     word = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), F.col("pattern"), F.lit(r"\E(?![A-Za-z0-9_])"))
     fits = F.when(F.col("pattern_type") == "regex", F.expr("text rlike pattern")).when(F.col("pattern_type") == "word", F.regexp_like(t, word)).otherwise(F.expr("instr(lower(text), lower(pattern)) > 0"))

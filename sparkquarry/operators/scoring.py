@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.tables import written
+
 
 def severity_counts(findings: DataFrame, *by: str) -> DataFrame:
     counts = [F.count_if(F.col("severity") == s).alias(n) for s, n in ((0, "errors"), (1, "warnings"), (2, "hints"))]
@@ -30,6 +32,27 @@ def traffic_light(score: Column) -> Column:
     return F.when(score <= 49, "green").when(score <= 499, "yellow").otherwise("red")
 
 
+#: The order of a report: the worst first, then by place.
+REPORT = ["severity", "file_id", "line", "kind", "method", "message"]
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Findings sorted by six keys, in ranges: each partition holds what comes before the next one's."""
+    return found.orderBy(*REPORT)
+
+
+def shown(found: DataFrame, severity: int | None = None, kinds: list[str] | None = None, text: str = "") -> DataFrame:
+    """What a list shows: of one severity and some kinds, with a text in any column, case ignored. Read errors always show."""
+    keep = F.lit(True)
+    if severity is not None:
+        keep &= F.col("severity") == severity
+    if kinds:
+        keep &= F.col("kind").isin(kinds)
+    if text:
+        keep &= F.contains(F.lower(F.concat_ws("\n", *found.columns)), F.lit(text.lower()))
+    return found.where(keep | (F.col("kind") == "FileReadError"))
+
+
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows; Spark keeps n a task and merges them."""
     return rows.orderBy(*order).limit(n)
@@ -47,11 +70,19 @@ def exit_code(errors: int, warnings: int, hints: int, read_errors: int = 0, fail
 
 
 def timing_ranks(timings: DataFrame, name: str, ms: str) -> DataFrame:
-    """(name, total, calls, average, share, rank) by total time; the ranking window is over the grouped rows."""
-    grouped = timings.groupBy(name).agg(F.sum(ms).alias("total"), F.count("*").alias("calls"))
-    every = Window.partitionBy()
-    share = F.col("total") / F.sum("total").over(every)
-    return grouped.select(name, "total", "calls", (F.col("total") / F.col("calls")).alias("average"), share.alias("share"), F.row_number().over(every.orderBy(F.desc("total"), name)).alias("rank"))
+    """(name, total, calls, average, share, rank, max) by total time.
+
+    Ranks need no single task: groups are ranked within ranges of their totals, and a range starts where those above it end.
+    """
+    grouped = written(timings.groupBy(name).agg(F.sum(ms).alias("total"), F.count("*").alias("calls"), F.max(ms).alias("max")), "timings")
+    ranged = written(grouped.repartitionByRange(F.desc("total"), F.col(name)).withColumn("_part", F.spark_partition_id()), "timings")
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("total").alias("_sum"))  # a row a partition
+    before = parts.select(F.col("_part").alias("_later"), F.col("_n").alias("_before"))
+    starts = parts.join(F.broadcast(before), F.col("_later") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("_start"))
+    every = grouped.agg(F.sum("total").alias("_every"))
+    order = Window.partitionBy("_part").orderBy(F.desc("total"), name)
+    rows = ranged.join(F.broadcast(starts), "_part").join(F.broadcast(every))
+    return rows.select(name, "total", "calls", (F.col("total") / F.col("calls")).alias("average"), (F.col("total") / F.col("_every")).alias("share"), (F.col("_start") + F.row_number().over(order)).alias("rank"), "max")
 
 
 def regression_gate(actual: DataFrame, allowed: DataFrame, key: str) -> DataFrame:

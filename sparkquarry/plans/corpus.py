@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkquarry.operators import duplicates, findings, lines, scopes, scoring, suppression
 
+from . import text_rules
+
 HIDDEN = "[​‌‍⁠؜‪-‮⁦-⁩]"
-TODO = r"(?i)\b(TODO|FIXME|HACK)\b|\bXXX\b"
 SECRET = r"(?i)\b(password|passwd|api_?key|secret|token)\b\s*[:=]\s*[\"']?[A-Za-z0-9_/+-]{8,}"
 
 
@@ -24,9 +25,26 @@ def line_split(spark, sf_dir):
     return doc_lines(spark, sf_dir)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): all documents, and the parts' names, some of them with what documents seldom have."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    kind, name = F.col("p_partkey") % 7, F.col("p_name")
+    odd = F.when(kind == 0, F.concat(name, F.lit("  "))).when(kind == 1, F.concat(name, F.lit("\t"), "p_brand")).when(kind == 2, F.concat(F.lit("one\nTODO "), name)).when(kind == 3, F.concat(F.lit("see XXX "), name))
+    odd = odd.when(kind == 4, F.concat(name, F.lit("\n"), F.lit("a\u200bb"))).when(kind == 5, F.lit(" ")).otherwise(F.concat(F.lit("xxx todolist "), name))
+    return d.unionAll(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey"), odd))
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.split_lines(texts(spark, sf_dir), "id")
+
+
+def _rules() -> dict[str, Column]:
+    return {kind: text_rules.line_test(kind, F.col("text")) for kind in ("TooLongLine", "TrailingWhitespace", "TabulationCharacter")}
+
+
 def _line_rule(kind: str):
     def query(spark, sf_dir):
-        return doc_lines(spark, sf_dir).where(lines.line_rules()[kind]).select("doc_id", "line_no", F.length("text").cast("long").alias("chars"))
+        return text_lines(spark, sf_dir).where(text_rules.line_test(kind, F.col("text"))).select("id", "line_no", F.length("text").cast("long").alias("chars"))
 
     return query
 
@@ -43,9 +61,9 @@ def missing_header(spark, sf_dir):
 
 
 def empty_document(spark, sf_dir):
-    """Documents without a word."""
-    d = table(spark, sf_dir, "documents")
-    return d.where(~F.coalesce("text", F.lit("")).rlike("[^ \t\r\n]")).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    """Texts without a word."""
+    d = texts(spark, sf_dir)
+    return d.where(~F.coalesce("text", F.lit("")).rlike("[^ \t\r\n]")).select("id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
 
 
 def duplicate_line(spark, sf_dir):
@@ -60,9 +78,8 @@ def duplicate_block(spark, sf_dir):
 
 def unicode_safety(spark, sf_dir):
     """Texts and pages with hidden or direction-changing characters, with the first line of one."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    found = lines.split_lines(d.unionAll(p), "id").where(F.col("text").rlike(HIDDEN))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("h"), "page_id").alias("id"), F.col("html").alias("text"))
+    found = lines.split_lines(texts(spark, sf_dir).unionAll(p), "id").where(F.col("text").rlike(HIDDEN))
     return found.groupBy("id").agg(F.min("line_no").alias("line"), F.count("*").alias("n"))
 
 
@@ -85,9 +102,8 @@ def custom_rules(spark, sf_dir):
 
 
 def todo_marker(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
-    return lines.split_lines(d.unionAll(c), "id").where(F.col("text").rlike(TODO)).select("id", "line_no")
+    return lines.split_lines(texts(spark, sf_dir).unionAll(c), "id").where(text_rules.line_test("TodoComment", F.col("text"))).select("id", "line_no")
 
 
 def secret_like(spark, sf_dir):
@@ -96,7 +112,7 @@ def secret_like(spark, sf_dir):
 
 def _doc_findings(spark, sf_dir) -> DataFrame:
     """The three line rules as findings; severity and confidence by kind."""
-    found = lines.matching(doc_lines(spark, sf_dir), lines.line_rules() | {"HardcodedSecret": F.col("text").rlike(SECRET)})
+    found = lines.matching(doc_lines(spark, sf_dir), _rules() | {"HardcodedSecret": F.col("text").rlike(SECRET)})
     severity = F.when(F.col("kind") == "HardcodedSecret", 0).when(F.col("kind") == "TooLongLine", 1).otherwise(2)
     return found.select(
         F.col("doc_id").cast("string").alias("file_id"), F.lit(None).cast("string").alias("method"), F.col("line_no").alias("line"), F.col("line_no").alias("end_line"), "kind",
@@ -105,8 +121,8 @@ def _doc_findings(spark, sf_dir) -> DataFrame:
 
 
 def _plain_markers(rows: DataFrame) -> DataFrame:
-    """License lines stand in for markers of all kinds: the documents hold no program text."""
-    return rows.where(F.col("text").rlike("(?i)licen[sc]e")).select("doc_id", F.col("line_no").alias("marker_line"), F.lit(False).alias("whole_file"), F.array(F.lit("all")).alias("kinds"))
+    """License lines, and those that begin with A to D, stand in for markers of all kinds: the documents hold no program text."""
+    return rows.where(F.col("text").rlike("(?i)licen[sc]e|^[a-d]")).select("doc_id", F.col("line_no").alias("marker_line"), F.lit(False).alias("whole_file"), F.array(F.lit("all")).alias("kinds"))
 
 
 def suppressed(spark, sf_dir):
@@ -269,8 +285,7 @@ def diverse_sample(spark, sf_dir):
 
 def telemetry_rank(spark, sf_dir):
     """Parts as rules and quantities as milliseconds."""
-    out = scoring.timing_ranks(table(spark, sf_dir, "lineitem").withColumn("ms", F.col("l_quantity").cast("long")), "l_partkey", "ms")
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    return scoring.timing_ranks(table(spark, sf_dir, "lineitem").withColumn("ms", F.col("l_quantity").cast("long")), "l_partkey", "ms")
 
 
 def diff_gate(spark, sf_dir):
@@ -297,11 +312,11 @@ def unsorted_lists(spark, sf_dir):
 
 
 def repeated_section(spark, sf_dir):
-    """Turns with the same role as the turn before."""
+    """Events of the same type as the user's event before."""
     from pyspark.sql import Window
 
-    c = table(spark, sf_dir, "conversations")
-    return c.withColumn("last", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = last").select("conv_id", "turn", "role")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return e.withColumn("last", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))).where("event_type = last").select("user_id", "event_id", "event_type")
 
 
 def changed_scope(spark, sf_dir):
@@ -314,9 +329,17 @@ def changed_scope(spark, sf_dir):
 
 def ui_filter(spark, sf_dir):
     """Findings of one severity with a text in any of their columns, case ignored."""
-    f = _doc_findings(spark, sf_dir)
-    text = F.lower(F.concat_ws("\n", *f.columns))
-    return f.where((F.col("severity") == 1) & F.contains(text, F.lit("line 12"))).select("file_id", "line", "message")
+    return scoring.shown(_doc_findings(spark, sf_dir), severity=1, text="Line 12").select("file_id", "line", "message")
+
+
+def ordered_report(spark, sf_dir):
+    """All findings with their place in the order of a report."""
+    from pyspark.sql import Window
+
+    found = scoring.in_order(_doc_findings(spark, sf_dir))
+    part = F.spark_partition_id()
+    rows = found.withColumn("_part", part).withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("_at"))).select("file_id", "line", "kind", F.col("nth").cast("long").alias("nth"))
 
 
 def finding_text(spark, sf_dir):

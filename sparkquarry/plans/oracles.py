@@ -21,7 +21,7 @@ findings as (
 MARKED = (
     FINDINGS
     + """,
-markers as (select doc_id, line_no as marker_line from lines where regexp_matches(text, '(?i)licen[sc]e')),
+markers as (select doc_id, line_no as marker_line from lines where regexp_matches(text, '(?i)licen[sc]e|^[a-d]')),
 targets as (select m.doc_id, marker_line, min(l.line_no) as target_line from markers m join lines l on l.doc_id = m.doc_id and l.line_no > marker_line and trim(l.text, ' ') <> '' group by 1, 2),
 covered as (select f.*, marker_line from findings f join targets t on t.doc_id = f.doc_id and target_line = line where kind <> 'HardcodedSecret'),
 kept as (select * from findings f where not exists (select 1 from covered c where c.doc_id = f.doc_id and c.line = f.line and c.kind = f.kind))"""
@@ -36,8 +36,22 @@ full_findings as (select f.*, context_hash, sha256(file_id || '|' || kind || '||
 )
 
 
+TEXTS = r"""
+texts as (
+  select 'd' || doc_id as id, text from documents union all
+  select 'p' || p_partkey, case p_partkey % 7 when 0 then p_name || '  ' when 1 then p_name || chr(9) || p_brand when 2 then 'one' || chr(10) || 'TODO ' || p_name when 3 then 'see XXX ' || p_name
+    when 4 then p_name || chr(10) || 'a' || chr(8203) || 'b' when 5 then ' ' else 'xxx todolist ' || p_name end from part)"""
+
+
+def text_lines(more: str = "") -> str:
+    return rf"""{TEXTS},
+parts as (select id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') as p from (select * from texts {more})),
+numbered as (select id, unnest(range(1, len(p) + 1)) as line_no, unnest(p) as text, len(p) as n from parts),
+lines as (select id, line_no::int as line_no, text from numbered where not (line_no = n and text = ''))"""
+
+
 def rule(test: str) -> str:
-    return f"with {LINES} select doc_id, line_no, length(text) as chars from lines where {test}"
+    return f"with {text_lines()} select id, line_no, length(text) as chars from lines where {test}"
 
 
 SQL = {
@@ -46,7 +60,7 @@ SQL = {
     "trailing_whitespace": rule(r"regexp_matches(text, '[^ \t][ \t]+$')"),
     "tab_character": rule("contains(text, chr(9))"),
     "missing_header": f"with {LINES} select doc_id, count(*) as n_lines from lines group by 1 having not bool_or(line_no <= 3 and regexp_matches(text, '(?i)licen[sc]e|copyright'))",
-    "empty_document": r"select doc_id, length(coalesce(text, '')) as chars from documents where not regexp_matches(coalesce(text, ''), '[^ \t\r\n]')",
+    "empty_document": rf"with {TEXTS} select id, length(coalesce(text, '')) as chars from texts where not regexp_matches(coalesce(text, ''), '[^ \t\r\n]')",
     "duplicate_line": f"with {LINES} select doc_id, text, count(*) as n, min(line_no) as line, array_to_string(list_sort(list(line_no))[1:50], ',') as related_lines from lines where length(text) >= 4 group by 1, 2 having count(*) >= 3",
     "duplicate_block": rf"""
 with {LINES},
@@ -58,11 +72,9 @@ shp as (select doc_id, ixs[1] as ix, nos[1] as line, ends[1] as end_line, list_t
 lagged as (select *, lag(ix) over (partition by doc_id, shape order by ix) as before from shp),
 isl as (select *, sum(case when ix - before <= 3 then 0 else 1 end) over (partition by doc_id, shape order by ix) as island from lagged)
 select doc_id, min(line) as line, max(end_line) as end_line, any_value(n) as n, arg_min(related, ix) as related_lines from isl group by doc_id, shape, island""",
-    "unicode_safety": r"""
-with t as (select 'd' || doc_id as id, text from documents union all select 'p' || page_id, html from pages),
-parts as (select id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') as p from t),
-lines as (select id, unnest(range(1, len(p) + 1))::int as line_no, unnest(p) as text from parts)
-select id, min(line_no) as line, count(*) as n from lines where regexp_matches(text, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{061C}\x{202A}-\x{202E}\x{2066}-\x{2069}]') group by 1""",
+    "unicode_safety": rf"""
+with {text_lines("union all select 'h' || page_id, html from pages")}
+select id, min(line_no) as line, count(*) as n from lines where regexp_matches(text, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{061C}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]') group by 1""",
     "http_url": r"""
 with u as (select page_id, unnest(regexp_extract_all(concat_ws(chr(10), url, html), '(http://[^\s"''<>]+)', 1)) as target from pages)
 select page_id, target, count(*) as n from u where not regexp_matches(target, '^http://(localhost|127\.0\.0\.1)([^A-Za-z0-9.]|$)') group by 1, 2""",
@@ -71,11 +83,9 @@ with {LINES},
 hit as (select 'R1' as id, 1 as severity, doc_id from lines where contains(lower(text), 'licensed under') union all select 'R2', 0, doc_id from lines where regexp_matches(text, '[0-9]{{3}}-[0-9]{{4}}')
   union all select 'R3', 2, doc_id from lines where regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)'))
 select id, severity, count(*) as n_lines, count(distinct doc_id) as n_docs from hit group by 1, 2""",
-    "todo_marker": r"""
-with t as (select 'd' || doc_id as id, text from documents union all select 'c' || conv_id || '-' || turn, text from conversations),
-parts as (select id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') as p from t),
-lines as (select id, unnest(range(1, len(p) + 1))::int as line_no, unnest(p) as text from parts)
-select id, line_no from lines where regexp_matches(text, '(?i)\b(TODO|FIXME|HACK|XXX)\b') and regexp_matches(text, '(?i)\b(TODO|FIXME|HACK)\b|(?-i)\bXXX\b')""",
+    "todo_marker": rf"""
+with {text_lines("union all select 'c' || conv_id || '-' || turn, text from conversations")}
+select id, line_no from lines where regexp_matches(text, '(?i)\b(TODO|FIXME|HACK)\b') or regexp_matches(text, '\bXXX\b')""",
     "secret_like": rf"with {LINES} select doc_id, line_no, lower(regexp_extract(text, '{SECRET}', 1)) as name from lines where regexp_matches(text, '{SECRET}')",
     "suppressed": f"with {MARKED} select file_id, line, kind from kept",
     "unused_markers": f"with {MARKED} select t.doc_id::varchar as file_id, marker_line from targets t where not exists (select 1 from covered c where c.doc_id = t.doc_id and c.marker_line = t.marker_line)",
@@ -131,8 +141,8 @@ with {FINDINGS}, t as (select *, row_number() over (partition by kind, severity,
 p as (select *, row_number() over (partition by kind order by severity, turn, file_id, line) as place from t)
 select kind, file_id, line from p where place <= 25""",
     "telemetry_rank": """
-with g as (select l_partkey, sum(l_quantity::bigint)::bigint as total, count(*) as calls from lineitem group by 1)
-select l_partkey, total, calls, total::double / calls as average, total::double / sum(total) over () as share, row_number() over (order by total desc, l_partkey) as rank from g""",
+with g as (select l_partkey, sum(l_quantity::bigint)::bigint as total, count(*) as calls, max(l_quantity::bigint) as max from lineitem group by 1)
+select l_partkey, total, calls, total::double / calls as average, total::double / sum(total) over () as share, row_number() over (order by total desc, l_partkey) as rank, max from g""",
     "diff_gate": """
 with h as (select max(event_id)::double / 2 as half from events), n as (select event_type, count(*) as n from events, h where event_id > half group by 1), w as (select event_type, count(*) as n from events, h where event_id <= half group by 1)
 select coalesce(n.event_type, w.event_type) as event_type, coalesce(n.n, 0) as actual, coalesce(w.n, 0) as allowed, coalesce(n.n, 0) <= coalesce(w.n, 0) as ok from n full join w on n.event_type = w.event_type""",
@@ -141,9 +151,10 @@ with g as (select user_id, event_id, ts, case when ts - lag(ts) over w < interva
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from g)
 select user_id, count(*) as n, arg_max(event_id, {'ts': ts, 'id': event_id}) as last_event from s group by user_id, session""",
     "unsorted_lists": "with l as (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as parts from lineitem group by 1) select l_orderkey, len(parts) as n from l where parts <> list_sort(parts)",
-    "repeated_section": "with l as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as last from conversations) select conv_id, turn, role from l where role = last",
+    "repeated_section": "with l as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as last from events) select user_id, event_id, event_type from l where event_type = last",
     "changed_scope": f"with {FINDINGS}, e as (select kind, count(distinct file_id) as files_with_kind from findings group by 1) select file_id, line, kind, files_with_kind from findings join e using (kind) where doc_id in (select doc_id from labels)",
     "ui_filter": f"with {FINDINGS} select file_id, line, message from findings where severity = 1 and contains(lower(concat_ws(chr(10), file_id, line, line, kind, severity, confidence, message)), 'line 12')",
+    "ordered_report": f"with {FINDINGS} select file_id, line, kind, row_number() over (partition by file_id order by severity, line, kind, message) as nth from findings",
     "finding_text": f"with {FINDINGS} select file_id, string_agg(line || ' ' || kind, chr(10) order by line, kind, message) as body from findings group by 1",
     "source_grades": f"""
 with {MARKED}, s as (select source, count(k.kind) as n, coalesce(sum(case k.severity when 0 then 100 when 1 then 10 when 2 then 1 end), 0)::bigint as score from documents d left join kept k on k.doc_id = d.doc_id and k.confidence >= 1 group by 1)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import findings, scoring
 from sparkquarry.plans import catalogue
+from sparkquarry.tables import shared_folder
 
 
 def level(severity: Column) -> Column:
@@ -37,15 +40,42 @@ def sarif_results(found: DataFrame) -> DataFrame:
 
 
 def sarif(found: DataFrame, path: str) -> None:
-    """One SARIF file, written line by line from the driver as partitions arrive; read errors are notifications."""
+    """One SARIF file. Results are written as parts beside it by the executors and joined by name; read errors are notifications.
+
+    A folder that the executors share stands in for the file until all parts are there.
+    """
     rules = [{"id": r.rule_id, "name": r.kind, "defaultConfiguration": {"level": {0: "error", 1: "warning", 2: "note"}[r.severity]}, "properties": {"type": r.type}} for r in catalogue.RULES.values()]
-    notes = [{"level": "error", "message": {"text": r["message"] or ""}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file_id"]}}}]} for r in found.where(F.col("kind") == findings.EXEMPT).toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "sparkquarry", "rules": ' + json.dumps(rules) + "}}, ")
-        out.write('"invocations": [{"executionSuccessful": true, "toolExecutionNotifications": ' + json.dumps(notes) + '}], "results": [')
-        for i, row in enumerate(sarif_results(found).orderBy("file_id", "line", "value").toLocalIterator()):
-            out.write((",\n" if i else "\n") + row["value"])
-        out.write("]}]}\n")
+    note = F.struct(F.lit("error").alias("level"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("file_id").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"))
+    notes = found.where(F.col("kind") == findings.EXEMPT).select(F.to_json(note).alias("value"))
+    head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "sparkquarry", "rules": ' + json.dumps(rules) + '}}, "invocations": [{"executionSuccessful": true, "toolExecutionNotifications": ['
+    tables = [notes.orderBy("value"), sarif_results(found).orderBy("file_id", "line", "value").select("value")]
+    with open(path, "wb") as out:
+        out.write(head.encode())
+        for table, after in zip(tables, [b']}], "results": [', b"]}]}\n"], strict=True):
+            first = True
+            for part in _parts(table):
+                with part:
+                    while block := part.readline():
+                        out.write((b"\n" if first else b",\n") + block.rstrip(b"\n"))
+                        first = False
+            out.write(after)
+
+
+def _parts(table: DataFrame):
+    """The text parts of a table in order, as open streams; the executors have written them to the shared folder."""
+    spark = table.sparkSession
+    folder = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
+    table.write.text(folder)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    with tempfile.TemporaryDirectory() as own:
+        for status in sorted(fs.listStatus(root), key=lambda x: x.getPath().getName()):
+            name = status.getPath().getName()
+            if name.startswith("part-") and status.getLen():
+                fs.copyToLocalFile(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{own}/{name}"))
+                yield open(f"{own}/{name}", "rb")
+    fs.delete(root, True)
 
 
 def sonar_issues(found: DataFrame) -> DataFrame:
@@ -97,7 +127,7 @@ def html_report(found: DataFrame, path: str, rows: int = 20_000) -> dict:
     kinds = scoring.top(found.groupBy("kind").count(), 10, F.desc("count"), F.col("kind")).collect()
     worst = scoring.top(found.groupBy("file_id").agg(scoring.health_score(F.col("severity")).alias("score")), 10, F.desc("score"), F.col("file_id")).collect()
     table = lambda title, body: f"<h2>{title}</h2><table>{''.join('<tr>' + ''.join(f'<td>{html.escape(str(c))}</td>' for c in r) + '</tr>' for r in body)}</table>"
-    shown = found.orderBy("severity", "file_id", "line", "kind").limit(rows).select("file_id", "line", "kind", "severity", "message").collect()
+    shown = scoring.in_order(found).limit(rows).select("file_id", "line", "kind", "severity", "message").collect()
     body = table("Totals", totals.items()) + f"<p>Health {score}</p>" + table("Kinds", kinds) + table("Files", worst) + table("Findings", shown)
     count = sum(totals.values())
     more = f"<p>{count - rows} more</p>" if count > rows else ""
@@ -117,7 +147,8 @@ def telemetry(hits: DataFrame) -> DataFrame:
 
 
 def timing_markdown(timings: DataFrame, name: str, ms: str) -> str:
-    rows = scoring.timing_ranks(timings, name, ms).orderBy("rank").collect()
+    """The slowest 200 rules."""
+    rows = scoring.timing_ranks(timings, name, ms).where("rank <= 200").orderBy("rank").collect()
     return "\n".join(["| # | rule | ms | calls | average | share |", "|-|-|-|-|-|-|", *(f"| {r['rank']} | {r[name]} | {r['total']} | {r['calls']} | {r['average']:.2f} | {100 * r['share']:.1f} % |" for r in rows)])
 
 

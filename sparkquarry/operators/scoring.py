@@ -85,6 +85,11 @@ def timing_ranks(timings: DataFrame, name: str, ms: str) -> DataFrame:
     return rows.select(name, "total", "calls", (F.col("total") / F.col("calls")).alias("average"), (F.col("total") / F.col("_every")).alias("share"), (F.col("_start") + F.row_number().over(order)).alias("rank"), "max")
 
 
+def slowest_files(timings: DataFrame, file: str, ms: str, n: int = 20) -> DataFrame:
+    """(file, total, calls, max) of the n files that took longest."""
+    return top(timings.groupBy(file).agg(F.sum(ms).alias("total"), F.count("*").alias("calls"), F.max(ms).alias("max")), n, F.desc("total"), F.col(file))
+
+
 def regression_gate(actual: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """(key, actual, allowed, ok) for counts on either side; more than allowed fails, unknown counts are 0."""
     both = actual.select(key, F.col("n").alias("actual")).join(allowed.select(key, F.col("n").alias("allowed")), key, "full")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,33 @@ from sparkquarry.tables import written
 from . import catalogue, flow, text_rules, tree_rules
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Thresholds of rules; what goes beyond is found. trivial lists numbers that are no magic."""
+
+    body_lines: int = 50
+    statements: int = 30
+    params: int = 5
+    nesting: int = 4
+    cyclomatic: int = 10
+    case_branches: int = 10
+    handlers: int = 5
+    line_length: int = 120
+    trivial: str = "-1,0,1,2,10,100,1000"
+
+
+class Cancelled(Exception):
+    """A scan's progress callback said that it should end."""
+
+
 @dataclass(frozen=True)
 class Settings:
-    """What a scan may be told. overrides are (glob, action); custom is a table of files.custom_rule_table()."""
+    """What a scan may be told. overrides are (glob, action); custom is a table of files.custom_rule_table().
+
+    leaky, spared and sinks are class and routine names: more classes whose objects must be freed, classes whose needn't, and
+    routines that take an object over. discover adds the corpus's own classes to the leaky ones. progress(done, all) may
+    return False to end a scan.
+    """
 
     profile: str = "default"
     least_severity: int = findings.HINT
@@ -32,16 +57,30 @@ class Settings:
     baseline: DataFrame | None = None
     block_lines: int = 8
     extra_kinds: frozenset[str] = frozenset()
+    limits: Limits = Limits()
+    leaky: tuple[str, ...] = ()
+    spared: tuple[str, ...] = ()
+    sinks: tuple[str, ...] = ()
+    discover: bool = False
+    uses_check: bool = False
+    include_tests: bool = False
+    max_bytes: int = files.MAX_BYTES
+    progress: Callable[[int, int], bool | None] | None = None
     defined: frozenset[str] = field(default=files.pascal.DEFINED)
 
 
 class _Views:
     """The tables under names of their own, so that a session's views stay as they are. sql() reads them by their plain names."""
 
-    def __init__(self, t: files.Tables, forbidden: tuple[str, ...]) -> None:
-        self.spark, self.prefix = t.ast.sparkSession, f"v{uuid.uuid4().hex}_"
+    def __init__(self, t: files.Tables, s: Settings, kinds: set[str]) -> None:
+        self.spark, self.prefix, self.limits = t.ast.sparkSession, f"v{uuid.uuid4().hex}_", {k: v for k, v in asdict(s.limits).items() if k != "line_length"}
         tables = {name: getattr(t, name) for name in ("ast", "tok", "lines", "ranges", "texts", "comp", "prop")}
-        tables["forbidden"] = self.spark.createDataFrame([(c,) for c in forbidden], "class string")
+        names = lambda x: self.spark.createDataFrame([(c,) for c in x], "class string")
+        tables |= {"forbidden": names(s.forbidden_classes), "leaky": names(c.lower() for c in s.leaky), "spared": names(c.lower() for c in s.spared), "sinks": names(re.escape(c) for c in s.sinks)}
+        if s.discover and "MemoryLeak" in kinds:
+            from . import indexes
+
+            tables["leaky"] = tables["leaky"].unionAll(indexes.leaky_classes(t).select("name"))
         self.names = [*tables, *tree_rules.VIEWS]
         # A table without an alias keeps its plain name as one.
         ends = r"\s*(?:$|[),]|(?:where|join|left|inner|cross|on|group|window|lateral|order|having|union|limit)\b)"
@@ -52,22 +91,37 @@ class _Views:
             self.sql(sql).createOrReplaceTempView(self.prefix + name)
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{m[2]}" + (f" {m[2]}" if m["bare"] is not None else ""), text))
+        used = {k: v for k, v in self.limits.items() if f":{k}" in text}
+        return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{m[2]}" + (f" {m[2]}" if m["bare"] is not None else ""), text), args=used)
 
     def drop(self) -> None:
         for name in self.names:
             self.spark.catalog.dropTempView(self.prefix + name)
 
 
+def register(rule: catalogue.Rule, sql: str) -> None:
+    """A rule of one's own: SQL over the views of tree_rules that gives (file_id, line, detail). It belongs to the profile strict."""
+    if rule.kind in catalogue.RULES:
+        raise ValueError(f"there is a rule {rule.kind}")
+    catalogue.RULES[rule.kind] = rule
+    tree_rules.AST[rule.kind] = sql
+
+
+def unregister(kind: str) -> None:
+    """Take back a rule that register() added."""
+    tree_rules.AST.pop(kind)
+    catalogue.RULES.pop(kind)
+
+
 #: Rules of one plan; a union of all of them would take the optimiser minutes.
 TOGETHER = 20
 
 
 def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), keep=written) -> DataFrame:
     """(file_id, line, end_line, kind, detail, related_lines) of the wanted rules; others make no part of the plan."""
-    views = _Views(t, s.forbidden_classes)
+    views = _Views(t, s, kinds)
     plain = ["file_id", "line", "kind", "detail"]
-    parts = [text_rules.line_findings(t.lines, kinds).select(*plain), text_rules.text_findings(t.texts, kinds).select(*plain)]
+    parts = [text_rules.line_findings(t.lines, kinds, s.limits.line_length).select(*plain), text_rules.text_findings(t.texts, kinds).select(*plain)]
     for kind, sql in {**tree_rules.AST, **tree_rules.FORM}.items():
         if kind in kinds:
             parts.append(views.sql(sql).select(F.col("file_id"), F.col("line").cast("int").alias("line"), F.lit(kind).alias("kind"), F.col("detail").cast("string").alias("detail")))
@@ -77,9 +131,11 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     if "DfmCircularDataSource" in kinds:
         parts.append(_circular(t).select(*plain))
     # Read errors pass every gate.
-    parts.append(files.unreadable(t.files).select("file_id", F.lit(1).alias("line"), F.lit("FileReadError").alias("kind"), F.col("message").alias("detail")))
+    parts.append(files.unreadable(t.files, s.max_bytes).select("file_id", F.lit(1).alias("line"), F.lit("FileReadError").alias("kind"), F.col("message").alias("detail")))
     groups = []
     for i in range(0, len(parts), TOGETHER):
+        if s.progress and s.progress(i, len(parts)) is False:
+            raise Cancelled
         group = parts[i]
         for p in parts[i + 1 : i + TOGETHER]:
             group = group.unionByName(p)
@@ -88,7 +144,7 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     for g in groups[1:]:
         out = out.unionByName(g)
     if s.project is not None and kinds & {"NotIncludedInProject", "UsedButNotInProject"}:
-        gaps = project_gaps(spark, t.files, s.project, t).where(F.col("kind").isin(sorted(kinds)))
+        gaps = project_gaps(t.ast.sparkSession, t.files, s.project, t).where(F.col("kind").isin(sorted(kinds)))
         out = out.unionByName(gaps.select("file_id", F.lit(1).alias("line"), "kind", F.lit("").alias("detail")))
     out = out.withColumns({"end_line": F.col("line"), "related_lines": F.lit(None).cast("array<int>")})
     if "DuplicateBlock" in kinds:
@@ -121,23 +177,25 @@ def rated(found: DataFrame) -> DataFrame:
 
 
 def markers(t: files.Tables) -> DataFrame:
-    """Suppression markers with the lines they cover; forms take those of their unit, for the whole form."""
+    """Suppression markers with the lines they cover; forms take those of their unit."""
     rows = t.lines.withColumn("comment_only", (F.trim("code_ks") == "") & (F.trim("comment") != ""))
     found = suppression.targets(suppression.marker_lines(rows, "file_id"), rows, "file_id", "comment_only")
     forms = t.comp.select("form_id").distinct().withColumn("file_id", F.regexp_replace("form_id", "(?i)[.]dfm$", ".pas"))
-    of_forms = found.where("target_line = 0").join(forms, "file_id").select(F.col("form_id").alias("file_id"), "marker_line", "target_line", "kinds")
+    of_forms = found.join(forms, "file_id").select(F.col("form_id").alias("file_id"), "marker_line", "target_line", "kinds")
     return found.unionByName(of_forms)
 
 
 def scan(source: DataFrame, s: Settings = Settings(), keep=written) -> DataFrame:
     """Findings of files (file_id, content, length).
 
-    Order: profile and severity, suppression, path overrides, confidence, then changed files and the baseline. Overrides
+    Order: profile and severity, suppression, path overrides, confidence, test files, then changed files and the baseline. Overrides
     may raise a severity that the gate would have dropped. Indexes are made of all files, changed or not.
     keep(df, name) holds tables that many rules read; by default it writes them.
     """
-    t = files.tables(source, s.defined, keep)
+    t = files.tables(source, s.defined, keep, s.max_bytes)
     kinds = catalogue.profile(s.profile) | s.extra_kinds
+    if not s.uses_check:
+        kinds = kinds - {"UnusedUses"}
     found = findings.enclosing(rated(raw_findings(t, kinds, s, keep)), t.ast.where("kind = 'Method'").select("file_id", "line", "name")).select(*findings.FINDINGS.fieldNames())
     found = keep(findings.gate(found, sorted(kinds | ({"CustomRule"} if s.custom is not None else set())), s.least_severity).distinct(), "findings")
     marked = markers(t)
@@ -147,8 +205,11 @@ def scan(source: DataFrame, s: Settings = Settings(), keep=written) -> DataFrame
         kept = kept.unionByName(rated(extra))
     kept = findings.path_overrides(kept, list(s.overrides))
     kept = findings.confident(kept, s.least_confidence)
+    if not s.include_tests:
+        kept = kept.where(~files.is_fixture(F.col("file_id")))
     if s.changed is not None:
-        kept = kept.join(s.changed.select("file_id").distinct(), "file_id", "left_semi")
+        wanted = s.changed.select("file_id").distinct().withColumn("_wanted", F.lit(True))
+        kept = kept.join(wanted, "file_id", "left").where(F.col("_wanted") | F.col("kind").isin("NotIncludedInProject", "UsedButNotInProject")).drop("_wanted")
     if s.baseline is not None:
         kept = findings.new_against(fingerprinted(kept, t.lines), s.baseline).select(*findings.FINDINGS.fieldNames())
     return kept.select(*findings.FINDINGS.fieldNames())

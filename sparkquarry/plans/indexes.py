@@ -10,9 +10,9 @@ from sparkquarry.sources.files import Tables
 
 
 def word_positions(t: Tables) -> DataFrame:
-    """(file_id, word, n, lines): where the identifiers of each file stand; lines are sorted, 50 at most."""
+    """(file_id, word, n, lines): where the identifiers of each file stand, in order."""
     rows = t.tok.where("kind = 'ident'").select("file_id", F.lower("value").alias("word"), "line")
-    return rows.groupBy("file_id", "word").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("line")), 1, 50).alias("lines"))
+    return rows.groupBy("file_id", "word").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def public_members(t: Tables) -> DataFrame:
@@ -23,10 +23,14 @@ def public_members(t: Tables) -> DataFrame:
 
 
 def symbol_references(t: Tables) -> DataFrame:
-    """(member, unit): units that name a public member of another unit. Public names cut the tokens before they are grouped."""
+    """(member, unit, dotted): units that name a public member of another unit, behind a dot or bare.
+
+    Public names cut the tokens before they are grouped; a token's forerunner in its line tells whether there is a dot.
+    """
     members = public_members(t).select("member", F.col("file_id").alias("home")).distinct()
-    used = t.tok.where("kind = 'ident'").select(F.lower("value").alias("member"), F.col("file_id").alias("unit")).distinct()
-    return used.join(members, "member").where("unit <> home").select("member", "unit").distinct()
+    before = F.lag("value").over(Window.partitionBy("file_id").orderBy("seq"))
+    used = t.tok.withColumn("before", before).where("kind = 'ident'").select(F.lower("value").alias("member"), F.col("file_id").alias("unit"), (F.coalesce("before", F.lit("")) == ".").alias("dotted")).distinct()
+    return used.join(members, "member").where("unit <> home").select("member", "unit", "dotted").distinct()
 
 
 def type_parents(t: Tables) -> DataFrame:
@@ -98,6 +102,22 @@ def form_variables(t: Tables) -> DataFrame:
     return rows.select("name", F.col("k").alias("class"), "unit", (units > 1).alias("ambiguous"))
 
 
+# What fields of a data set hold, by the end of their class.
+FIELDS = {"text": "String WideString Memo WideMemo Guid", "integer": "Integer SmallInt LargeInt Word AutoInc ShortInt Byte LongWord", "float": "Float BCD FMTBCD Currency Extended Single", "boolean": "Boolean", "date": "Date Time DateTime SQLTimeStamp", "binary": "Blob Graphic Bytes VarBytes"}
+
+
+def field_categories(t: Tables) -> DataFrame:
+    """(form_id, dataset, field, category, required) of the fields that a form declares."""
+    kind = F.regexp_extract("class", "^T(.*)Field$", 1)
+    category = F.lit(None).cast("string")
+    for name, classes in FIELDS.items():
+        category = F.when(F.lower(kind).isin(classes.lower().split()), name).otherwise(category)
+    of = lambda path: F.max(F.when(F.lower("path") == path, F.col("raw")))
+    p = t.prop.groupBy("form_id", "comp_id").agg(of("fieldname").alias("field"), of("required").alias("required"))
+    sets = t.comp.select("form_id", F.col("comp_id").alias("parent_id"), F.col("name").alias("dataset"))
+    return t.comp.where(kind != "").join(p, ["form_id", "comp_id"]).join(sets, ["form_id", "parent_id"]).select("form_id", "dataset", "field", F.coalesce(category, F.lit("other")).alias("category"), (F.lower("required") == "true").alias("required"))
+
+
 def data_bindings(t: Tables) -> DataFrame:
     """(form_id, control, source, dataset, field): data-aware controls with what they are bound to."""
     value = lambda path: F.max(F.when(F.lower("path") == path, F.col("raw")))

@@ -67,7 +67,8 @@ _refs = f"""
 AST: dict[str, str] = {
     "MemoryLeak": rf"""select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join ast v on v.file_id = a.file_id and v.method_id = a.method_id and v.kind = 'LocalVar' and lower(v.name) = lower(a.name)
         join meth m on m.file_id = a.file_id and m.node_id = a.method_id
-        where a.kind = 'Assign' and a.type_ref rlike '^(?i)({LEAKY})(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|Owner|Application).*[)]| *[(] *[)]|)$'
+        where a.kind = 'Assign' and a.type_ref rlike '^(?i)\\w+(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|Owner|Application).*[)]| *[(] *[)]|)$' and (a.type_ref rlike '^(?i)({LEAKY})\\b' or lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) in (select class from leaky)) and lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) not in (select class from spared)
+        and not exists (select 1 from ast f join sinks s on f.name rlike concat('(?i)(?<![A-Za-z0-9_])', s.class, ' *[(]') where f.file_id = a.file_id and f.method_id = a.method_id and f.kind = 'Call' and {word('a.name', 'f.name')})
         and not exists (select 1 from ast f where f.file_id = a.file_id and f.method_id = a.method_id and f.kind in ('Call', 'Assign', 'Raise', 'Exit') and f.node_id <> a.node_id
           and (f.name rlike {FREE.format('a.name')} or f.kind = 'Assign' and f.type_ref rlike concat('(?i)^', a.name, '$') or f.kind = 'Exit' and {word('a.name', 'f.type_ref')} or f.kind = 'Raise' and {word('a.name', 'f.name')}
             or f.kind = 'Call' and f.name rlike concat('(?i)[(,] *', a.name, ' *[,)]')))""",
@@ -90,18 +91,18 @@ AST: dict[str, str] = {
         where before in ('Exit', 'Raise') and kind <> 'LabelMark' and not exists (select 1 from ranges r where r.file_id = x.file_id and r.end_line between x.before_line and x.line)""",
     "LongMethod": """select m.file_id, m.line, m.name as detail from meth m join ast s on s.file_id = m.file_id and s.node_id between m.node_id and m.last_pre join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block'
         where s.kind in ('Assign', 'Call', 'IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt', 'TryFinally', 'TryExcept', 'Exit', 'Raise', 'Inherited', 'Jump', 'Goto', 'WithStmt')
-        group by m.file_id, m.node_id, m.line, m.name, b.line, b.end_line having b.end_line - b.line + 1 > 50 and count(*) > 30""",
-    "LongParamList": "select file_id, min(line) as line, name as detail from (select m.file_id, m.line, m.name, count(*) as n from ast m join ast p on p.file_id = m.file_id and p.parent_id = m.node_id and p.kind = 'Param' where m.kind in ('Method', 'MethodDecl') group by m.file_id, m.node_id, m.line, m.name) where n > 5 group by file_id, name, n",
-    "MagicNumber": r"select file_id, line, n as detail from (select file_id, line, regexp_extract(name, '(?:>=|<=|<>|>|<|=)\\s*(-?\\d+)\\b(?![.])', 1) as n from ast where kind = 'IfStmt') where n <> '' and try_cast(n as bigint) not in (-1, 0, 1, 2, 10, 100, 1000) and not (try_cast(n as bigint) between 1 and 1024 and bit_count(try_cast(n as bigint)) = 1)",
+        group by m.file_id, m.node_id, m.line, m.name, b.line, b.end_line having b.end_line - b.line + 1 > :body_lines and count(*) > :statements""",
+    "LongParamList": "select file_id, min(line) as line, name as detail from (select m.file_id, m.line, m.name, count(*) as n from ast m join ast p on p.file_id = m.file_id and p.parent_id = m.node_id and p.kind = 'Param' where m.kind in ('Method', 'MethodDecl') group by m.file_id, m.node_id, m.line, m.name) where n > :params group by file_id, name, n",
+    "MagicNumber": r"select file_id, line, n as detail from (select file_id, line, regexp_extract(name, '(?:>=|<=|<>|>|<|=)\\s*(-?\\d+)\\b(?![.])', 1) as n from ast where kind = 'IfStmt') where n <> '' and not array_contains(split(:trivial, ','), n) and not (try_cast(n as bigint) between 1 and 1024 and bit_count(try_cast(n as bigint)) = 1)",
     "DuplicateString": "select file_id, min(line) as line, concat(lit, ' x ', count(*)) as detail from lits where length(lit) >= 4 group by file_id, lit having count(*) >= 3",
     "DebugOutput": r"select a.file_id, a.line, a.name as detail from ast a where a.kind = 'Call' and a.name rlike '(?i)^(OutputDebugString[AW]?|Writeln|ShowMessage|CodeSite[.]Send\\w*|DebugMsg)\\b *[(]' and a.name not rlike '(?i)^ShowMessage' and not exists (select 1 from ranges r where r.file_id = a.file_id and upper(r.tag) like '%DEBUG%' and a.line between r.start_line and r.end_line)",
     "DeepNesting": """select file_id, min_by(line, (-d, node_id)) as line, concat('depth ', max(d)) as detail from (select n.file_id, n.method_id, n.node_id, n.line, count(*) as d from ast n join ast a on a.file_id = n.file_id and a.method_id = n.method_id and n.node_id between a.node_id and a.last_pre and a.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt')
-        where n.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt') group by n.file_id, n.method_id, n.node_id, n.line) group by file_id, method_id having max(d) > 4""",
+        where n.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt') group by n.file_id, n.method_id, n.node_id, n.line) group by file_id, method_id having max(d) > :nesting""",
     "EmptyMethod": """select m.file_id, m.line, m.name as detail from meth m join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block' where b.last_pre = b.node_id and m.name not rlike '(?i)[.](Create|Destroy)$'
         and not exists (select 1 from lines l where l.file_id = m.file_id and l.line_no between m.line and m.end_line and trim(l.comment) <> '')""",
     "CyclomaticComplexity": rf"""select m.file_id, m.line, concat(m.name, ' ', 1 + sum(case when s.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseArm', 'OnHandler') then 1 else 0 end) + sum(case when s.kind = 'IfStmt' then regexp_count({NOSTR.format('s.name')}, '(?i)\\b(?:and|or|xor)\\b') else 0 end)) as detail
         from meth m join ast s on s.file_id = m.file_id and s.method_id = m.node_id group by m.file_id, m.node_id, m.line, m.name
-        having 1 + sum(case when s.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseArm', 'OnHandler') then 1 else 0 end) + sum(case when s.kind = 'IfStmt' then regexp_count({NOSTR.format('s.name')}, '(?i)\\b(?:and|or|xor)\\b') else 0 end) > 10""",
+        having 1 + sum(case when s.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseArm', 'OnHandler') then 1 else 0 end) + sum(case when s.kind = 'IfStmt' then regexp_count({NOSTR.format('s.name')}, '(?i)\\b(?:and|or|xor)\\b') else 0 end) > :cyclomatic""",
     "ConcatToFormat": rf"""select file_id, line, name as detail from ast where kind = 'Assign' and name not rlike '(?i)sql' and type_ref not rlike '(?i)^Format' and regexp_count(regexp_replace(regexp_replace({NOSTR.format('type_ref')}, '[(][^()]*[)]', ''), '\\[[^\\]]*\\]', ''), '[+]') >= 3 and {NOSTR.format('type_ref')} rlike '[A-Za-z_]' and type_ref rlike "'" """,
     "ReversedForRange": r"select file_id, line, type_ref as detail from ast where kind = 'ForStmt' and try_cast(regexp_extract(type_ref, '^(-?\\d+)\\s+(?i:to)\\s+(-?\\d+)$', 1) as bigint) > try_cast(regexp_extract(type_ref, '^(-?\\d+)\\s+(?i:to)\\s+(-?\\d+)$', 2) as bigint)",
     "SelfAssignment": "select a.file_id, a.line, a.name as detail from ast a where a.kind = 'Assign' and lower(a.name) = lower(a.type_ref) and (a.name rlike '^[Ff][A-Z]\\\\w*$' or exists (select 1 from vars v where v.file_id = a.file_id and v.method_id = a.method_id and lower(v.name) = lower(a.name)))",
@@ -122,7 +123,7 @@ AST: dict[str, str] = {
     "LegacyInitializationSection": "select file_id, line, 'begin' as detail from ast s where kind = 'Section' and name = 'begin' and exists (select 1 from ast u where u.file_id = s.file_id and u.kind = 'Unit' and u.mods = 'unit')",
     "PublicField": "select file_id, line, name as detail from ast where kind = 'Field' and mods in ('public', 'published') and exists (select 1 from klass c where c.file_id = ast.file_id and c.node_id = ast.parent_id) and not (mods = 'published' and type_ref rlike '^T[A-Z]')",
     "NestedTry": "select distinct d.file_id, d.line, '' as detail from ast d join ast a on a.file_id = d.file_id and a.method_id = d.method_id and d.node_id > a.node_id and d.node_id <= a.last_pre and a.kind in ('TryFinally', 'TryExcept') where d.kind in ('TryFinally', 'TryExcept')",
-    "CaseStatementSize": "select c.file_id, c.line, concat(count(*), ' branches') as detail from ast c join ast a on a.file_id = c.file_id and a.parent_id = c.node_id and a.kind = 'CaseArm' and a.name <> 'else' where c.kind = 'CaseStmt' group by c.file_id, c.node_id, c.line having count(*) >= 10",
+    "CaseStatementSize": "select c.file_id, c.line, concat(count(*), ' branches') as detail from ast c join ast a on a.file_id = c.file_id and a.parent_id = c.node_id and a.kind = 'CaseArm' and a.name <> 'else' where c.kind = 'CaseStmt' group by c.file_id, c.node_id, c.line having count(*) >= :case_branches",
     "EmptyFile": "select u.file_id, 1 as line, u.name as detail from ast u where u.kind = 'Unit' and u.mods = 'unit' and (select count(*) from ast s where s.file_id = u.file_id and s.kind = 'Section' and s.name in ('interface', 'implementation')) = 2 and not exists (select 1 from ast x where x.file_id = u.file_id and x.kind in ('Class', 'Record', 'Interface', 'Type', 'EnumType', 'PointerType', 'Const', 'Var', 'Method', 'MethodDecl'))",
     "TwiceInheritedCalls": "select file_id, max(line) as line, '' as detail from ast i where kind = 'Inherited' and not exists (select 1 from ranges r where r.file_id = i.file_id and i.line between r.start_line and r.end_line) group by file_id, parent_id having count(*) >= 2",
     "ConsecutiveVisibility": "select file_id, line, name as detail from (select file_id, line, name, row_number() over (partition by file_id, parent_id, name order by node_id) as rn from ast where kind = 'Visibility') where rn > 1",
@@ -228,7 +229,7 @@ FORM: dict[str, str] = {
     "DfmDbInUiForm": f"select c.form_id as file_id, c.line, concat(c.name, ': ', c.class) as detail from comp c join form f on f.form_id = c.form_id where c.class in ({DB}) and f.class not rlike '(?i)(DataModule|DM$|^TDM)'",
     "DfmCrossFormCoupling": "select distinct a.file_id, a.line, concat(g.name, '.', c.name) as detail from ast a join form f on f.unit_id = a.file_id join form g on g.form_id <> f.form_id join comp c on c.form_id = g.form_id and c.parent_id is not null and concat_ws(' ', a.name, a.type_ref) rlike concat('(?i)(?<![A-Za-z0-9_.])', g.name, '[.]', c.name, '(?![A-Za-z0-9_])') where a.kind in ('Assign', 'Call') and c.name <> '' and g.name <> ''",
     "DfmLayerViolation": f"select c.form_id as file_id, c.line, concat(c.name, ': ', c.class) as detail from comp c join comp r on r.form_id = c.form_id and r.comp_id = c.parent_id and r.parent_id is null where c.class in ({INPUTS})",
-    "DfmGodHandler": "select form_id as file_id, min(line) as line, concat(min(handler), ' x ', count(*)) as detail from evt group by form_id, lower(handler) having count(*) >= 5 and not (count(distinct comp_class) = 1 and count(distinct event) = 1)",
+    "DfmGodHandler": "select form_id as file_id, min(line) as line, concat(min(handler), ' x ', count(*)) as detail from evt group by form_id, lower(handler) having count(*) >= :handlers and not (count(distinct comp_class) = 1 and count(distinct event) = 1)",
     "DfmActionMismatch": "select c.form_id as file_id, c.line, c.name as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id where p.action <> '' and p.onclick <> ''",
     "DfmMasterDetailUnlinked": "select c.form_id as file_id, c.line, c.name as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id where p.mastersource <> '' and p.masterfields is null",
     "DfmDataModuleSplitHint": f"select c.form_id as file_id, 1 as line, array_join(slice(array_sort(collect_set(c.name)), 1, 5), ', ') as detail from comp c join form f on f.form_id = c.form_id where c.class in ({DB}) and f.class not rlike '(?i)(DataModule|DM$|^TDM)' group by c.form_id having count(*) >= 3",

@@ -8,6 +8,7 @@ import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePath
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,30 @@ def not_ignored(files: DataFrame, directories: list[str] = (), globs: list[str]
     return out if tests else out.where(~is_fixture(F.col("file_id")))
 
 
-def is_fixture(path):
-    """Whether a path looks like one of tests."""
-    return path.rlike(r"(?i)[\\/](tests?|testing|fixtures?|samples?|demos?)[\\/]|[\\/]u?tests?[^\\/]*\.(pas|dfm)$|tests?\.(pas|dfm)$")
+# Names and folders of test code, by how strict a rule asks. Names are globs of base names; folders are whole
+# parts of a path, starts beginnings of them.
+FIXTURES = {
+    "fixture": {
+        "names": ["uTest*.pas", "*_Test.pas", "*_Tests.pas", "*TestSuite*.pas", "*Sample.pas", "*_Sample_*.pas", "*Demo.pas", "*_Demo_*.pas", "*Demo.dfm"],
+        "folders": ["test", "tests", "unittest", "unittests", "samples", "demos", "resources"], "starts": [],
+    },
+    "secret": {
+        "names": ["uTest*.pas", "*test.pas", "*tests.pas", "*testu.pas", "*testsu.pas", "*spec.pas", "uTest*.dfm"],
+        "folders": ["test", "tests", "spec", "fixtures", "utest", "utests"], "starts": ["unittest"],
+    },
+    "folder": {"names": [], "folders": ["test", "tests", "unittest", "unittests", "samples", "demos"], "starts": []},
+}
+
+
+def is_fixture(path, level: str = "fixture"):
+    """Whether a path looks like one of tests: for the filter of findings, for secrets, or by folders alone."""
+    kind = FIXTURES[level]
+    base = ["".join(r"[^\\/]*" if c == "*" else re.escape(c) for c in n) for n in kind["names"]]
+    parts = [rf"(^|[\\/])({'|'.join(base)})$"] if base else []
+    parts.append(rf"(^|[\\/])({'|'.join(kind['folders'])})[\\/]")
+    if kind["starts"]:
+        parts.append(rf"[\\/]({'|'.join(kind['starts'])})")
+    return path.rlike("(?i)" + "|".join(parts))
 
 
 def _facts(data: bytes) -> tuple:
@@ -90,8 +112,8 @@ def decoded(data: bytes) -> str:
 TEXTS = f"file_id string, text string, code_ns string, code_ks string, comment string, {FACTS}"
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """Decoded texts with blanked copies of the same length, and facts about the bytes. Files above MAX_BYTES are left out."""
+def texts(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """Decoded texts with blanked copies of the same length, and facts about the bytes. Files above `most` bytes are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,7 +126,7 @@ def texts(files: DataFrame) -> DataFrame:
                 out.append((name, text, *views, *facts))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TEXTS.split(", ")]).astype({"control_line": "Int32", "high_line": "Int32"})
 
-    return files.where(F.col("length") <= MAX_BYTES).select("file_id", "content").mapInPandas(run, TEXTS)
+    return files.where(F.col("length") <= most).select("file_id", "content").mapInPandas(run, TEXTS)
 
 
 def unreadable(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
@@ -142,9 +164,9 @@ def _per_file(source: DataFrame, schema: str, rows_of) -> DataFrame:
     return source.select("file_id", "text").mapInPandas(run, schema)
 
 
-def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=written) -> Tables:
+def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=written, most: int = MAX_BYTES) -> Tables:
     """keep(df, name) holds a table that many rules read; by default it is written."""
-    text = keep(texts(files), "texts")
+    text = keep(texts(files, most), "texts")
     form = F.lower("file_id").endswith(".dfm")
     code, forms_ = text.where(~form), text.where(form)
     views = ("text", "code_ns", "code_ks", "comment")
@@ -163,13 +185,31 @@ def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=writ
 
 # project files
 
+MEMBERS = "project string, folder string, kind string, member string"
+
+
+def _members(name: str, data: bytes) -> list[tuple[str, str]]:
+    """(kind, path) of what a project file names; XML that can't be read is searched instead."""
+    try:
+        items = [(x.tag.rpartition("}")[2], x.get("Include")) for x in ElementTree.fromstring(data).iter()]
+    except ElementTree.ParseError:
+        items = re.findall(r"<(DCCReference|Projects)\s+Include=\"([^\"]+)\"", decoded(data))
+    return [(tag, path.replace("\\", "/")) for tag, path in items if tag in ("DCCReference", "Projects") and path]
+
+
 def project_members(spark: SparkSession, path: str) -> DataFrame:
-    """(project, member) of the units that project files name; a group's projects are read with it."""
-    text = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{dproj,groupproj}").load(path)
-    body = F.decode("content", "UTF-8")
-    members = F.regexp_extract_all(body, F.lit(r"<(?:DCCReference|Projects)\s+Include=\"([^\"]+)\""), 1)
-    folder = F.regexp_extract("path", r"^(.*[\\/])[^\\/]*$", 1)
-    return text.select(F.col("path").alias("project"), folder.alias("folder"), F.explode(members).alias("member")).select("project", F.concat("folder", F.replace(F.col("member"), F.lit("\\"), F.lit("/"))).alias("member")).distinct()
+    """(project, member) of the units that project files name; a group has the units of all its projects."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{dproj,groupproj}").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(name, re.sub(r"[^\\/]*$", "", name), *m) for name, data in zip(pdf["path"], pdf["content"], strict=True) for m in _members(name, bytes(data or b""))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MEMBERS.split(", ")], dtype=object)
+
+    named = read.select("path", "content").mapInPandas(run, MEMBERS).select("project", "kind", F.concat("folder", "member").alias("member")).distinct()
+    units = named.where("kind = 'DCCReference'").select("project", "member")
+    groups = named.where("kind = 'Projects'").select(F.col("project").alias("group"), F.col("member").alias("project"))
+    return units.unionByName(groups.join(units, "project").select(F.col("group").alias("project"), "member")).unionByName(groups.select(F.col("group").alias("project"), F.col("project").alias("member"))).distinct()
 
 
 # version control

@@ -178,3 +178,22 @@ def to_text(data: bytes) -> str:
     except (EOFError, IndexError, struct.error):
         pass
     return "\n".join(out)
+
+
+def typed(prop):
+    """prop with `as_bool`, `as_int`, `as_float` and `as_text`: a value in the types that it can be read in, else null."""
+    from pyspark.sql import functions as F
+
+    raw = F.col("raw")
+    return prop.withColumns({
+        "as_bool": F.when(F.lower(raw).isin("true", "false"), F.lower(raw) == "true"), "as_int": F.when(F.col("kind") == "Integer", raw.try_cast("long")),
+        "as_float": F.when(F.col("kind").isin("Integer", "Float"), raw.try_cast("double")), "as_text": F.when(F.col("kind").isin("String", "Ident"), raw),
+    })
+
+
+def value(prop, path: str, default: str):
+    """(form_id, comp_id, value) of one property of every component that has properties, or the default."""
+    from pyspark.sql import functions as F
+
+    found = F.max(F.when(F.lower("path") == path.lower(), F.col("raw")))
+    return prop.groupBy("form_id", "comp_id").agg(F.coalesce(found, F.lit(default)).alias("value"))

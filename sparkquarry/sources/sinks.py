@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import os
+import re
 import tempfile
 import uuid
 
@@ -89,9 +91,29 @@ def sonar_issues(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(effort), "kind").select(F.to_json(issue).alias("value"))
 
 
+def sonar_push(found: DataFrame, project: str, name: str = "sca-findings.json") -> str:
+    """Issues for a scanner to pick up: the one JSON file in a project's .sonar/external; those of earlier runs go. Returns its path."""
+    folder = os.path.join(project, ".sonar", "external")
+    os.makedirs(folder, exist_ok=True)
+    for old in os.listdir(folder):
+        if old.endswith(".json"):
+            os.remove(os.path.join(folder, old))
+    path = os.path.join(folder, re.sub(r'[\\/:*?"<>|]', "_", name)[:80])
+    first = True
+    with open(path, "wb") as out:
+        out.write(b'{"issues": [')
+        for part in _parts(sonar_issues(found)):
+            with part:
+                while block := part.readline():
+                    out.write((b"\n" if first else b",\n") + block.rstrip(b"\n"))
+                    first = False
+        out.write(b"]}\n")
+    return path
+
+
 def csv(found: DataFrame, path: str) -> None:
-    """Parts of a semicolon table File;Method;Line;Kind;Severity;Detail."""
-    rows = found.select(F.col("file_id").alias("File"), F.col("method").alias("Method"), F.col("line").alias("Line"), F.col("kind").alias("Kind"), severity_name(F.col("severity")).alias("Severity"), _flat(F.col("message")).alias("Detail"))
+    """Parts of a semicolon table File;Method;Line;Kind;Severity;Detail in UTF-8, each with a byte order mark."""
+    rows = found.select(F.col("file_id").alias("\ufeffFile"), F.col("method").alias("Method"), F.col("line").alias("Line"), F.col("kind").alias("Kind"), severity_name(F.col("severity")).alias("Severity"), _flat(F.col("message")).alias("Detail"))
     rows.write.option("header", "true").option("sep", ";").option("quote", '"').option("escape", '"').mode("overwrite").csv(path)
 
 
@@ -120,14 +142,15 @@ def prompt(found: DataFrame, lines: DataFrame) -> DataFrame:
     return snippets(found, lines, 5).select("file_id", "line", F.concat_ws("\n", F.format_string("%s line %d: %s", "file_id", "line", "message"), "snippet").alias("body"))
 
 
-def html_report(found: DataFrame, path: str, rows: int = 20_000) -> dict:
-    """Totals, health, the ten most frequent kinds and worst files, and `rows` findings; returns the totals."""
+def html_report(found: DataFrame, path: str, rows: int = 20_000, lines: DataFrame | None = None) -> dict:
+    """Totals, health, the ten most frequent kinds and worst files, and `rows` findings, with three lines around each if lines are given; returns the totals."""
     totals = scoring.severity_counts(found).first().asDict()
     score = found.agg(scoring.health_score(F.col("severity")).alias("s")).first()["s"] or 0
     kinds = scoring.top(found.groupBy("kind").count(), 10, F.desc("count"), F.col("kind")).collect()
     worst = scoring.top(found.groupBy("file_id").agg(scoring.health_score(F.col("severity")).alias("score")), 10, F.desc("score"), F.col("file_id")).collect()
     table = lambda title, body: f"<h2>{title}</h2><table>{''.join('<tr>' + ''.join(f'<td>{html.escape(str(c))}</td>' for c in r) + '</tr>' for r in body)}</table>"
-    shown = scoring.in_order(found).limit(rows).select("file_id", "line", "kind", "severity", "message").collect()
+    first = scoring.in_order(found).limit(rows)
+    shown = (scoring.in_order(snippets(first, lines)).select("file_id", "line", "kind", "severity", "message", "snippet") if lines is not None else first.select("file_id", "line", "kind", "severity", "message")).collect()
     body = table("Totals", totals.items()) + f"<p>Health {score}</p>" + table("Kinds", kinds) + table("Files", worst) + table("Findings", shown)
     count = sum(totals.values())
     more = f"<p>{count - rows} more</p>" if count > rows else ""

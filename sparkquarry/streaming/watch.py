@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkquarry.plans import analysis
+from sparkquarry.sources import sinks
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,12 +30,21 @@ def watch(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[DataF
     """Scan what was saved since the last trigger and hand its findings to sink(findings, generation)."""
 
     def batch(rows: DataFrame, generation: int) -> None:
-        sink(analysis.scan(latest(rows), settings, lambda df, name: df.cache()), generation)
+        sink(analysis.scan(latest(rows), settings), generation)
 
     writer = saved(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def publish(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for watch(): the diagnostics of each generation as JSON lines in a folder of its own, once however often it is tried."""
+
+    def sink(found: DataFrame, generation: int) -> None:
+        sinks.diagnostics(found).select("value").write.mode("overwrite").text(f"{path}/generation={generation}")
+
+    return sink
+
+
 def bursts(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """(key, start, end, n): edits closer together than gap are one burst; works on streams, where `late` bounds the state."""
     window = F.session_window(F.col(ts), gap)

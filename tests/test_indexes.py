@@ -33,7 +33,7 @@ def t(spark):
 
 
 def test_indexes(t):
-    assert {tuple(r) for r in indexes.symbol_references(t).where("member = 'go'").collect()} == {("go", "B.pas")}
+    assert {tuple(r) for r in indexes.symbol_references(t).where("member = 'go'").collect()} == {("go", "B.pas", True)}
     assert ("tmore", "tobject", 2) in {tuple(r) for r in indexes.descendants(t).collect()}
     assert {r["name"] for r in indexes.leaky_classes(t).collect()} == {"tbase", "tmore"}
     types = {(r["file_id"], r["name"], r["type"]) for r in indexes.resolved_types(t).collect()}

@@ -1,8 +1,10 @@
 """Exact deduplication by progressive refinement: length, then a hash of the first bytes, then a hash of all bytes.
 
 Each step counts small rows and leaves a bitmap of the classes that still have two rows or more. The next step
-reads on only for rows whose class is in the bitmap. A bitmap has BITS bits for any input; two classes that share
-a bit are merely read further than need be, so results never depend on it. No text is shuffled.
+reads on only for rows whose class is in the bitmap: the first looks at lengths, the second at PREFIX characters of those
+that share one, the third at the whole text of those that share both. Bitmaps follow the number of rows up to MOST bits;
+two classes that share a bit are merely read further than need be, so results never depend on them. No text is shuffled
+or leaves the JVM: Python sees lengths and hashes only.
 
 Texts are equal when identical after lower-casing A-Z. Null counts as empty, and empty texts equal each other. The
 row with the largest key stays; null keys are smaller than all others. Rows that repeat a key and a text are copies
@@ -11,69 +13,61 @@ like any other, and all of them carry kept = true if their key is the one that s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import BITS, bitmap, lookup, written
 
-#: Bytes of a text that the second step hashes.
+#: Characters of a text that the second step hashes, and bits of a bitmap at most.
 PREFIX = 256
+MOST = 1 << 29
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(text: str | None) -> bytes:
-    """UTF-8 with A-Z lower-cased; bytes.lower touches nothing else."""
-    return text.encode("utf-8", "surrogatepass").lower() if text else b""
+def normalised(text: Column) -> Column:
+    """A-Z lower-cased, nothing else touched."""
+    return F.translate(text, UPPER, LOWER)
 
 
-def _shared(classes: DataFrame, bit: Column) -> np.ndarray:
-    """Bits of the classes that have two rows or more."""
-    return bitmap(classes.groupBy(bit.alias("bit")).count().where("count > 1"))
+def _shared(classes: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the classes (column `class`) that have two rows or more."""
+    return bitmap(classes.groupBy(F.pmod("class", F.lit(bits)).alias("bit")).count().where("count > 1"), bits)
 
 
-def _in(bits: np.ndarray, at: int) -> bool:
-    return bool(bits[at >> 3] >> (at & 7) & 1)
+def _among(spark, bits: np.ndarray, number: Column) -> Column:
+    """Whether the bit of a number is set; a bitmap reaches each worker once."""
+    sent, size = spark.sparkContext.broadcast(bits), len(bits) * 8
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            at = x.to_numpy(np.int64) % size
+            yield pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-def _prefix_bit(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data[:PREFIX], seed=len(data) & 0xFFFFFFFF) % BITS
+    return F.pandas_udf(run, "boolean")(number)
 
 
 def refined(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digests: bool = False) -> DataFrame:
-    """(key, digest) of each row: SHA-256 of the normalised text where another row may equal it, else null.
+    """(key, alone, digest) of each row: SHA-256 of the normalised text where another row may equal it, else null.
 
     With all_digests every row has its digest; `alone` still says where refinement ended before the last step.
     """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    lengths = spark.sparkContext.broadcast(_shared(rows, F.pmod(F.octet_length("t").cast("long"), F.lit(BITS))))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = lengths.value
-        for pdf in batches:
-            data = [normalised(t) for t in pdf["t"]]
-            yield pd.DataFrame({"bit": [_prefix_bit(d) for d in data if _in(bits, len(d) % BITS)]}, dtype="int64")
-
-    # A prefix in UTF-8 has at most PREFIX characters, but its length must be that of the whole text.
-    both = spark.sparkContext.broadcast(_shared(rows.select("t").mapInPandas(prefixes, "bit long"), F.col("bit")))
-
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = lengths.value, both.value
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
-                d = normalised(t)
-                more = _in(one, len(d) % BITS) and _in(two, _prefix_bit(d))
-                out.append((k, not more, hashlib.sha256(d).hexdigest() if more or all_digests else None))
-            yield pd.DataFrame(out, columns=[key, "alone", "digest"])
-
-    return rows.mapInPandas(digests, f"`{key}` {kind}, alone boolean, digest string")
+    bits = min(MOST, max(BITS >> 6, 1 << (16 * docs.count()).bit_length()))
+    rows = docs.select(docs[key].alias(key), F.coalesce(docs[text], F.lit("")).alias("_t"))
+    rows = rows.withColumn("_len", F.octet_length("_t").cast("long"))
+    lengths = _shared(rows.select(F.col("_len").alias("class")), bits)
+    rows = rows.withColumn("_one", _among(spark, lengths, F.col("_len")))
+    prefix = F.xxhash64("_len", normalised(F.substring("_t", 1, PREFIX)))
+    both = _shared(rows.where("_one").select(prefix.alias("class")), bits)
+    rows = rows.withColumn("_prefix", F.when(F.col("_one"), prefix).otherwise(F.lit(0)))
+    alone = ~(F.col("_one") & _among(spark, both, F.col("_prefix")))
+    digest = F.sha2(normalised(F.col("_t")), 256)
+    rows = rows.withColumn("alone", alone)
+    return rows.select(key, "alone", (digest if all_digests else F.when(~F.col("alone"), digest)).alias("digest"))
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digests: bool = False) -> DataFrame:

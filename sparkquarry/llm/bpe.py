@@ -28,6 +28,10 @@ WORD = 8
 MASK = (1 << WORD) - 1
 
 
+#: Fixed value: the pattern for which texts may be cut between words and white space first.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class BytePairEncoder:
     """Encoder and decoder for one table of ranks. Caches of pre-tokens hold `cached` entries at most, twice over."""
 
@@ -50,7 +54,8 @@ class BytePairEncoder:
         self.matches = regex.compile(pattern).findall
         space = regex.compile(r"\s")
         blank = "".join(f"\\U{c:08x}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and space.match(chr(c)))
-        # No match of the pattern crosses an end of these pieces; each is split by the pattern itself.
+        # No match of SPACED crosses an end of these pieces; each is split by the pattern itself. Other patterns split whole texts.
+        self.spaced = pattern == SPACED
         self.pieces = re.compile(f" ?[^{blank}]+|[{blank}]+(?![^{blank}])|[{blank}]+").findall
         self.cached = cached
         self.new: dict[str, bytes] = {}
@@ -139,6 +144,14 @@ class BytePairEncoder:
             self.new[key] = packed
         return packed
 
+    def _one(self, match: str) -> bytes:
+        """Packed ids of one pre-token."""
+        packed = self.new.get(match) or self.old.get(match)
+        if packed is None:
+            ids = self.merge(match.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        return self._keep(match, packed)
+
     def _piece(self, piece: str) -> bytes:
         packed = self.old.get(piece)
         if packed is not None:
@@ -157,6 +170,8 @@ class BytePairEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not self.spaced:
+            return b"".join([self.new.get(x) or self._one(x) for x in self.matches(text)])
         known, piece = self.new, self._piece
         out = []
         for x in self.pieces(text):
@@ -172,22 +187,31 @@ class BytePairEncoder:
 
 
 @lru_cache(maxsize=4)
+def _encoder(data: bytes, pattern: str) -> BytePairEncoder:
+    """The encoder of a rank file's bytes: a line has a token in base 64 and its rank. One copy a process."""
+    return BytePairEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern)
+
+
+def _ranks(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def encoder(path: str, pattern: str) -> BytePairEncoder:
-    """The encoder of a rank file: a line has a token in base 64 and its rank. One copy a process."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return BytePairEncoder(ranks, pattern)
+    return _encoder(_ranks(path), pattern)
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids if asked for, ids_sha256, decoded_sha256) of each row, in one pass without a shuffle.
 
-    ids holds little-endian unsigned 32-bit integers. Repeated rows and null keys stay as they are.
+    ids holds little-endian unsigned 32-bit integers. Repeated rows and null keys stay as they are. The driver reads the rank file
+    (its size is that of the vocabulary) and sends it on, so executors need no copy.
     """
     kind = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(path, pattern)
+        bpe = _encoder(sent.value, pattern)
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["k"], pdf["t"], strict=True):
@@ -203,9 +227,10 @@ def encode_table(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 def decode_table(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, decoded binary) of a table of packed ids; null ids decode to nothing."""
     kind = tokens.schema[key].dataType.simpleString()
+    sent = tokens.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(path, pattern)
+        bpe = _encoder(sent.value, pattern)
         for pdf in batches:
             yield pd.DataFrame({key: pdf["k"], "decoded": [bpe.decode(x) if x else b"" for x in pdf["i"]]})
 

@@ -5,6 +5,8 @@ number of features. Structure statistics are taken of the whole text and as maxi
 a passage of junk inside a long clean text shows. The machine is fitted on a bounded sample of labelled documents.
 
 Null and empty texts have all statistics 0. Without labels of both kinds every score is 0.5 or the only label's.
+Rows that repeat a key each have a score; a document with several labels takes the largest; the sample is ordered by a hash
+and then by its rows, so ties don't matter. An empty table gives none, and other columns of the input play no part.
 """
 
 from __future__ import annotations

@@ -1,17 +1,19 @@
 """URL filter: all glob rules at once, by a bit-parallel wildcard automaton over many words.
 
-A glob is a string of literals with `?` (one byte but /), `*` (any run without /) and `**` (any run). Rule globs are
-packed one behind another into words of 64 states. State s of a glob is on when its first s literals have been read.
+A glob is a string of literals with `?` (one byte but /), `*` (any run without /) and `**` (any run); behind a backslash a
+sign stands for itself. Rule globs are packed one behind another into words of 64 states. State s of a glob is on when its first s literals have been read.
 One step for a byte c is  on = ((on << 1) & literal[c]) | (on & loop[c]),  with carries between words; it is done for
 a whole batch of URLs together. A glob fits if its last state is on at the end.
 
 The canonical URL is host and path as host_path() takes them. Null URLs and those without `://` have an empty host and
-path. A batch's longest URL sets the number of steps; shorter ones leave the batch as they end.
+path. A batch's longest URL sets the number of steps; shorter ones leave the batch as they end. Every row has a verdict, repeated
+ones and those without a key too; an empty table gives none, and other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +47,9 @@ class Rule:
         return self.host + self.path
 
     def globs(self) -> list[str]:
-        return [f"{self.host}{self.path}**", f"*.{self.host}{self.path}**"]
+        """The signs of globs in a host or path stand for themselves."""
+        plain = re.sub(r"([*?\\])", r"\\\1", self.name)
+        return [f"{plain}**", f"*.{plain}**"]
 
 
 class GlobAutomaton:
@@ -86,7 +90,10 @@ class GlobAutomaton:
         loops: dict[int, bool] = {}
         data, i = glob.encode(), 0
         while i < len(data):
-            if data[i] == ord("*"):
+            if data[i] == ord("\\") and i + 1 < len(data):
+                literals.append(data[i + 1])
+                i += 2
+            elif data[i] == ord("*"):
                 n = 2 if data[i : i + 2] == b"**" else 1
                 loops[len(literals)] = loops.get(len(literals), False) or n == 2
                 i += n

@@ -203,6 +203,14 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert epsgrid.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_embeddings_with_odd_keys(spark):
+    """Repeated and null keys, and columns with names that are used inside."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, 0, 0), (1, b, 0, 0), (2, b, 0, 0), (None, a, 0, 0), (3, a, 0, 0), (3, a, 0, 0), (4, [1.0, 1.0], 0, 0)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in epsgrid.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, k int, component int")).collect())
+    assert got == [(0, 0, None), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_urls(spark):
     rules = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow")]
     pages = [(1, "http://A.Example.com/en/7x?q"), (2, "https://example.com/en/8#f"), (3, None), (4, "no scheme"), (5, "http://xcom/en/1"), (6, "http://spam-a.org/x"), (7, "x://b.com/EN/"), (8, "http://e.org/x.com/en/1"), (9, "http://" + "a" * 5000 + ".com/en/")]
@@ -213,6 +221,26 @@ def test_urls(spark):
     }
 
 
+def test_url_rules_take_signs_literally(spark):
+    rules = [urls.Rule("com", "/a*b?", "block")]
+    pages = [(1, "http://x.com/a*b?/c"), (2, "http://x.com/a*b"), (3, "http://x.com/axxb/"), (4, "http://com/a*b")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string"), [urls.Rule("com", "/a*b", "block")], []).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block"}
+    assert rules[0].globs() == ["com/a\\*b\\?**", "*.com/a\\*b\\?**"]
+
+
+def test_bpe_with_another_pattern():
+    import regex
+    import tiktoken
+
+    pattern = r"[a-z]+ [a-z]+|\p{N}{1,3}|."
+    base = bpe.encoder(PATH, PATTERN)
+    encoding = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=base.ranks, special_tokens={})
+    own = bpe.encoder(PATH, pattern)
+    text = "two words 12345 and more words é  x"
+    assert list(memoryview(own.encode(text)).cast("I")) == encoding.encode_ordinary(text) and regex.compile(pattern)
+
+
 def test_glob_automaton_against_regex():
     import re
 
@@ -226,7 +254,7 @@ def test_glob_automaton_against_regex():
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\l<s>[x]"), (1, 1, "assistant", "</s>[INST] ok"), (1, 1, None, None), (2, None, "assistant", ""), (None, 5, "assistant", "é漢")]
-    out = chat.read_back(chat.formatted(chat.from_turn_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
+    out = chat.read_back(chat.formatted(chat.canonical(chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).collect()
     assert all([(t["role"], t["text"]) for t in r["turns"]] == [(t["role"], t["text"]) for t in r["read_turns"]] for r in out)
     one = next(r for r in out if r["conv_id"] == 1)
     assert one["loss_texts"] == ["", "", "</s>[INST] ok"] and one["formatted"].count("</s>") == 3
@@ -234,8 +262,18 @@ def test_chat_round_trip(spark):
     got = {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]] if r["turns"] is not None else None) for r in chat.canonical_json(spark.createDataFrame(json_rows, "id int, doc string"), "id", "doc").collect()}
     assert got[1] == ("messages", [("user", "q"), ("assistant", "a")]) and got[2] == ("instruction", [("user", "i\n\nx"), ("assistant", "o")])
     assert got[3] == got[4] == got[5] == (None, None)
-    typed = chat.canonical(spark.createDataFrame([("p", "r", 1)], "prompt string, response string, turns int").drop("turns"))
-    assert typed.first()["layout"] == "prompt_response"
+    # columns with the names of the results are replaced
+    typed = chat.canonical(spark.createDataFrame([("p", "r", 1, 2)], "prompt string, response string, turns int, layout int")).first()
+    assert typed["layout"] == "prompt_response" and [tuple(t) for t in typed["turns"]] == [("user", "p"), ("assistant", "r")]
+    empty = chat.read_back(chat.formatted(chat.canonical(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))))
+    assert empty.count() == 0
+    long = "</s>[x] é\\" * 40_000
+    back = chat.read_back(chat.formatted(chat.canonical(chat.conversations(spark.createDataFrame([(1, 0, "Human", long)], "conv_id long, turn long, role string, text string"))))).first()
+    assert [tuple(t) for t in back["read_turns"]] == [("Human", long)]
+
+
+def test_chat_fingerprints_pick_the_layout():
+    assert len({x.fingerprint for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
 
 
 def test_packing(spark, docs, nothing):

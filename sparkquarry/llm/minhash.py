@@ -579,31 +579,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows that repeat a key are one document, and link all their sets. Null keys have no links.
     """
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    signed = written(_signatures(rows), "signatures", 2000)
-    texts = written(_texts(signed), "texts")
+    signatures = written(_signatures(rows), "signatures", 2000)
+    texts = written(_texts(signatures), "texts")
+    signed = written(signatures.select("k", "n", "same"), "sets")
+    release(signatures)
     spread = texts.count() * TREES
     twice = written(signed.where("n > 0 and k is not null").groupBy("k").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select(F.col("k").alias("_k")), "twice")
-    sources = _sources(rows, twice, texts)
+    homes = written(texts.select("same", "w", "k", "id"), "homes")
+    sources = _sources(rows, twice, homes)
     tokens = texts.select("id", "n", "roots", "tokens", "bins")
     pairs = written(_likely(tokens, spread).distinct(), "pairs", 4000)
     links = written(_confirmed(pairs, sources).distinct(), "links", CONFIRM)
+    release(pairs)
     # Sets of one key
-    several = signed.join(twice, signed["k"] == twice["_k"]).where("n > 0").select("k", "same").distinct().join(texts.select("id", "same"), "same")
+    several = signed.join(twice, signed["k"] == twice["_k"]).where("n > 0").select("k", "same").distinct().join(homes.select("id", "same"), "same")
     least = several.groupBy("k").agg(F.min("id").alias("a"))
-    links = links.unionAll(several.join(least, "k").select("a", F.col("id").alias("b")).where("a <> b"))
-    links = written(links, "links")
+    links = written(links.unionAll(several.join(least, "k").select("a", F.col("id").alias("b")).where("a <> b")), "links")
     tagged = written(tokens.join(components(links).withColumnRenamed("node", "id"), "id", "left").select(*tokens.columns, F.coalesce("component", "id").alias("c")), "tagged")
-    more = _open(tagged, spread)
-    found = more[0]
-    for m in more[1:]:
+    release(texts)
+    found, *more = _open(tagged, spread)
+    for m in more:
         found = found.unionAll(m)
     pairs = written(found.distinct(), "pairs", 4000)
+    release(tagged)
     if pairs.head(1):
         links = links.unionAll(written(_confirmed(pairs, sources).distinct(), "links", CONFIRM))
-    release(tagged)
+    release(pairs)
     joined = components(links)
     # A component's name is the smallest key of its documents; copies of a set follow the text that stands for it.
-    named = texts.select("same", "w", "k", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = homes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     named = named.select("same", "w", "k", "c")
     if twice.head(1):
         least = written(named.where("c < 0").groupBy("c").agg(F.min("k").alias("least"), F.count("*").alias("sets")), "least")

@@ -5,10 +5,11 @@ A key names one document: rows that repeat it share one decision. Null keys are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, minhash, packing, quality, toxicity
+from .storage import BITS, bitmap, written
 
 CAPACITIES = [512, 1024, 2048, 4096, 8192]
 
@@ -22,9 +23,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept(_id); nulls match nulls."""
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITS))
+
+
+def _parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose doc_id can't be in keys(_id), and the others: keys as a bitmap of fixed size, so no row is shuffled."""
+    bits = bitmap(keys.select(_bit(F.col("_id")).alias("bit")))
+    hit = exact._among(docs.sparkSession, bits, _bit(docs["doc_id"]))
+    return docs.where(~hit), docs.where(hit)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +47,35 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of all documents with the same text, A-Z in either case; the one with the largest key."""
-    found = exact.exact_duplicates(docs)
-    kept = _only(docs, found.where("kept").select(F.col("doc_id").alias("_id")))
-    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    """One of all documents with the same text, A-Z in either case; the one with the largest key.
+
+    Only rows of groups that may stay are shuffled. A name that docs can't have marks them.
+    """
+    found = written(exact.exact_duplicates(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), "kept", F.col("digest").alias("_digest")), "groups")
+    alone, grouped = _parted(docs, found)
+    kept = found.where("kept").select("_id", "_digest").distinct()
+    _, maybe = _parted(grouped, kept)
+    mark = _fresh(docs)
+    maybe = maybe.withColumn(mark, F.sha2(exact.normalised(F.coalesce(maybe["text"], F.lit(""))), 256))
+    # In a group: the row that stays, once. A key whose bit merely equals a group's has no group.
+    stays = maybe.join(kept, maybe["doc_id"].eqNullSafe(kept["_id"]) & (maybe[mark] == kept["_digest"]), "left_semi").dropDuplicates(["doc_id", mark])
+    others = grouped.withColumn(mark, F.sha2(exact.normalised(F.coalesce(grouped["text"], F.lit(""))), 256))
+    digests = found.select("_digest").distinct()
+    return alone.unionByName(stays.drop(mark)).unionByName(others.join(digests, others[mark] == digests["_digest"], "left_anti").drop(mark))
+
+
+def _fresh(docs: DataFrame) -> str:
+    name = "_mark"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest key."""
-    found = minhash.near_duplicates(docs)
-    return _only(docs, found.where("kept").select(F.col("doc_id").alias("_id")))
+    """One document of each component of near duplicates, the one with the smallest key. Only rows that may go are shuffled."""
+    gone = written(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    stays, maybe = _parted(docs, gone)
+    return stays.unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]), "left_anti"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ For unit vectors cosine >= c means a distance of at most eps = sqrt(2 - 2 c). Ve
 their second moments (a sum over all of them), cut into grid cells of width eps on the leading axes and sorted by cell,
 lexicographically. The sorted sequence is dealt to blocks of about BLOCK vectors, and blocks to intervals of FAN blocks, and so on.
 Pairs of intervals are joined recursively from the top: a pair whose bounding boxes on the leading axes are further apart than
-eps is skipped, and so is all below it; pairs of blocks that remain are multiplied out, in double precision. Within a pair
-of blocks the same recursion goes on over halves of the sequence.
+eps is skipped, and so is all below it. The last intervals, of FAN blocks, are what tasks take: a task gets two of them (or
+one, with itself), each block once, skips pairs of blocks that are too far apart, and multiplies the others out in double
+precision. So a block travels once for each interval near it, not for each block. Within a pair of blocks the same
+recursion goes on over halves of the sequence.
 
 Equal vectors are one from here on, with a count, and the smallest id stands for them. A pair of blocks gives for each
 vector the number of its links and no more than a spanning forest of them, so its output is bounded by its input,
@@ -111,28 +113,32 @@ def _near(eps: float):
     return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9
 
 
-def _block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
-    """Pairs (one, two) of blocks, one <= two, that may hold links, by recursion from the largest intervals down."""
-    from pyspark.sql import Window
-
-    # Blocks have numbers in order of the sequence; these are numbered by partition and place, so ranks need no single task.
+def _numbered(boxes: DataFrame) -> tuple[DataFrame, int]:
+    """(block, i, low, high): blocks with their place in the sequence, and their number."""
+    # Blocks are numbered by partition and place, so ranks need no single task.
     per_part = boxes.groupBy(F.shiftright("block", 24).alias("part")).count().orderBy("part").collect()
     before, offsets = 0, {}
     for r in per_part:
         offsets[r["part"]] = before
         before += r["count"]
     if not before:
-        return boxes.select(F.col("block").alias("one"), F.col("block").alias("two"))
+        return boxes.withColumn("i", F.col("block")), 0
     start = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    level = written(boxes.select("block", F.col("low"), F.col("high"), (start[F.shiftright("block", 24)] + F.col("block").bitwiseAND((1 << 24) - 1)).alias("i")), "boxes")
-    levels, count = [level], before
-    while count > 1:
+    return boxes.withColumn("i", start[F.shiftright("block", 24)] + F.col("block").bitwiseAND((1 << 24) - 1)), before
+
+
+def _interval_pairs(boxes: DataFrame, count: int, eps: float) -> DataFrame:
+    """Pairs (one, two) of the last intervals, one <= two, that may hold links, by recursion from the largest down. boxes: (i, low, high)."""
+    level, levels = boxes, []
+    while True:
         axes = len(level.first()["low"])
         low = F.array(*[F.min(F.col("low")[a]) for a in range(axes)])
         high = F.array(*[F.max(F.col("high")[a]) for a in range(axes)])
         level = written(level.groupBy(F.floor(F.col("i") / FAN).alias("i")).agg(low.alias("low"), high.alias("high")), "boxes")
         levels.append(level)
         count = -(-count // FAN)
+        if count <= 1:
+            break
     pairs = levels[-1].select(F.col("i").alias("one"), F.col("i").alias("two"))
     for level in reversed(levels[:-1]):
         children = F.sequence(F.lit(0), F.lit(FAN - 1))
@@ -141,9 +147,7 @@ def _block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
         left = level.select(F.col("i").alias("one"), "low", "high")
         right = level.select(F.col("i").alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"))
         pairs = wide.join(left, "one").join(right, "two").where(_near(eps)).select("one", "two")
-    name = levels[0]
-    pairs = pairs.join(name.select(F.col("i").alias("one"), F.col("block").alias("b1")), "one").join(name.select(F.col("i").alias("two"), F.col("block").alias("b2")), "two")
-    return pairs.select(F.col("b1").alias("one"), F.col("b2").alias("two"))
+    return pairs
 
 
 def _joined(a, b, same: bool, bound: float, eps: float):
@@ -187,36 +191,45 @@ def _joined(a, b, same: bool, bound: float, eps: float):
 
 
 def _pair_links(blocks: DataFrame, pairs: DataFrame, bound: float, eps: float) -> DataFrame:
-    """(k, n, to): the number of links a pair of blocks gives a vector, and a vector in its component there."""
-    names = ["n", "k", "w", "u", "z"]
-    one = blocks.select(F.col("block").alias("one"), *[F.col(c).alias(f"{c}1") for c in names])
-    two = blocks.select(F.col("block").alias("two"), *[F.col(c).alias(f"{c}2") for c in names])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def part(row, side: int):
-            cell = lambda c, kind: np.frombuffer(bytes(getattr(row, f"{c}{side}")), kind)
+    """(k, n, to): the number of links that two intervals give a vector, and a vector in its component there. blocks have their place i."""
+    names = ["i", "k", "w", "u", "z", "low", "high"]
+    mine = blocks.withColumn("interval", F.floor(F.col("i") / FAN)).select("interval", *names)
+    sides = pairs.select("one", "two", F.col("one").alias("interval")).unionAll(pairs.where("one <> two").select("one", "two", F.col("two").alias("interval")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def part(row):
+            cell = lambda c, kind: np.frombuffer(bytes(getattr(row, c)), kind)
             k = cell("k", "<i8")
             return k, cell("w", "<i8"), cell("u", "<f8").reshape(len(k), -1), cell("z", "<f8").reshape(len(k), -1)
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a, b = part(row, 1), part(row, 2)
-                same = row.one == row.two
-                na, nb, forest = _joined(a, b, same, bound, eps)
-                keys = np.concatenate((a[0], b[0]))
-                n = np.concatenate((na, nb))
-                hit = n > 0
-                k = keys[hit]
-                yield pd.DataFrame({"k": k, "n": n[hit], "to": np.array([forest.find(int(x)) for x in k], np.int64)})
-
-    return pairs.join(one, "one").join(two, "two").mapInPandas(run, "k long, n long, to long")
+        rows = sorted(pdf.itertuples(index=False), key=lambda r: r.i)
+        parts, one, two = [part(r) for r in rows], int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
+        counts, forest = [np.zeros(len(p[0]), np.int64) for p in parts], Forest()
+        for x, a in enumerate(rows):
+            for y in range(x, len(rows)):
+                b = rows[y]
+                if (a.interval, b.interval) != (one, two):  # the other pairs belong to other tasks
+                    continue
+                gap = np.maximum(0, np.maximum(np.asarray(a.low) - np.asarray(b.high), np.asarray(b.low) - np.asarray(a.high)))
+                if float((gap * gap).sum()) > eps * eps + 1e-9:
+                    continue
+                na, nb, links = _joined(parts[x], parts[y], x == y, bound, eps)
+                counts[x] += na
+                counts[y] += nb
+                for k in links.up:
+                    forest.join(k, links.find(k))
+        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate(counts)
+        k = keys[n > 0]
+        return pd.DataFrame({"k": k, "n": n[n > 0], "to": np.array([forest.find(int(x)) for x in k], np.int64)})
+
+    return sides.join(mine, "interval").groupBy("one", "two").applyInPandas(run, "k long, n long, to long")
 
 
 def linked(vectors: DataFrame, bound: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of each row; the key is an integer.
 
     n_links counts the other rows at a cosine of `bound` or more, equal vectors and repeated keys included. Rows that repeat
-    a key are in one component. Null keys have no links.
+    a key are in one component. Null keys have no links. An empty table gives none; other columns play no part.
     """
     eps = float(np.sqrt(2 - 2 * bound))
     exact = F.transform(vectors[vector], lambda x: x.cast("double"))
@@ -230,7 +243,10 @@ def linked(vectors: DataFrame, bound: float = 0.9, key: str = "vec_id", vector:
         own = unique.where(F.size("v") == size)
         placed = written(_placed(own.select("k", "w", "v"), size, _axes(own, size), eps), "placed")
         blocks = written(_blocks(placed, max(1, -(-r["count"] // (4 * BLOCK)))), "blocks")
-        got = written(_pair_links(blocks, _block_pairs(blocks.select("block", "low", "high"), eps), bound, eps), "links")
+        placed_blocks, number = _numbered(blocks)
+        if not number:
+            continue
+        got = written(_pair_links(placed_blocks, _interval_pairs(placed_blocks.select("i", "low", "high"), number, eps), bound, eps), "links")
         counts = got.select("k", "n") if counts is None else counts.unionAll(got.select("k", "n"))
         links = got.select(F.col("k").alias("a"), F.col("to").alias("b")) if links is None else links.unionAll(got.select(F.col("k").alias("a"), F.col("to").alias("b")))
     spread = F.coalesce(F.col("k"), F.lit(0)).cast("string")

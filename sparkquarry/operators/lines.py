@@ -22,7 +22,7 @@ def matching(lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return lines.withColumn("kind", F.explode(hits))
 
 
-#: Rules of a table at most: it is broadcast.
+#: Rules that are broadcast at most. Larger tables are dealt to groups of about so many, and each line meets each group.
 MANY = 10_000
 
 
@@ -30,10 +30,8 @@ def custom_rules(lines: DataFrame, rules: DataFrame, path: str | None = None) ->
     """Lines that a rule of a table (id, pattern, pattern_type, severity, include, exclude) fits, once a rule and line.
 
     pattern_type is substring (the default), word or regex; substrings and words ignore case. Rules with a broken regex should be
-    refused before. Rule tables are written by hand; one of more than MANY rules is refused.
+    refused before. Rule tables are written by hand; one of more than MANY rules isn't broadcast.
     """
-    if rules.limit(MANY + 1).count() > MANY:
-        raise ValueError(f"a table may have {MANY} custom rules")
     t = F.col("text")
     word = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), F.col("pattern"), F.lit(r"\E(?![A-Za-z0-9_])"))
     fits = F.when(F.col("pattern_type") == "regex", F.expr("text rlike pattern")).when(F.col("pattern_type") == "word", F.regexp_like(t, word)).otherwise(F.expr("instr(lower(text), lower(pattern)) > 0"))
@@ -41,4 +39,9 @@ def custom_rules(lines: DataFrame, rules: DataFrame, path: str | None = None) ->
         inside = F.expr(f"include is null or size(include) = 0 or exists(include, g -> {path} rlike g)")
         outside = F.expr(f"exclude is null or not exists(exclude, g -> {path} rlike g)")
         fits = fits & inside & outside
-    return lines.join(F.broadcast(rules), fits)
+    groups = -(-rules.count() // MANY)
+    if groups <= 1:
+        return lines.join(F.broadcast(rules), fits)
+    dealt = rules.withColumn("_group", F.pmod(F.xxhash64("id", "pattern"), F.lit(groups)).cast("int"))
+    each = lines.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return each.join(dealt, (each["_group"] == dealt["_group"]) & fits).drop("_group")

@@ -41,9 +41,13 @@ def in_order(found: DataFrame) -> DataFrame:
     return found.orderBy(*REPORT)
 
 
-def shown(found: DataFrame, severity: int | None = None, kinds: list[str] | None = None, text: str = "") -> DataFrame:
-    """What a list shows: of one severity and some kinds, with a text in any column, case ignored. Read errors always show."""
+def shown(found: DataFrame, severity: int | None = None, kinds: list[str] | None = None, text: str = "", type_: str = "") -> DataFrame:
+    """What a list shows: of one severity, some kinds and one type of rule, with a text in any column, case ignored. Read errors always show."""
     keep = F.lit(True)
+    if type_:
+        from sparkquarry.plans import catalogue
+
+        keep &= F.col("kind").isin([r.kind for r in catalogue.RULES.values() if r.type == type_])
     if severity is not None:
         keep &= F.col("severity") == severity
     if kinds:

@@ -37,6 +37,8 @@ DB = "'TFDQuery', 'TFDConnection', 'TFDTable', 'TFDCommand', 'TFDStoredProc', 'T
 INPUTS = "'TEdit', 'TMemo', 'TComboBox', 'TCheckBox', 'TRadioButton', 'TListBox', 'TDBEdit', 'TDBMemo', 'TDBComboBox', 'TDBCheckBox', 'TMaskEdit', 'TSpinEdit', 'TDateTimePicker', 'TRichEdit', 'TLabeledEdit', 'TDBGrid', 'TDBLookupComboBox'"
 LEAKY = "TStringList|TList|TObjectList|TFileStream|TMemoryStream|TStringStream|TBitmap|TIniFile|TRegistry|TThread|TStream|TStringBuilder|TJSONObject|TXMLDocument|TFDQuery|TADOQuery|TQuery|TDictionary|TQueue|TStack|TStreamReader|TStreamWriter|TCriticalSection|TIdHTTP|THTTPClient|TPicture|TPngImage|TJPEGImage|TCollection|TZipFile"
 SQLWORD = r"(?i)'\\s*(?:SELECT\\s|INSERT\\s+INTO\\s|UPDATE\\s|DELETE\\s+FROM\\s|MERGE\\s+INTO\\s|EXEC\\s|ALTER\\s+TABLE\\s|DROP\\s)"
+#: Where texts for people go.
+MESSAGE = "(?i:Caption|Hint|Title|Message|Msg|ErrorText|ShowMessage\\\\w*|MessageDlg|MessageBox|Log\\\\w*|Write(?:Ln)?|OutputDebugString\\\\w*|Raise\\\\w*)"
 NOSTR = "regexp_replace({}, \"'(?:[^']|'')*'\", \"''\")"
 FREE = r"concat('(?i)(?<![A-Za-z0-9_.])(?:', {0}, '[.](?:Free|Destroy|DisposeOf)|FreeAndNil *[(] *', {0}, ' *[)])')"
 
@@ -67,14 +69,22 @@ _refs = f"""
 AST: dict[str, str] = {
     "MemoryLeak": rf"""select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join ast v on v.file_id = a.file_id and v.method_id = a.method_id and v.kind = 'LocalVar' and lower(v.name) = lower(a.name)
         join meth m on m.file_id = a.file_id and m.node_id = a.method_id
-        where a.kind = 'Assign' and a.type_ref rlike '^(?i)\\w+(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|Owner|Application).*[)]| *[(] *[)]|)$' and (a.type_ref rlike '^(?i)({LEAKY})\\b' or lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) in (select class from leaky)) and lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) not in (select class from spared)
+        where a.kind = 'Assign' and a.type_ref rlike '^(?i)\\w+(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|A?Owner|Application).*[)]| *[(] *[)]|)$' and (a.type_ref rlike '^(?i)({LEAKY})\\b' or lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) in (select class from leaky)) and lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) not in (select class from spared)
         and not exists (select 1 from ast f join sinks s on f.name rlike concat('(?i)(?<![A-Za-z0-9_])', s.class, ' *[(]') where f.file_id = a.file_id and f.method_id = a.method_id and f.kind = 'Call' and {word('a.name', 'f.name')})
         and not exists (select 1 from ast f where f.file_id = a.file_id and f.method_id = a.method_id and f.kind in ('Call', 'Assign', 'Raise', 'Exit') and f.node_id <> a.node_id
           and (f.name rlike {FREE.format('a.name')} or f.kind = 'Assign' and f.type_ref rlike concat('(?i)^', a.name, '$') or f.kind = 'Exit' and {word('a.name', 'f.type_ref')} or f.kind = 'Raise' and {word('a.name', 'f.name')}
             or f.kind = 'Call' and f.name rlike concat('(?i)[(,] *', a.name, ' *[,)]')))""",
     "EmptyExcept": "select e.file_id, e.line, '' as detail from ast e left anti join ast c on c.file_id = e.file_id and c.parent_id = e.node_id where e.kind = 'ExceptBlock'",
+    # a literal that begins like SQL and is joined to what isn't a constant or made safe, or a format of one with text in it; messages aren't SQL
     "SQLInjection": rf"""select file_id, line, concat(name, ' ', type_ref) as detail from ast where kind in ('Assign', 'Call') and concat_ws(' ', name, type_ref) rlike "{SQLWORD}"
-        and {NOSTR.format("concat_ws(' ', name, type_ref)")} rlike "''\\s*[+]\\s*(?!(?i:IntToStr|QuotedStr|FloatToStr|DateToStr|BoolToStr|#|sLineBreak|''))[A-Za-z_]" """,
+        and not (kind = 'Assign' and name rlike '{MESSAGE}$') and not (kind = 'Call' and name rlike '^(\\w+[.])*{MESSAGE}')
+        and ({NOSTR.format("concat_ws(' ', name, type_ref)")} rlike "''\\s*[+]\\s*(?!(?i:IntToStr|QuotedStr|FloatToStr|DateToStr|BoolToStr|sLineBreak)\\b|#|''|[A-Z][A-Z0-9_]+\\b(?![.(]))[A-Za-z_]"
+          or concat_ws(' ', name, type_ref) rlike "(?i)\\bFormat(Utf8)? *[(] *'\\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|EXEC|ALTER|DROP)\\s(?:[^']|'')*%s(?:[^']|'')*' *, *\\[(?!\\s*(?:'[^']*'|\\d+|(?:IntToStr|QuotedStr)[(][^()]*[)])\\s*\\])")""",
+    "SqlDangerousStatement": rf"""select a.file_id, a.line, a.t as detail from (select *, regexp_replace(concat_ws(' ', name, type_ref), "'\\s*[+]\\s*'", '') as t, lower(substring_index(name, '.', 1)) as who from ast where kind in ('Assign', 'Call')) a
+        where a.t rlike "(?i)'\\s*(?:DELETE\\s+FROM\\s+\\S|UPDATE\\s+\\S+\\s+SET\\s|TRUNCATE\\s+TABLE\\s+\\S|DROP\\s+TABLE\\s+(?!IF\\s+EXISTS\\b)\\S)" and a.t not rlike '(?i)\\bWHERE\\b'
+        and (a.kind = 'Assign' and a.name not rlike '{MESSAGE}$' or a.kind = 'Call' and a.name rlike '(?i)(ExecSQL|Execute\\w*|SQL[.](Add|Append)|[.]Open)\\s*[(]')
+        and not exists (select 1 from ast n where n.file_id = a.file_id and n.method_id = a.method_id and n.node_id > a.node_id and n.kind in ('Assign', 'Call') and lower(substring_index(n.name, '.', 1)) = a.who
+          and concat_ws(' ', n.name, n.type_ref) rlike "(?i)'\\s*(AND\\s|WHERE\\s)" and (n.name rlike '(?i)[.](Add|Append)\\w*\\s*[(]' or startswith(lower(n.type_ref), lower(n.name))))""",
     "HardcodedSecret": r"""select file_id, line, name as detail from ast where kind = 'Assign' and name rlike '(?i)(password|passwd|pwd|secret|token|api_?key|access_?key)$' and type_ref rlike "^'[^' ]{4,}'$" and type_ref not rlike "(?i)'(test|dummy|xxx+|\\*+|changeme|password|<[^>]*>|%s)'" """,
     "FormatMismatch": r"""select file_id, line, name as detail from (select *, regexp_extract(t, "(?i)\\bFormat *[(] *'((?:[^']|'')*)' *, *\\[((?:[^\\[\\]]|\\[[^\\]]*\\])*)\\]", 1) as fmt,
         regexp_replace(regexp_replace(regexp_extract(t, "(?i)\\bFormat *[(] *'((?:[^']|'')*)' *, *\\[((?:[^\\[\\]]|\\[[^\\]]*\\])*)\\]", 2), "'(?:[^']|'')*'", "''"), "[(][^()]*[)]|\\[[^\\]]*\\]", '') as args
@@ -88,18 +98,19 @@ AST: dict[str, str] = {
         and not exists (select 1 from ast t where t.file_id = a.file_id and t.method_id = a.method_id and t.kind = 'TryFinally')""",
     "DeadCode": """select file_id, line, detail from (select file_id, line, kind, name as detail, node_id, lag(kind) over w as before, lag(end_line) over w as before_line, lag(parent_id) over w as p from ast
         where kind in ('Assign', 'Call', 'IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt', 'TryFinally', 'TryExcept', 'Exit', 'Raise', 'Inherited', 'LabelMark', 'Block', 'Jump', 'Goto', 'WithStmt') window w as (partition by file_id, parent_id order by sibling_ix)) x
-        where before in ('Exit', 'Raise') and kind <> 'LabelMark' and not exists (select 1 from ranges r where r.file_id = x.file_id and r.end_line between x.before_line and x.line)""",
+        where before in ('Exit', 'Raise') and kind <> 'LabelMark' and not exists (select 1 from ranges r where r.file_id = x.file_id and (r.start_line between x.before_line and x.line or r.end_line between x.before_line and x.line))""",
     "LongMethod": """select m.file_id, m.line, m.name as detail from meth m join ast s on s.file_id = m.file_id and s.node_id between m.node_id and m.last_pre join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block'
         where s.kind in ('Assign', 'Call', 'IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt', 'TryFinally', 'TryExcept', 'Exit', 'Raise', 'Inherited', 'Jump', 'Goto', 'WithStmt')
         group by m.file_id, m.node_id, m.line, m.name, b.line, b.end_line having b.end_line - b.line + 1 > :body_lines and count(*) > :statements""",
     "LongParamList": "select file_id, min(line) as line, name as detail from (select m.file_id, m.line, m.name, count(*) as n from ast m join ast p on p.file_id = m.file_id and p.parent_id = m.node_id and p.kind = 'Param' where m.kind in ('Method', 'MethodDecl') group by m.file_id, m.node_id, m.line, m.name) where n > :params group by file_id, name, n",
-    "MagicNumber": r"select file_id, line, n as detail from (select file_id, line, regexp_extract(name, '(?:>=|<=|<>|>|<|=)\\s*(-?\\d+)\\b(?![.])', 1) as n from ast where kind = 'IfStmt') where n <> '' and not array_contains(split(:trivial, ','), n) and not (try_cast(n as bigint) between 1 and 1024 and bit_count(try_cast(n as bigint)) = 1)",
+    "MagicNumber": r"""select file_id, line, n as detail from (select file_id, line, regexp_extract(regexp_replace(name, "'(?:[^']|'')*'", "''"), '(?:>=|<=|<>|>|<|=)\\s*(-?\\d+)\\b(?![.])', 1) as n from ast where kind = 'IfStmt') where n <> '' and not array_contains(split(:trivial, ','), n) and not (try_cast(n as bigint) between 1 and 1024 and bit_count(try_cast(n as bigint)) = 1)""",
     "DuplicateString": "select file_id, min(line) as line, concat(lit, ' x ', count(*)) as detail from lits where length(lit) >= 4 group by file_id, lit having count(*) >= 3",
     "DebugOutput": r"select a.file_id, a.line, a.name as detail from ast a where a.kind = 'Call' and a.name rlike '(?i)^(OutputDebugString[AW]?|Writeln|ShowMessage|CodeSite[.]Send\\w*|DebugMsg)\\b *[(]' and a.name not rlike '(?i)^ShowMessage' and not exists (select 1 from ranges r where r.file_id = a.file_id and upper(r.tag) like '%DEBUG%' and a.line between r.start_line and r.end_line)",
     "DeepNesting": """select file_id, min_by(line, (-d, node_id)) as line, concat('depth ', max(d)) as detail from (select n.file_id, n.method_id, n.node_id, n.line, count(*) as d from ast n join ast a on a.file_id = n.file_id and a.method_id = n.method_id and n.node_id between a.node_id and a.last_pre and a.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt')
         where n.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseStmt') group by n.file_id, n.method_id, n.node_id, n.line) group by file_id, method_id having max(d) > :nesting""",
-    "EmptyMethod": """select m.file_id, m.line, m.name as detail from meth m join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block' where b.last_pre = b.node_id and m.name not rlike '(?i)[.](Create|Destroy)$'
-        and not exists (select 1 from lines l where l.file_id = m.file_id and l.line_no between m.line and m.end_line and trim(l.comment) <> '')""",
+    # a comment between begin and end says that it is meant, unless it is code
+    "EmptyMethod": """select m.file_id, m.line, m.name as detail from meth m join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block' where b.last_pre = b.node_id
+        and not exists (select 1 from lines l where l.file_id = m.file_id and l.line_no between b.line and m.end_line and trim(l.comment) <> '' and l.code_ns not rlike '(?i)\\\\bend\\\\b' and l.comment not rlike ':=|;\\\\s*[})*]*\\\\s*$')""",
     "CyclomaticComplexity": rf"""select m.file_id, m.line, concat(m.name, ' ', 1 + sum(case when s.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseArm', 'OnHandler') then 1 else 0 end) + sum(case when s.kind = 'IfStmt' then regexp_count({NOSTR.format('s.name')}, '(?i)\\b(?:and|or|xor)\\b') else 0 end)) as detail
         from meth m join ast s on s.file_id = m.file_id and s.method_id = m.node_id group by m.file_id, m.node_id, m.line, m.name
         having 1 + sum(case when s.kind in ('IfStmt', 'ForStmt', 'WhileStmt', 'RepeatStmt', 'CaseArm', 'OnHandler') then 1 else 0 end) + sum(case when s.kind = 'IfStmt' then regexp_count({NOSTR.format('s.name')}, '(?i)\\b(?:and|or|xor)\\b') else 0 end) > :cyclomatic""",

@@ -75,6 +75,14 @@ def test_ranks_and_lists(spark):
     assert "| 1 |" in sinks.timing_markdown(rows, "rule", "ms")
     same = duplicates.repeated(spark.createDataFrame([(1, "abcd", i) for i in range(300)], "k int, v string, n int"), "k", "v", "n").first()
     assert same["n"] == 300 and same["related_lines"] == list(range(50))
-    with pytest.raises(ValueError):
-        lines.custom_rules(rows, spark.range(lines.MANY + 1))
     assert not set(text_rules.LINE) & set(text_rules.TEXT)
+
+
+def test_custom_rules_beyond_a_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"line {i} of text") for i in range(60)], "k int, text string")
+    rules = spark.createDataFrame([(f"r{i}", f"line {i} ", "substring", 1, None, None) for i in range(40)], "id string, pattern string, pattern_type string, severity int, include array<string>, exclude array<string>")
+    want = {(i, f"r{i}") for i in range(40)}
+    assert {(r["k"], r["id"]) for r in lines.custom_rules(rows, rules).collect()} == want
+    monkeypatch.setattr(lines, "MANY", 7)
+    out = lines.custom_rules(rows, rules)
+    assert {(r["k"], r["id"]) for r in out.collect()} == want and "_group" not in out.columns

@@ -4,7 +4,8 @@ Each step counts small rows and leaves a bitmap of the classes that still have t
 reads on only for rows whose class is in the bitmap: the first looks at lengths, the second at PREFIX characters of those
 that share one, the third at the whole text of those that share both. Bitmaps follow the number of rows up to MOST bits;
 two classes that share a bit are merely read further than need be, so results never depend on them. No text is shuffled
-or leaves the JVM: Python sees lengths and hashes only.
+or leaves the JVM: Python sees lengths and hashes only. The pass of the third step makes the prefix hash of every row again,
+so that one look at both bitmaps tells whose whole text to read.
 
 Texts are equal when identical after lower-casing A-Z. Null counts as empty, and empty texts equal each other. The
 row with the largest key stays; null keys are smaller than all others. Rows that repeat a key and a text are copies
@@ -38,16 +39,21 @@ def _shared(classes: DataFrame, bits: int) -> np.ndarray:
     return bitmap(classes.groupBy(F.pmod("class", F.lit(bits)).alias("bit")).count().where("count > 1"), bits)
 
 
-def _among(spark, bits: np.ndarray, number: Column) -> Column:
-    """Whether the bit of a number is set; a bitmap reaches each worker once."""
-    sent, size = spark.sparkContext.broadcast(bits), len(bits) * 8
+def _among(spark, bitmaps: list[np.ndarray], *numbers: Column) -> Column:
+    """How many of the bitmaps, from the first on, have the bit of their number set. One Python worker a task looks at all of them."""
+    sent = spark.sparkContext.broadcast(bitmaps)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            at = x.to_numpy(np.int64) % size
-            yield pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            columns = (columns,) if isinstance(columns, pd.Series) else columns
+            on, out = np.ones(len(columns[0]), bool), np.zeros(len(columns[0]), np.int32)
+            for x, bits in zip(columns, sent.value, strict=True):
+                at = x.to_numpy(np.int64) % (len(bits) * 8)
+                on &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                out += on
+            yield pd.Series(out)
 
-    return F.pandas_udf(run, "boolean")(number)
+    return F.pandas_udf(run, "int")(*numbers)
 
 
 def refined(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digests: bool = False) -> DataFrame:
@@ -60,13 +66,10 @@ def refined(docs: DataFrame, key: str = "doc_id", text: str = "text", all_digest
     rows = docs.select(docs[key].alias(key), F.coalesce(docs[text], F.lit("")).alias("_t"))
     rows = rows.withColumn("_len", F.octet_length("_t").cast("long"))
     lengths = _shared(rows.select(F.col("_len").alias("class")), bits)
-    rows = rows.withColumn("_one", _among(spark, lengths, F.col("_len")))
     prefix = F.xxhash64("_len", normalised(F.substring("_t", 1, PREFIX)))
-    both = _shared(rows.where("_one").select(prefix.alias("class")), bits)
-    rows = rows.withColumn("_prefix", F.when(F.col("_one"), prefix).otherwise(F.lit(0)))
-    alone = ~(F.col("_one") & _among(spark, both, F.col("_prefix")))
+    both = _shared(rows.where(_among(spark, [lengths], F.col("_len")) == 1).select(prefix.alias("class")), bits)
+    rows = rows.withColumn("alone", _among(spark, [lengths, both], F.col("_len"), prefix) < 2)
     digest = F.sha2(normalised(F.col("_t")), 256)
-    rows = rows.withColumn("alone", alone)
     return rows.select(key, "alone", (digest if all_digests else F.when(~F.col("alone"), digest)).alias("digest"))
 
 

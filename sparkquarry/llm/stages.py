@@ -5,6 +5,7 @@ A key names one document: rows that repeat it share one decision. Null keys are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITS))
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the keys (_id)."""
+    return bitmap(keys.select(F.pmod(F.xxhash64("_id"), F.lit(BITS)).alias("bit")))
 
 
-def _parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs whose doc_id can't be in keys(_id), and the others: keys as a bitmap of fixed size, so no row is shuffled."""
-    bits = bitmap(keys.select(_bit(F.col("_id")).alias("bit")))
-    hit = exact._among(docs.sparkSession, bits, _bit(docs["doc_id"]))
-    return docs.where(~hit), docs.where(hit)
+def _within(docs: DataFrame, bitmaps: list[np.ndarray]) -> Column:
+    """In how many of the bitmaps, from the first on, a row's doc_id may be; so no row is shuffled to find out."""
+    bit = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(BITS))
+    return exact._among(docs.sparkSession, bitmaps, *[bit] * len(bitmaps))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,16 +53,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only rows of groups that may stay are shuffled. A name that docs can't have marks them.
     """
     found = written(exact.exact_duplicates(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), "kept", F.col("digest").alias("_digest")), "groups")
-    alone, grouped = _parted(docs, found)
-    kept = found.where("kept").select("_id", "_digest").distinct()
-    _, maybe = _parted(grouped, kept)
+    kept = written(found.where("kept").select("_id", "_digest").distinct(), "kept")
+    within = _within(docs, [_bits(found), _bits(kept)])
     mark = _fresh(docs)
-    maybe = maybe.withColumn(mark, F.sha2(exact.normalised(F.coalesce(maybe["text"], F.lit(""))), 256))
+    marked = docs.withColumn(mark, F.sha2(exact.normalised(F.coalesce(docs["text"], F.lit(""))), 256))
     # In a group: the row that stays, once. A key whose bit merely equals a group's has no group.
+    maybe = marked.where(within == 2)
     stays = maybe.join(kept, maybe["doc_id"].eqNullSafe(kept["_id"]) & (maybe[mark] == kept["_digest"]), "left_semi").dropDuplicates(["doc_id", mark])
-    others = grouped.withColumn(mark, F.sha2(exact.normalised(F.coalesce(grouped["text"], F.lit(""))), 256))
+    others = marked.where(within > 0)
     digests = found.select("_digest").distinct()
-    return alone.unionByName(stays.drop(mark)).unionByName(others.join(digests, others[mark] == digests["_digest"], "left_anti").drop(mark))
+    return docs.where(within == 0).unionByName(stays.drop(mark)).unionByName(others.join(digests, others[mark] == digests["_digest"], "left_anti").drop(mark))
 
 
 def _fresh(docs: DataFrame) -> str:
@@ -74,8 +75,9 @@ def _fresh(docs: DataFrame) -> str:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest key. Only rows that may go are shuffled."""
     gone = written(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    stays, maybe = _parted(docs, gone)
-    return stays.unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]), "left_anti"))
+    within = _within(docs, [_bits(gone)])
+    maybe = docs.where(within == 1)
+    return docs.where(within == 0).unionByName(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]), "left_anti"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

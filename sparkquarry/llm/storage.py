@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -76,12 +75,6 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return out.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def cleaned(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now; it acts when the JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Size of a bitmap of classes; 2 ** 26 bits are 8 MB for any input.
 BITS = 1 << 26
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, epsgrid, exact, katz, minhash, packing, quality, toxicity, urls
+from . import align, bpe, chat, epsgrid, exact, katz, minhash, packing, quality, toxicity, urls
 from .urls import Rule
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -78,3 +78,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return epsgrid.linked(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of both tokenizers' tokens in every document, and the corpus-wide counts of their id pairs."""
+    import public_tokenizers
+
+    return align.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

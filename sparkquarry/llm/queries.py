@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, epsgrid, exact, katz, minhash, packing, quality, toxicity, urls, whiten
+from . import align, bpe, chat, epsgrid, exact, htmltext, katz, minhash, packing, quality, toxicity, urls, whiten
 from .urls import Rule
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -90,3 +90,8 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the first components of their whole numbers, whitened."""
     return whiten.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extracted(_table(spark, sf_dir, "pages"))

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from itertools import product
 
@@ -62,9 +63,27 @@ def layouts() -> list[str]:
         for n in (1, 4, 12):  # all in one container: links tell
             out.append(f"<p><a href=/>{{1}}</a> <a href=/>{{{n}}}</a></p>{text}<p><a href=/>{{{n}}}</a> <a href=/>{{3}}</a></p><p>{{1}} <a href=/>{{{n}}}</a></p>")
             out.append(f"<p><a href=/>{{{n}}}</a></p><h1>§{{{n + 2}}}</h1>{text}<ul><li><a href=/>{{{n}}}</a></li><li><a href=/>{{{n + 9}}}</a></li></ul>")
+    for n in range(1, 9):  # a page of one or two short blocks
+        out += [f"<p>§{{{n}}}</p>"] * 2 + [f"<h1>§{{2}}</h1><p>§{{{n}}}</p>"] * 2
     return out
 
 
+def mixtures(number: int = 250) -> list[str]:
+    """Pages with an article of any blocks, linked or not, among other blocks of any kind, so that no length outweighs a landmark."""
+    rng = random.Random(1)
+
+    def some(mark: str) -> str:
+        out = []
+        for _ in range(rng.randint(1, 5)):
+            n = rng.choice((1, 2, 5, 12, 40, 110))
+            link = rng.choice(("", "", f" <a href=/>{{{rng.choice((1, 4))}}}</a>"))
+            tag = rng.choice(("p", "p", "div", "li", "h2"))
+            out.append(f"<{tag}>{mark}{{{n}}}{link}</{tag}>" if rng.random() < 0.9 else f"<{tag}>{mark}<a href=/>{{{n}}}</a></{tag}>")
+        return "".join(out)
+
+    return [f"{some('') * rng.randint(0, 1)}<article>{some('§')}</article>{some('') * rng.randint(0, 1)}" for _ in range(number)]
+
+
 def pages() -> list[str]:
     """All sketches with words in them."""
-    return [re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{i}" for i in range(int(m[1]))), page) for page in PAGES + layouts()]
+    return [re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{i}" for i in range(int(m[1]))), page) for page in PAGES + layouts() + mixtures()]

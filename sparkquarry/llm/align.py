@@ -35,13 +35,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import release, written
 
 #: Bits of an id within a pair; both vocabularies are smaller. A document's number stands above both ids.
 BITS = 20
 PAIR = (1 << 2 * BITS) - 1
 #: Links that are expanded at once, and distinct pairs that a task holds before it tells partial counts.
-LINKS, HELD = 1 << 20, 1 << 21
+LINKS, HELD = 1 << 19, 1 << 20
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: Texts that a Python worker gets at a time.
 BATCH = 256
@@ -238,10 +238,10 @@ def _lengths(table: list[bytes]) -> np.ndarray:
 def pair_counts(tokens: DataFrame, a_bytes: np.ndarray, b_bytes: np.ndarray) -> DataFrame:
     """(pair, n): in how many rows of tokenised() a pair is linked. Sorted within and over the partitions of the written table."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
-        for pdf in batches:
-            for found, _ in Aligned(list(pdf["a"]), list(pdf["b"]), a_bytes, b_bytes).pairs():
+        for batch in batches:
+            for found, _ in (block for at in range(0, batch.num_rows, BATCH) for block in Aligned(*(c.to_pylist() for c in batch.slice(at, BATCH).columns), a_bytes, b_bytes).pairs()):
                 pair, n = np.unique(found & PAIR, return_counts=True)
                 keys.append(pair)
                 counts.append(n)
@@ -250,11 +250,11 @@ def pair_counts(tokens: DataFrame, a_bytes: np.ndarray, b_bytes: np.ndarray) ->
                     pair, n = _run_sums(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [pair], [n], len(pair)
                     if held > HELD // 2:
-                        yield pd.DataFrame({"pair": pair, "n": n})
+                        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
                         keys, counts, held = [], [], 0
         if keys:
             pair, n = _run_sums(np.concatenate(keys), np.concatenate(counts))
-            yield pd.DataFrame({"pair": pair, "n": n})
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, count = -1, 0
@@ -267,9 +267,11 @@ def pair_counts(tokens: DataFrame, a_bytes: np.ndarray, b_bytes: np.ndarray) ->
             yield pd.DataFrame({"pair": [last], "n": [count]})
 
     spark = tokens.sparkSession
-    parts = written(tokens.mapInPandas(partial, "pair long, n long"), "pair-parts")  # dealing by ranges looks at them twice
+    parts = written(tokens.select("a", "b").mapInArrow(partial, "pair long, n long"), "pair-parts", BATCH)  # dealing by ranges looks at them twice
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return written(parts.repartitionByRange(shards, "pair").sortWithinPartitions("pair").mapInPandas(runs, "pair long, n long"), "pair-counts")
+    counts = written(parts.repartitionByRange(shards, "pair").sortWithinPartitions("pair").mapInPandas(runs, "pair long, n long"), "pair-counts")
+    release(parts)
+    return counts
 
 
 def sent_files(table: DataFrame) -> list[str]:
@@ -356,4 +358,6 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], [key, *COLUMNS, "groups_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return tokens_read.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string")
+    out = written(tokens_read.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string"), "aligned", BATCH)
+    release(tokens)
+    return out

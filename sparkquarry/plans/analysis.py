@@ -14,7 +14,7 @@ from sparkquarry.operators import duplicates, findings, lines, scopes, suppressi
 from sparkquarry.sources import files
 from sparkquarry.tables import written
 
-from . import catalogue, flow, text_rules, tree_rules
+from . import catalogue, flow, taint, text_rules, tree_rules
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,12 @@ class Settings:
 
 
 class _Views:
-    """The tables under names of their own, so that a session's views stay as they are. sql() reads them by their plain names."""
+    """The tables under names of their own, so that a session's views stay as they are. sql() reads them by their plain names.
 
-    def __init__(self, t: files.Tables, s: Settings, kinds: set[str]) -> None:
+    Views and tables of tree_rules are made when the first rule reads them.
+    """
+
+    def __init__(self, t: files.Tables, s: Settings, kinds: set[str], keep) -> None:
         self.spark, self.prefix, self.limits = t.ast.sparkSession, f"v{uuid.uuid4().hex}_", {k: v for k, v in asdict(s.limits).items() if k != "line_length"}
         tables = {name: getattr(t, name) for name in ("ast", "tok", "lines", "ranges", "texts", "comp", "prop")}
         names = lambda x: self.spark.createDataFrame([(c,) for c in x], "class string")
@@ -81,16 +84,20 @@ class _Views:
             from . import indexes
 
             tables["leaky"] = tables["leaky"].unionAll(indexes.leaky_classes(t).select("name"))
-        self.names = [*tables, *tree_rules.VIEWS]
+        self.names = [*tables]
+        self.lazy = {name: (lambda text=text: self.sql(text)) for name, text in tree_rules.VIEWS.items()}
+        self.lazy |= {name: (lambda name=name: tree_rules.derived(self.sql, t.ast, t.tok, name, keep)) for name in ("inside", "mtok", "refs", "ctor_calls")}
         # A table without an alias keeps its plain name as one.
         ends = r"\s*(?:$|[),]|(?:where|join|left|inner|cross|on|group|window|lateral|order|having|union|limit)\b)"
-        self.read = re.compile(rf"(?i)\b(from|join)\s+({'|'.join(self.names)})\b(?!\s*[.(])(?P<bare>(?={ends}))?")
+        self.read = re.compile(rf"(?i)\b(from|join)\s+({'|'.join([*self.names, *self.lazy])})\b(?!\s*[.(])(?P<bare>(?={ends}))?")
         for name, table in tables.items():
             table.createOrReplaceTempView(self.prefix + name)
-        for name, sql in tree_rules.VIEWS.items():
-            self.sql(sql).createOrReplaceTempView(self.prefix + name)
 
     def sql(self, text: str) -> DataFrame:
+        for name in {m[2].lower() for m in self.read.finditer(text)} & {*self.lazy}:
+            if name in self.lazy:  # another one may have made it meanwhile
+                self.lazy.pop(name)().createOrReplaceTempView(self.prefix + name)
+                self.names.append(name)
         used = {k: v for k, v in self.limits.items() if f":{k}" in text}
         return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{m[2]}" + (f" {m[2]}" if m["bare"] is not None else ""), text), args=used)
 
@@ -119,7 +126,7 @@ TOGETHER = 20
 
 def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), keep=written) -> DataFrame:
     """(file_id, line, end_line, kind, detail, related_lines) of the wanted rules; others make no part of the plan."""
-    views = _Views(t, s, kinds)
+    views = _Views(t, s, kinds, keep)
     plain = ["file_id", "line", "kind", "detail"]
     parts = [text_rules.line_findings(t.lines, kinds, s.limits.line_length).select(*plain), text_rules.text_findings(t.texts, kinds).select(*plain)]
     for kind, sql in {**tree_rules.AST, **tree_rules.FORM}.items():
@@ -128,6 +135,8 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     views.drop()
     if kinds & {*flow.FLOW}:
         parts.append(flow.flow_findings(t.ast, kinds).select(*plain))
+    if (injected := taint.findings(t.ast, kinds, keep)) is not None:
+        parts.append(injected.select(*plain))
     if "DfmCircularDataSource" in kinds:
         parts.append(_circular(t).select(*plain))
     # Read errors pass every gate.

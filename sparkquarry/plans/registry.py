@@ -1,13 +1,13 @@
-"""Queries over the driver's tables, over sample units and over the cases of the rules, each with the SQL that states the same result."""
+"""Queries over the driver's tables, each with the SQL that states the same result."""
 
 from __future__ import annotations
 
-from . import case_queries, code_queries, corpus, oracles
+from . import corpus, oracles, structure
 
 
 def queries() -> dict:
-    return {name: getattr(corpus, name) for name in oracles.SQL} | code_queries.queries() | case_queries.queries()
+    return {name: getattr(corpus, name) for name in oracles.SQL} | {name: getattr(structure, name) for name in structure.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | code_queries.oracle_sql() | case_queries.oracle_sql()
+    return oracles.SQL | structure.SQL

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import rule_cases as cases
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import suppression
+from sparkquarry.plans import analysis, catalogue
 from sparkquarry.sources import files
 
-from . import analysis, cases, catalogue
-
 #: Rules that look beyond a unit have a corpus of their own.
 ALONE = ["CanBeUnitPrivate", "CanBeStrictPrivate", "CanBeProtected", "UnusedPublicMember", "DfmCrossFormCoupling", "DfmComponentUnused", "UnusedUses", "MemoryLeak", "DfmOrphanHandler", "DfmDeadEvent", "NotIncludedInProject", "UsedButNotInProject", "CustomRule"]
 #: The custom rules of the cases.

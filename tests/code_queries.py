@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import samples
 from pyspark.sql import functions as F
 
+from sparkquarry.plans import analysis, catalogue
 from sparkquarry.sources import files, sinks
 
-from . import analysis, catalogue, samples
-
 
 def _tables(spark):
     return files.tables(files.in_memory(spark, samples.SOURCES))

@@ -1,6 +1,6 @@
 """Units and forms for each rule, with the lines where it must find something; elsewhere it must be silent.
 
-The texts beside this module hold blocks. A block begins with @Kind, and `body` if it is only the variables and statements
+The texts in the folder cases hold blocks. A block begins with @Kind, and `body` if it is only the variables and statements
 of a routine (parted by --). A line === dfm begins the unit's form. A pilcrow ends each line of a finding; it isn't part of
 the source.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from importlib.resources import files
+from pathlib import Path
 
 MARK = "¶"
 ROUTINE = "unit uCase;\n\ninterface\n\nimplementation\n\nprocedure Work(const Name: string; Count: Integer);\n{vars}begin\n{body}end;\n\nend.\n"
@@ -65,7 +65,7 @@ def all_cases() -> tuple[dict[str, bytes], set[tuple[str, int, str]]]:
         expected.update((path, i, kind) for i, line in enumerate(text.splitlines(), 1) if line.endswith(MARK))
 
     for name in ("units1", "units2", "more", "forms"):
-        for block in re.split(r"(?m)^@", (files(__name__) / f"{name}.txt").read_text("utf-8"))[1:]:
+        for block in re.split(r"(?m)^@", (Path(__file__).parent / "cases" / f"{name}.txt").read_text("utf-8"))[1:]:
             title, _, text = block.partition("\n")
             kind, *rest = title.split()
             number = next((r for r in rest if r.isdigit()), "1")

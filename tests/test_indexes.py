@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from sparkquarry.plans import analysis, flow, indexes, samples, session
+import samples
+from sparkquarry.plans import analysis, flow, indexes, session
 from sparkquarry.sources import files, pascal
 
 A = """unit A;

@@ -3,11 +3,12 @@ from __future__ import annotations
 import json
 import subprocess
 
+import samples
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import code, fixes
 from sparkquarry.operators import findings, scoring
-from sparkquarry.plans import analysis, samples
+from sparkquarry.plans import analysis
 from sparkquarry.sources import files, forms, pascal, sinks
 from sparkquarry.streaming import watch
 

@@ -10,11 +10,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.operators import duplicates, findings, lines, scopes, suppression
+from sparkquarry.operators import duplicates, findings, lines, prefilter, scopes, suppression
 from sparkquarry.sources import files
 from sparkquarry.tables import written
 
-from . import catalogue, flow, taint, text_rules, tree_rules
+from . import catalogue, flow, taint, text_rules, tokens, tree_rules
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,7 @@ class _Views:
     """
 
     def __init__(self, t: files.Tables, s: Settings, kinds: set[str], keep) -> None:
+        self.t = t
         self.spark, self.prefix, self.limits = t.ast.sparkSession, f"v{uuid.uuid4().hex}_", {k: v for k, v in asdict(s.limits).items() if k != "line_length"}
         tables = {name: getattr(t, name) for name in ("ast", "tok", "lines", "ranges", "texts", "comp", "prop")}
         names = lambda x: self.spark.createDataFrame([(c,) for c in x], "class string")
@@ -93,13 +94,27 @@ class _Views:
         for name, table in tables.items():
             table.createOrReplaceTempView(self.prefix + name)
 
-    def sql(self, text: str) -> DataFrame:
+    def _pruned(self, kind: str) -> dict[str, str]:
+        """Views of the tables' rows of files that have a word which the rule needs, by the names of the tables."""
+        places = [self.t.tokens.index(w) for w in tokens.NEEDS.get(kind, ()) if w in self.t.tokens]
+        if not places or len(places) < len(tokens.NEEDS[kind]):
+            return {}
+        out = {}
+        for name in ("ast", "tok", "lines", "prop") if not kind.startswith("Dfm") or kind == "DfmSqlFromUserInput" else ("comp", "prop"):
+            out[name] = f"{name}_{kind}"
+            getattr(self.t, name).where(prefilter.any_bit("bits", places)).createOrReplaceTempView(self.prefix + out[name])
+            self.names.append(out[name])
+        return out
+
+    def sql(self, text: str, kind: str = "") -> DataFrame:
+        """The rows of a rule's or view's SQL; a rule that needs words reads rows of files that have them."""
+        pruned = self._pruned(kind) if kind in tokens.NEEDS and self.t.tokens else {}
         for name in {m[2].lower() for m in self.read.finditer(text)} & {*self.lazy}:
             if name in self.lazy:  # another one may have made it meanwhile
                 self.lazy.pop(name)().createOrReplaceTempView(self.prefix + name)
                 self.names.append(name)
         used = {k: v for k, v in self.limits.items() if f":{k}" in text}
-        return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{m[2]}" + (f" {m[2]}" if m["bare"] is not None else ""), text), args=used)
+        return self.spark.sql(self.read.sub(lambda m: f"{m[1]} {self.prefix}{pruned.get(m[2].lower(), m[2])}" + (f" {m[2]}" if m["bare"] is not None else ""), text), args=used)
 
     def drop(self) -> None:
         for name in self.names:
@@ -128,14 +143,15 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     """(file_id, line, end_line, kind, detail, related_lines) of the wanted rules; others make no part of the plan."""
     views = _Views(t, s, kinds, keep)
     plain = ["file_id", "line", "kind", "detail"]
-    parts = [text_rules.line_findings(t.lines, kinds, s.limits.line_length).select(*plain), text_rules.text_findings(t.texts, kinds).select(*plain)]
+    parts = [text_rules.line_findings(t.lines, kinds, s.limits.line_length).select(*plain), text_rules.text_findings(t.texts, kinds, t.tokens).select(*plain)]
     for kind, sql in {**tree_rules.AST, **tree_rules.FORM}.items():
         if kind in kinds:
-            parts.append(views.sql(sql).select(F.col("file_id"), F.col("line").cast("int").alias("line"), F.lit(kind).alias("kind"), F.col("detail").cast("string").alias("detail")))
+            parts.append(views.sql(sql, kind).select(F.col("file_id"), F.col("line").cast("int").alias("line"), F.lit(kind).alias("kind"), F.col("detail").cast("string").alias("detail")))
     views.drop()
     if kinds & {*flow.FLOW}:
         parts.append(flow.flow_findings(t.ast, kinds).select(*plain))
-    if (injected := taint.findings(t.ast, kinds, keep)) is not None:
+    injections = [t.tokens.index(w) for k in ("SQLInjection", "CommandInjection") if k in kinds for w in tokens.NEEDS[k] if w in t.tokens]
+    if (injected := taint.findings(t.ast.where(prefilter.any_bit("bits", injections)) if injections else t.ast, kinds, keep)) is not None:
         parts.append(injected.select(*plain))
     if "DfmCircularDataSource" in kinds:
         parts.append(_circular(t).select(*plain))
@@ -201,7 +217,7 @@ def scan(source: DataFrame, s: Settings = Settings(), keep=written) -> DataFrame
     may raise a severity that the gate would have dropped. Indexes are made of all files, changed or not.
     keep(df, name) holds tables that many rules read; by default it writes them.
     """
-    t = files.tables(source, s.defined, keep, s.max_bytes)
+    t = files.tables(source, s.defined, keep, s.max_bytes, tokens.ALL)
     kinds = catalogue.profile(s.profile) | s.extra_kinds
     if not s.uses_check:
         kinds = kinds - {"UnusedUses"}

@@ -30,6 +30,8 @@ SQL_TEXT = (
     r"(?i)^\s*(?:SELECT\s*$|SELECT\s+(?:\*|DISTINCT\b|TOP\b|COUNT\b|MAX\b|MIN\b|SUM\b|.*\bFROM\b|[\w.,\s]*,\s*$)|INSERT\s+(?:OR\s+\w+\s+)?INTO\b|UPDATE\s*$|UPDATE\s+\S+\s+SET\b|UPDATE\s+%|DELETE\s+FROM\b|MERGE\s+INTO\b|REPLACE\s+INTO\b|"
     r"EXEC(?:UTE)?\s+\w+|CALL\s+\w+\s*\(|(?:CREATE|ALTER|DROP)\s*$|(?:CREATE|ALTER|DROP)\s+(?:OR\s+\w+\s+|UNIQUE\s+|TEMP(?:ORARY)?\s+|GLOBAL\s+)*(?:TABLE|VIEW|INDEX|PROCEDURE|FUNCTION|TRIGGER|DATABASE|SEQUENCE|SCHEMA|USER|COLUMN)\b|TRUNCATE\s+TABLE\b|WITH\s+\w+\s*(?:\([^)]*\)\s*)?AS\b)"
 )
+#: Words of which a unit must have one for any of this.
+VERBS = ("select", "insert", "update", "delete", "merge", "replace", "exec", "call", "create", "alter", "drop", "truncate", "with", "sql", "commandtext")
 #: Where text for people goes, properties that hold statements, and names of routines that take them.
 MESSAGE = r"(?i)(?:^|[.])(?:Caption|Hint|Title|Message|Msg|ErrorText|ShowMessage\w*|MessageDlg\w*|MessageBox|Log\w*|Write(?:Ln)?|OutputDebugString\w*|Raise\w*|Panels.*|StatusBar\w*|Check\w*|Assert\w*|Add(?:Log|Line|Message)\w*)$"
 PROPERTY = r"(?i)(?:^|[.])(?:SQL(?:[.]Text)?|CommandText|\w+SQL(?:[.]Text)?)$"

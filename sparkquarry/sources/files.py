@@ -11,9 +11,11 @@ from pathlib import PurePath
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.operators import prefilter
 from sparkquarry.tables import written
 
 from . import forms, pascal
@@ -110,23 +112,63 @@ def decoded(data: bytes) -> str:
 
 
 TEXTS = f"file_id string, text string, code_ns string, code_ks string, comment string, {FACTS}"
+TOK = "file_id string, seq int, kind string, value string, line int, col int"
+RANGES = "file_id string, kind string, start_line int, end_line int, tag string"
+#: Tables that a file's pass gives, by the prefix of their columns.
+PARTS = {"ast": pascal.AST, "tok": TOK, "ranges": RANGES, "comp": forms.COMP, "prop": forms.PROP}
+#: Files whose columns a task holds at once.
+TOGETHER = 8
 
 
-def texts(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
-    """Decoded texts with blanked copies of the same length, and facts about the bytes. Files above `most` bytes are left out."""
+def _fields(schema: str) -> list[tuple[str, str]]:
+    """(name, type) of a table's columns but its file."""
+    return [tuple(c.split()) for c in schema.split(", ")][1:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, data in zip(pdf["file_id"], pdf["content"], strict=True):
-                data = bytes(data or b"")
-                text = forms.to_text(data) if name.lower().endswith(".dfm") else decoded(data)
-                views = (text, "", "") if name.lower().endswith(".dfm") else pascal.blanked(text)
-                facts = ("", True, False, None, None) if b"TPF0" in data[:256] else _facts(data)
-                out.append((name, text, *views, *facts))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TEXTS.split(", ")]).astype({"control_line": "Int32", "high_line": "Int32"})
 
-    return files.where(F.col("length") <= most).select("file_id", "content").mapInPandas(run, TEXTS)
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}[kind]
+
+
+FRONT = f"{TEXTS}, bits array<long>, " + ", ".join(f"{part}_{name} array<{kind}>" for part, schema in PARTS.items() for name, kind in _fields(schema))
+
+
+def _one(name: str, data: bytes, defined: frozenset[str], tokens: tuple[str, ...]) -> list:
+    """A row of FRONT: a unit is lexed and blanked once, a form read once."""
+    form = name.lower().endswith(".dfm")
+    text = forms.to_text(data) if form else decoded(data)
+    facts = ("", True, False, None, None) if b"TPF0" in data[:256] else _facts(data)
+    found: dict[str, list[tuple]] = dict.fromkeys(PARTS, [])
+    if form:
+        views = (text, "", "")
+        found["comp"], found["prop"] = forms.parsed(text, name)
+    else:
+        views = pascal.blanked(text)
+        tree, words, ranges = pascal.parsed(text, name, defined, views[1])
+        found |= {"ast": tree, "tok": [(name, i, x.kind, x.value, x.line, x.col) for i, x in enumerate(words)], "ranges": [(name, *r) for r in ranges]}
+    out = [name, text, *views, *facts, prefilter.bits_of(text, tokens)]
+    for part, schema in PARTS.items():
+        out += [list(c) for c in zip(*(r[1:] for r in found[part]), strict=True)] or [[] for _ in _fields(schema)]
+    return out
+
+
+def front(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, most: int = MAX_BYTES, tokens: tuple[str, ...] = ()) -> DataFrame:
+    """One pass over each file: decoded text with blanked copies of the same length, facts about the bytes, bits of the tokens it holds, and the
+    tree, tokens, conditional ranges, components and properties as arrays of their columns. Files above `most` bytes are left out."""
+    names = [c.split()[0] for c in FRONT.split(", ")]
+    kinds = [pa.list_(_arrow(k[6:-1])) if (k := c.split()[1]).startswith("array") else _arrow(k) for c in FRONT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = [_one(r["file_id"], bytes(r["content"] or b""), defined, tokens) for r in batch.slice(at, TOGETHER).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.where(F.col("length") <= most).select("file_id", "content").mapInArrow(run, FRONT)
+
+
+def texts(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """The columns of TEXTS alone."""
+    return front(files, most=most).select(*[c.split()[0] for c in TEXTS.split(", ")])
 
 
 def unreadable(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
@@ -145,42 +187,34 @@ class Tables:
     ranges: DataFrame
     comp: DataFrame
     prop: DataFrame
+    #: Words whose bits the rows have, in order.
+    tokens: tuple[str, ...] = ()
 
 
-TOK = "file_id string, seq int, kind string, value string, line int, col int"
-RANGES = "file_id string, kind string, start_line int, end_line int, tag string"
-
-
-def _per_file(source: DataFrame, schema: str, rows_of) -> DataFrame:
-    columns = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, text in zip(pdf["file_id"], pdf["text"], strict=True):
-                out = rows_of(text, name)
-                if out:
-                    yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("parent_id", "method_id", "class_id") if c in columns})
-
-    return source.select("file_id", "text").mapInPandas(run, schema)
-
+def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=written, most: int = MAX_BYTES, tokens: tuple[str, ...] = ()) -> Tables:
+    """keep(df, name) holds a table that many rules read; by default it is written. The pass over files runs once, for all of them.
 
-def tables(files: DataFrame, defined: frozenset[str] = pascal.DEFINED, keep=written, most: int = MAX_BYTES) -> Tables:
-    """keep(df, name) holds a table that many rules read; by default it is written."""
-    text = keep(texts(files, most), "texts")
+    tokens: words whose bits every row of the tree, the tokens, lines and form tables has of its file.
+    """
+    whole = keep(front(files, defined, most, tokens), "front")
     form = F.lower("file_id").endswith(".dfm")
-    code, forms_ = text.where(~form), text.where(form)
+    code = whole.where(~form)
     views = ("text", "code_ns", "code_ks", "comment")
     zipped = F.arrays_zip(*[F.split(v, "\r\n|\n|\r").alias(v) for v in views])
     # The views have the same lines; an empty part behind the last newline is none.
-    whole = F.when(F.element_at("z", -1)["text"] == "", F.slice("z", 1, F.size("z") - 1)).otherwise(F.col("z"))
-    lines = code.select("file_id", zipped.alias("z")).select("file_id", F.posexplode(whole).alias("pos", "x"))
-    lines = lines.select("file_id", (F.col("pos") + 1).alias("line_no"), *[f"x.{v}" for v in views])
-    tree = keep(_per_file(code, pascal.AST, lambda t, n: pascal.parsed(t, n, defined)[0]), "ast")
-    tokens = _per_file(code, TOK, lambda t, n: [(n, i, x.kind, x.value, x.line, x.col) for i, x in enumerate(pascal.lexed(t, defined)[0])])
-    ranges = _per_file(code, RANGES, lambda t, n: [(n, *r) for r in pascal.lexed(t, defined)[1]])
-    comp = _per_file(forms_, forms.COMP, lambda t, n: forms.parsed(t, n)[0])
-    prop = _per_file(forms_, forms.PROP, lambda t, n: forms.parsed(t, n)[1])
-    return Tables(files, text, keep(lines, "lines"), tree, keep(tokens, "tok"), keep(ranges, "ranges"), keep(comp, "comp"), keep(prop, "prop"))
+    cut = F.when(F.element_at("z", -1)["text"] == "", F.slice("z", 1, F.size("z") - 1)).otherwise(F.col("z"))
+    lines = code.select("file_id", "bits", zipped.alias("z")).select("file_id", "bits", F.posexplode(cut).alias("pos", "x"))
+    lines = lines.select("file_id", (F.col("pos") + 1).alias("line_no"), *[f"x.{v}" for v in views], "bits")
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        fields = [c for c, _ in _fields(PARTS[name])]
+        each = F.arrays_zip(*[F.col(f"{name}_{c}").alias(c) for c in fields])
+        first = PARTS[name].split()[0]
+        return keep(rows.select(F.col("file_id").alias(first), F.explode(each).alias("x"), "bits").select(first, *[f"x.{c}" for c in fields], "bits"), name)
+
+    text = whole.select(*[c.split()[0] for c in TEXTS.split(", ")], "bits")
+    forms_ = whole.where(form)
+    return Tables(files, text, keep(lines, "lines"), part("ast", code), part("tok", code), part("ranges", code), part("comp", forms_), part("prop", forms_), tokens)
 
 
 # project files

@@ -168,9 +168,9 @@ STOPS = {"end", "else", "until", "except", "finally"}
 
 
 class Parser:
-    def __init__(self, text: str, defined: frozenset[str] = DEFINED) -> None:
+    def __init__(self, text: str, defined: frozenset[str] = DEFINED, code: str | None = None) -> None:
         self.tokens, self.ranges = lexed(text, defined)
-        self.code = blanked(text)[1]
+        self.code = blanked(text)[1] if code is None else code
         self.i = 0
         self.depth = 0
 
@@ -805,6 +805,7 @@ def rows(root: Node, file_id: str) -> list[tuple]:
     return [tuple(r) for r in out]
 
 
-def parsed(text: str, file_id: str, defined: frozenset[str] = DEFINED) -> tuple[list[tuple], list[Token], list[tuple[str, int, int, str]]]:
-    p = Parser(text, defined)
+def parsed(text: str, file_id: str, defined: frozenset[str] = DEFINED, code: str | None = None) -> tuple[list[tuple], list[Token], list[tuple[str, int, int, str]]]:
+    """Tree rows, tokens and conditional ranges; code is the text without comments, if it is at hand."""
+    p = Parser(text, defined, code)
     return rows(p.unit(), file_id), p.tokens, p.ranges

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkquarry.operators import prefilter
 from sparkquarry.tables import written
 
-from . import forms, pascal
+from . import forms, json_parts, pascal
 
 MAX_BYTES = 5 << 20
 FACTS = "bom string, valid_utf8 boolean, non_ascii boolean, control_line int, high_line int"
@@ -333,20 +333,20 @@ ENTRY = "file string, kind string, method string, detail string, line int, finge
 
 
 def baseline(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
-    """(fingerprint, context_hash) of a baseline: an object with findings, or a bare list. More than `most` entries are refused."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.coalesce(F.from_json("value", f"struct<findings: array<struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>>>")["findings"], F.from_json("value", f"array<struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>>"))
-    out = text.select(F.explode(entries).alias("e")).select(F.col("e.fingerprint").alias("fingerprint"), F.col("e.contextHash").alias("context_hash"))
+    """(fingerprint, context_hash) of a baseline: an object with findings, or a bare list, of any size and on any lines. More than `most` entries are refused."""
+    entry = F.from_json("value", f"struct<{ENTRY.replace(' ', ': ').replace(',:', ',')}>")
+    found = json_parts.objects(spark, path, 1, 2).select(entry.alias("e")).where("e.fingerprint is not null or e.contextHash is not null")
+    out = found.select(F.col("e.fingerprint").alias("fingerprint"), F.col("e.contextHash").alias("context_hash"))
     if out.limit(most + 1).count() > most:
         raise ValueError(f"a baseline may have {most} entries")
     return out
 
 
 def sarif_results(spark: SparkSession, path: str) -> DataFrame:
-    """(rule, level, file, line, message) of SARIF files."""
+    """(rule, level, file, line, message) of SARIF files: the objects of their runs' lists that have a rule."""
     place = "struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>"
-    schema = f"runs array<struct<results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<{place}>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("runs").alias("r")).select(F.explode("r.results").alias("x"))
+    result = F.from_json("value", f"struct<ruleId: string, level: string, message: struct<text: string>, locations: array<{place}>>")
+    rows = json_parts.objects(spark, path, 4, 4).select(result.alias("x")).where("x.ruleId is not null")
     where = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     return rows.select(F.col("x.ruleId").alias("rule"), F.col("x.level").alias("level"), where["artifactLocation"]["uri"].alias("file"), where["region"]["startLine"].alias("line"), F.col("x.message.text").alias("message"))
 

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from sparkquarry.operators import duplicates, findings, lines, prefilter, scopes
 from sparkquarry.sources import files
 from sparkquarry.tables import written
 
-from . import catalogue, flow, taint, text_rules, tokens, tree_rules
+from . import catalogue, flow, ownership, taint, text_rules, tokens, tree_rules
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,8 @@ class _Views:
         self.names = [*tables]
         self.lazy = {name: (lambda text=text: self.sql(text)) for name, text in tree_rules.VIEWS.items()}
         self.lazy |= {name: (lambda name=name: tree_rules.derived(self.sql, t.ast, t.tok, name, keep)) for name in ("inside", "mtok", "refs", "ctor_calls")}
+        owners = cache(lambda: ownership.summaries(t.ast, keep))
+        self.lazy |= {"taken": lambda: owners()[0], "made": lambda: owners()[1]}
         # A table without an alias keeps its plain name as one.
         ends = r"\s*(?:$|[),]|(?:where|join|left|inner|cross|on|group|window|lateral|order|having|union|limit)\b)"
         self.read = re.compile(rf"(?i)\b(from|join)\s+({'|'.join([*self.names, *self.lazy])})\b(?!\s*[.(])(?P<bare>(?={ends}))?")

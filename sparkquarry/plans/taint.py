@@ -50,9 +50,9 @@ def _groups(found: Column, depth: int) -> Column:
     return F.transform(found, lambda x, i: F.struct(F.concat(F.lit(f"{depth}:"), i.cast("string")).alias("g"), x.alias("text")))
 
 
-def statements(ast: DataFrame) -> DataFrame:
-    """(file_id, node_id, method_id, line, kind, target, lits, groups): expressions of assignments and calls; groups has (g, text, outer)."""
-    rows = ast.where("kind in ('Assign', 'Call', 'Value') and method_id is not null").select("file_id", "node_id", "method_id", "line", "kind", F.when(F.col("kind") == "Assign", F.col("name")).alias("target"), F.when(F.col("kind") == "Assign", F.col("type_ref")).otherwise(F.concat_ws(" ", "name", "type_ref")).alias("_t"))
+def statements(ast: DataFrame, kinds: tuple[str, ...] = ("Assign", "Call", "Value")) -> DataFrame:
+    """(file_id, node_id, method_id, line, kind, target, lits, groups): expressions of assignments, calls and other kinds; groups has (g, text, outer)."""
+    rows = ast.where(F.col("kind").isin(*kinds) & F.col("method_id").isNotNull()).select("file_id", "node_id", "method_id", "line", "kind", F.when(F.col("kind") == "Assign", F.col("name")).alias("target"), F.when(F.col("kind") == "Assign", F.col("type_ref")).otherwise(F.concat_ws(" ", "name", "type_ref")).alias("_t"))
     top, lits = _numbered(F.col("_t"), LITERAL, "«")
     rows = rows.withColumn("lits", F.transform(lits, lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("''"), F.lit("'")))).withColumn("_t", top)
     named = []
@@ -130,10 +130,10 @@ def chains(ast: DataFrame, keep) -> DataFrame:
     formats = held.where("own = 'format'").select("file_id", "node_id", F.col("inner").alias("g"), "unsafe")
     masked = out.where("a = 0").select("file_id", "node_id", "g", "first").join(formats, ["file_id", "node_id", "g"])
     masked = masked.select("file_id", "node_id", "g", F.lit(-1).alias("a"), F.lit(None).cast("int").alias("n"), "first", "unsafe", F.lit(False).alias("inputs"))
-    return rows.drop("groups", "lits").join(out.unionByName(masked), ["file_id", "node_id"]).join(_called(rows), ["file_id", "node_id", "g"], "left")
+    return rows.drop("groups", "lits").join(out.unionByName(masked), ["file_id", "node_id"]).join(called(rows), ["file_id", "node_id", "g"], "left")
 
 
-def _called(rows: DataFrame) -> DataFrame:
+def called(rows: DataFrame) -> DataFrame:
     """(file_id, node_id, g, callee): the name before a group's bracket, if there is one."""
     groups = rows.select("file_id", "node_id", F.explode("groups").alias("x")).select("file_id", "node_id", F.col("x.text").alias("text"))
     calls = groups.select("file_id", "node_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\w.]+)?(?:‹\d+:\d+»[.])?[\w.]*‹\d+:\d+»"), F.lit(0))).alias("c"))

@@ -94,11 +94,13 @@ def _owned(kind: str, owner: str) -> str:
 AST: dict[str, str] = {
     "MemoryLeak": rf"""select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join ast v on v.file_id = a.file_id and v.method_id = a.method_id and v.kind = 'LocalVar' and lower(v.name) = lower(a.name)
         join meth m on m.file_id = a.file_id and m.node_id = a.method_id
-        where a.kind = 'Assign' and a.type_ref rlike '^(?i)\\w+(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|A?Owner|Application).*[)]| *[(] *[)]|)$' and (a.type_ref rlike '^(?i)({LEAKY})\\b' or lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) in (select class from leaky)) and lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) not in (select class from spared)
+        left join made d on d.file_id = a.file_id and d.node_id = a.node_id
+        where a.kind = 'Assign' and (a.type_ref rlike '^(?i)\\w+(<[^>]*>)?[.]Create\\w*( *[(] *(?!Self|A?Owner|Application).*[)]| *[(] *[)]|)$' and (a.type_ref rlike '^(?i)({LEAKY})\\b' or lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) in (select class from leaky)) or d.node_id is not null and v.type_ref rlike '^(?i)({LEAKY})\\b') and lower(regexp_extract(a.type_ref, '^(\\w+)', 1)) not in (select class from spared)
         and not exists (select 1 from ast f join sinks s on f.name rlike concat('(?i)(?<![A-Za-z0-9_])', s.class, ' *[(]') where f.file_id = a.file_id and f.method_id = a.method_id and f.kind = 'Call' and {word('a.name', 'f.name')})
         and not exists (select 1 from ast f where f.file_id = a.file_id and f.method_id = a.method_id and f.kind in ('Call', 'Assign', 'Raise', 'Exit') and f.node_id <> a.node_id
           and (f.name rlike {FREE.format('a.name')} or f.kind = 'Assign' and f.type_ref rlike concat('(?i)^', a.name, '$') or f.kind = 'Exit' and {word('a.name', 'f.type_ref')} or f.kind = 'Raise' and {word('a.name', 'f.name')}
-            or f.kind = 'Call' and f.name rlike concat('(?i)[(,] *', a.name, ' *[,)]')))""",
+            ))
+        and not exists (select 1 from taken k where k.file_id = a.file_id and k.method_id = a.method_id and k.name = lower(a.name))""",
     "EmptyExcept": "select e.file_id, e.line, '' as detail from ast e left anti join ast c on c.file_id = e.file_id and c.parent_id = e.node_id where e.kind = 'ExceptBlock'",
     "SqlDangerousStatement": rf"""select a.file_id, a.line, a.t as detail from (select *, regexp_replace(concat_ws(' ', name, type_ref), "'\\s*[+]\\s*'", '') as t, lower(substring_index(name, '.', 1)) as who from ast where kind in ('Assign', 'Call')) a
         where a.t rlike "(?i)'\\s*(?:DELETE\\s+FROM\\s+\\S|UPDATE\\s+\\S+\\s+SET\\s|TRUNCATE\\s+TABLE\\s+\\S|DROP\\s+TABLE\\s+(?!IF\\s+EXISTS\\b)\\S)" and a.t not rlike '(?i)\\bWHERE\\b'

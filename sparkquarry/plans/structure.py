@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import flow, intervals, labels, prefilter, references
+from sparkquarry.streaming import watch
 
 from .corpus import table
 
@@ -105,6 +106,12 @@ def benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.select("doc_id", F.posexplode("bits").alias("word_no", "bits"))
 
 
+def accepted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as they arrive, by id: those whose value is above all values before, as a watch would let versions of a file through."""
+    events = table(spark, sf_dir, "events").where("user_id is not null").select("event_id", "user_id", "value")
+    return watch.accepted(events, "user_id", "event_id", "value").select("user_id", "event_id", "value", F.col("generation").cast("long").alias("generation"))
+
+
 ELEMENTS = rf"""
 t as (select page_id, regexp_extract_all(html, '(</?(?:{TAGS}))[ >]', 1) as l from pages),
 x as (select page_id, unnest(l) as t, (generate_subscripts(l, 1) - 1)::int as pos from t),
@@ -117,6 +124,9 @@ v as (select user_id, event_type || (event_id % 3) as node, lead(event_type || (
 e as (select distinct user_id, node as a, next as b from v where next is not null)"""
 
 SQL = {
+    "accepted_versions": """
+with a as (select user_id, event_id, value, max(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from events where user_id is not null)
+select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as generation from a where value is not null and (before is null or value > before)""",
     "labelled_descendants": """
 with recursive e as (select 'n' || n_nationkey as child, 'r' || n_regionkey as parent from nation union select 'c' || c_custkey, 'n' || c_nationkey from customer
   union select 'c' || c_custkey, 's' || c_mktsegment from customer union select 's' || c_mktsegment, 'r0' from customer),

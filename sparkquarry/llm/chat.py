@@ -63,6 +63,7 @@ LAYOUTS = [
 ]
 VOCABULARY = sorted({p for layout in LAYOUTS for p in layout.paths})
 TURNS = "array<struct<role: string, text: string>>"
+LISTS = {x.list_field: f"array<struct<`{x.role}`: string, `{x.text}`: string>>" for x in LAYOUTS if x.list_field}
 
 
 def escape(text: Column) -> Column:
@@ -133,11 +134,32 @@ def canonical_json(rows: DataFrame, key: str, column: str) -> DataFrame:
         where = f"$.{head}[0].{tail}" if tail else f"$.{head}"
         return F.when(F.try_variant_get("_doc", where, "variant").isNotNull(), F.lit(path))
 
-    lists = {x.list_field: f"array<struct<`{x.role}`: string, `{x.text}`: string>>" for x in LAYOUTS if x.list_field}
     out = rows.select(rows[key].alias(key), doc.alias("_doc"))
+    return _by_fingerprint(out, key, there, lambda f: F.try_variant_get("_doc", f"$.{f}", LISTS.get(f, "string")))
+
+
+def canonical_records(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, fingerprint, layout, turns) of records, each in a layout of its own: a struct column whose fields are null where a record hasn't them.
+
+    A field of a list is there if the first item has it. No size of a record is too large for this, as JSON's would be.
+    """
+    have = {f.name for f in rows.schema[column].dataType.fields}
+
+    def there(path: str) -> Column:
+        head, _, tail = path.partition("[].")
+        if head not in have:
+            return F.lit(None).cast("string")
+        found = F.col(f"_doc.`{head}`")
+        return F.when((F.get(found, F.lit(0))[tail] if tail else found).isNotNull(), F.lit(path))
+
+    out = rows.select(rows[key].alias(key), rows[column].alias("_doc"))
+    return _by_fingerprint(out, key, there, lambda f: F.col(f"_doc.`{f}`") if f in have else F.lit(None).cast(LISTS.get(f, "string")))
+
+
+def _by_fingerprint(out: DataFrame, key: str, there, field) -> DataFrame:
+    """The hash of the paths that a record has picks its layout; there(path) is the path or null, field(name) a field's value."""
     paths = F.array_compact(F.array(*[there(p) for p in VOCABULARY]))
     out = out.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
-    field = lambda f: F.try_variant_get("_doc", f"$.{f}", lists.get(f, "string"))
     layout = turns = None
     for x in LAYOUTS:
         hit = F.col("fingerprint") == x.fingerprint
@@ -156,6 +178,27 @@ def conversations(rows: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     return grouped.select(key, F.transform("_all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def mixed(turned: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, record): each conversation in one of the declared layouts that can hold it, as collections from several sources come.
+
+    What has the turns of a prompt and a response, or of a question to a system, becomes that; roles that a layout would spell
+    otherwise stay in the verbatim one; others go by a hash of the key to one of three lists of messages.
+    """
+    roles = F.transform("turns", lambda t: t["role"])
+    plain = F.forall("turns", lambda t: _role(t["role"]) == t["role"])
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4))
+    named = lambda role, text: F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text)))
+    text = lambda i: F.get("turns", F.lit(i))["text"]
+    is_prompt = plain & (roles == F.array(F.lit("user"), F.lit("assistant"))) & (draw != 0)
+    is_system = plain & (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & (draw != 0)
+    listed = ~is_prompt & ~is_system
+    fields = {
+        "turns": F.when(listed & (~plain | draw.isin(0, 3)), named("role", "text")), "messages": F.when(listed & plain & (draw == 1), named("role", "content")), "conversations": F.when(listed & plain & (draw == 2), named("from", "value")),
+        "prompt": F.when(is_prompt, text(0)), "response": F.when(is_prompt, text(1)).when(is_system, text(2)), "system_prompt": F.when(is_system, text(0)), "question": F.when(is_system, text(1)),
+    }
+    return turned.select(key, F.struct(*[c.alias(name) for name, c in fields.items()]).alias("record"))
+
+
 def formatted(turned: DataFrame) -> DataFrame:
     """Adds `formatted`, the conversation under the template, and `loss_mask`, runs of (skip, keep) characters a turn."""
     pieces = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"]), F.lit("]")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("counts")))

@@ -53,10 +53,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation under the template, read back from it; the fingerprint of its record's fields picks the layout."""
+    """Every conversation under the template, read back from it. The rows come as records of several layouts; each record's fingerprint picks its own."""
     more = spark.sql(f"select -7L conv_id, turn, role, '{CONTROL}' text from values (0L, 'user'), (1L, 'assistant') t(turn, role)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = chat.read_back(chat.formatted(chat.canonical(chat.conversations(rows))))
+    out = chat.read_back(chat.formatted(chat.canonical_records(chat.mixed(chat.conversations(rows)), "conv_id", "record")))
     told = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return out.select(

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sparkquarry.llm import align, htmltext, queries, whiten
+from sparkquarry.llm import align, chat, htmltext, queries, whiten
 
 SF = "/root/testdata/sf0.01"
 
@@ -248,3 +248,28 @@ def test_other_byte_level_files_are_run_by_their_library():
     one, two = align.ByteLevel(json.dumps(told).encode()), align.ByteLevel(json.dumps(swapped).encode())
     assert one.encode.__self__.__class__.__module__.startswith("tiktoken") and two.encode.__name__ == "<lambda>"
     assert all(max(x.encode(" the cat in the hat")) < 1256 for x in (one, two))
+
+
+# -- records of several layouts -------------------------------------------------------------------
+
+
+def test_records_of_several_layouts_give_their_turns(spark):
+    """Each record's own fingerprint picks its layout; all turns come back as they were."""
+    turns = {1: [("user", "a"), ("assistant", "b")], 2: [("system", ""), ("user", "q"), ("assistant", "r")], 3: [("User", "x")], 4: [("user", "p"), ("user", "p"), ("tool", "{}")], 5: [("gpt", "")], 6: [("", "")]}
+    rows = [(k + 10 * n, i, r, t) for n in range(12) for k, ts in turns.items() for i, (r, t) in enumerate(ts)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.mixed(chat.conversations(table))
+    got = chat.canonical_records(records, "conv_id", "record").collect()
+    assert all([tuple(t) for t in r["turns"]] == turns[r["conv_id"] % 10] for r in got) and len(got) == 72
+    assert {r["layout"] for r in got} == {"turn_records", "messages", "shared", "prompt_response", "system_question"} and len({r["fingerprint"] for r in got}) == 5
+
+
+def test_queries_records_come_in_several_layouts(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    found = chat.canonical_records(chat.mixed(chat.conversations(rows)), "conv_id", "record").groupBy("layout").count().collect()
+    assert len(found) >= 3 and all(r["layout"] for r in found)
+
+
+def test_records_without_a_layout_have_no_turns(spark):
+    rows = spark.createDataFrame([(1, (None, None)), (2, ("x", None)), (3, ("x", "y"))], "k long, record struct<prompt: string, response: string>")
+    assert [(r["layout"], r["turns"]) for r in chat.canonical_records(rows, "k", "record").orderBy("k").collect()] == [(None, None), (None, None), ("prompt_response", [("user", "x"), ("assistant", "y")])]

@@ -31,7 +31,7 @@ def repeated_blocks(lines: DataFrame, key: str, height: int = 8, trivial: Column
     """(key, line, end_line, n, related_lines): runs of equal non-trivial lines that occur more than once in a file.
 
     Windows of `height` lines are compared by a hash over a sliding frame. Windows whose occurrences lie at the same
-    distances from each other and that overlap are one run (gaps and islands), reported at its first occurrence.
+    distances from each other (by two hashes of them) and that overlap are one run (gaps and islands), reported at its first occurrence.
     """
     skip = F.col("norm") == ""
     if trivial is not None:
@@ -42,9 +42,16 @@ def repeated_blocks(lines: DataFrame, key: str, height: int = 8, trivial: Column
     frame = in_file.rowsBetween(0, height - 1)
     rows = rows.select(key, "ix", "line_no", F.max("line_no").over(frame).alias("end_line"), F.collect_list("h").over(frame).alias("hs"))
     windows = rows.where(F.size("hs") == height).withColumn("h", F.xxhash64("hs"))
-    groups = windows.groupBy(key, "h").agg(F.array_sort(F.collect_list(F.struct("ix", "line_no", "end_line"))).alias("at")).where(F.size("at") > 1)
-    first = F.element_at("at", 1)
-    shaped = groups.select(key, first["ix"].alias("ix"), first["line_no"].alias("line"), first["end_line"].alias("end_line"), F.transform("at", lambda a: a["ix"] - first["ix"]).alias("shape"), F.slice(F.transform("at", lambda a: a["line_no"]), 2, RELATED).alias("related_lines"), F.size("at").alias("n"))
+    # A window's places are numbered; what is gathered of a group has a fixed size, however often its line is repeated.
+    alike = Window.partitionBy(key, "h")
+    first = F.first("ix").over(alike.orderBy("ix"))
+    placed = windows.select(key, "h", "ix", "line_no", "end_line", F.row_number().over(alike.orderBy("ix")).alias("place"), (F.col("ix") - first).alias("apart"))
+    distance = F.xxhash64("place", "apart")
+    groups = placed.groupBy(key, "h").agg(
+        F.count("*").alias("n"), F.min(F.struct("ix", "line_no", "end_line")).alias("at"), F.bit_xor(distance).alias("_xor"), F.sum(F.pmod(distance, F.lit(1 << 40))).alias("_sum"),
+        F.array_sort(F.collect_list(F.when(F.col("place").between(2, RELATED + 1), F.col("line_no")))).alias("related_lines"),
+    )
+    shaped = groups.where("n > 1").select(key, F.col("at.ix").alias("ix"), F.col("at.line_no").alias("line"), F.col("at.end_line").alias("end_line"), F.struct("n", "_xor", "_sum").alias("shape"), "related_lines", F.col("n").cast("int").alias("n"))
     same = Window.partitionBy(key, "shape").orderBy("ix")
     island = F.sum(F.when(F.col("ix") - F.lag("ix").over(same) <= height, 0).otherwise(1)).over(same)
     return shaped.withColumn("island", island).groupBy(key, "shape", "island").agg(F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.first("n").alias("n"), F.min_by("related_lines", "ix").alias("related_lines")).drop("shape", "island")

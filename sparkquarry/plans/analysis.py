@@ -88,7 +88,7 @@ class _Views:
             tables["leaky"] = tables["leaky"].unionAll(indexes.leaky_classes(t).select("name"))
         self.names = [*tables]
         self.lazy = {name: (lambda text=text: self.sql(text)) for name, text in tree_rules.VIEWS.items()}
-        self.lazy |= {name: (lambda name=name: tree_rules.derived(self.sql, t.ast, t.tok, name, keep)) for name in ("inside", "mtok", "refs", "ctor_calls")}
+        self.lazy |= {name: (lambda name=name: tree_rules.derived(self.sql, t.ast, t.tok, name, keep)) for name in ("inside", "mtok", "typed", "refs", "ctor_calls")}
         owners = cache(lambda: ownership.summaries(t.ast, keep))
         self.lazy |= {"taken": lambda: owners()[0], "made": lambda: owners()[1]}
         # A table without an alias keeps its plain name as one.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.operators import scopes
+from sparkquarry.operators import intervals, scopes
 from sparkquarry.sources.files import Tables
 
 
@@ -49,6 +49,31 @@ def type_kinds(t: Tables) -> DataFrame:
     return t.ast.where("kind in ('Class', 'Record', 'Interface', 'EnumType', 'PointerType', 'Type')").select(F.lower("name").alias("name"), F.col("kind"), F.col("file_id").alias("unit")).distinct()
 
 
+def resolved_types(t: Tables) -> DataFrame:
+    """(file_id, line, col, name, type): type of each identifier's use, from its routine's locals and parameters, else the unit's variables.
+
+    One sweep over the scopes that declare a name and the uses of that name (operators.intervals): a use meets the innermost
+    scope around it only. Of several declarations of a scope the last one counts.
+    """
+    uses = t.tok.where("kind = 'ident'").select("file_id", F.lower("value").alias("name"), F.col("line").alias("at"), F.struct("line", "col").alias("inner"))
+    routines = t.ast.where("kind = 'Method'").select("file_id", F.col("node_id").alias("method_id"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
+    local = local_scopes(t.ast, routines)
+    found = intervals.contained(local, uses, ["file_id", "name"], innermost=True, self_too=True).select("file_id", "name", "inner", F.col("outer.type").alias("local"))
+    shared = t.ast.where("kind in ('Var', 'Field')").groupBy("file_id", F.lower("name").alias("name")).agg(F.max_by("type_ref", "node_id").alias("shared"))
+    out = uses.select("file_id", "name", "inner").distinct().join(found, ["file_id", "name", "inner"], "left").join(shared, ["file_id", "name"], "left")
+    return out.select("file_id", "inner.line", "inner.col", "name", F.coalesce("local", "shared").alias("type")).where("type is not null")
+
+
+def local_scopes(ast: DataFrame, routines: DataFrame) -> DataFrame:
+    """(file_id, name, lo, hi, outer): the routines that declare each name, with the type."""
+    local = ast.where("kind in ('LocalVar', 'Param')").groupBy("file_id", "method_id", F.lower("name").alias("name")).agg(F.max_by("type_ref", "node_id").alias("type"))
+    return local.join(routines, ["file_id", "method_id"]).select("file_id", "name", "lo", "hi", F.struct("type", "method_id").alias("outer"))
+
+
+def type_kinds(t: Tables) -> DataFrame:
+    return t.ast.where("kind in ('Class', 'Record', 'Interface', 'EnumType', 'PointerType', 'Type')").select(F.lower("name").alias("name"), F.col("kind"), F.col("file_id").alias("unit")).distinct()
+
+
 def resolved_types(t: Tables) -> DataFrame:
     """(file_id, line, col, name, type): type of each identifier's use, from its routine's locals and parameters, else the unit's variables.
 

@@ -15,7 +15,7 @@ NEEDS: dict[str, tuple[str, ...]] = PREFILTER | {
     "NestedTry": ("try",), "StringConcatInLoop": ("for", "while", "repeat"), "ParamByNameInLoop": ("parambyname",), "FieldByNameInLoop": ("fieldbyname",), "ReversedForRange": ("for",),
     "ReRaiseException": ("raise",), "RaiseOutsideExcept": ("raise",), "ExceptionTooGeneral": ("exception",), "ExceptInDestructor": ("destructor",), "DestructorWithoutInherited": ("destructor",),
     "SynchronizeInDestructor": ("destructor",), "ConstructorWithoutInherited": ("constructor",), "VirtualCallInCtor": ("constructor",), "InsecureRandom": ("random",),
-    "ThreadFreeOnTerminateWithRef": ("freeonterminate",), "FloatEquality": ("double", "single", "extended", "real"), "IntegerOverflow": ("int64",), "AssertWithSideEffect": ("assert",),
+    "ThreadFreeOnTerminateWithRef": ("freeonterminate",), "FloatEquality": ("double", "single", "extended", "real", "currency", "tdatetime"), "IntegerOverflow": ("int64",), "AssertWithSideEffect": ("assert",),
     "CaseStatementSize": ("case",), "DefaultCaseInCaseStatement": ("case",), "RaisingRawException": ("exception",), "TObjectListWithoutOwnership": ("tobjectlist",),
     "SQLInjection": VERBS, "CommandInjection": ("shellexecute", "createprocess", "winexec"), "DfmSqlFromUserInput": ("sql",), "DfmGodHandler": ("on",), "DfmTabOrderConflict": ("taborder",),
     "DfmActionMismatch": ("action",), "DfmMasterDetailUnlinked": ("mastersource",), "DfmDuplicateBinding": ("datafield",),

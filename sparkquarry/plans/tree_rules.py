@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkquarry.operators import flow, intervals, labels, references
 
+from . import indexes
+
 VIEWS = {
     "meth": "select *, lower(substring_index(name, '.', -1)) as short, lower(regexp_extract(name, '^(.*)[.][^.]*$', 1)) as owner from ast where kind = 'Method'",
     "decl": """select d.*, lower(d.name) as short, lower(regexp_replace(c.name, '<.*$', '')) as owner, c.kind as owner_kind, c.type_ref as base, c.mods as owner_mods
@@ -48,7 +50,7 @@ def derived(sql, ast: DataFrame, tok: DataFrame, name: str, keep) -> DataFrame:
     """A table that rules share, made by an operator. sql() reads the views.
 
     inside: (file_id, outer_id, node_id). mtok: identifiers with their innermost routine. refs: public members with where they are used.
-    ctor_calls: constructors and the routines of their class that they call, up to HELPERS steps on.
+    typed: names in routines with their resolved type. ctor_calls: constructors and the routines of their class that they call, up to HELPERS steps on.
     """
     if name == "inside":
         outer = ast.where(F.col("kind").isin(OUTER)).select("file_id", F.col("node_id").alias("lo"), F.col("last_pre").alias("hi"), F.col("node_id").alias("outer"))
@@ -58,6 +60,16 @@ def derived(sql, ast: DataFrame, tok: DataFrame, name: str, keep) -> DataFrame:
         routines = ast.where("kind = 'Method'").select("file_id", F.col("line").alias("lo"), F.col("end_line").alias("hi"), F.col("node_id").alias("outer"))
         words = tok.where("kind = 'ident'").select("file_id", F.col("line").alias("at"), F.struct("seq", F.expr("lower(ltrim('&', value))").alias("word"), "line", "col").alias("inner"))
         return keep(intervals.contained(routines, words, ["file_id"], innermost=True, self_too=True).select("file_id", F.col("outer").alias("method_id"), "inner.*"), name)
+    if name == "typed":
+        # names that routines use, with the type that the innermost scope, their class or their unit declares
+        spans = ast.where("kind = 'Method'").select("file_id", F.col("node_id").alias("method_id"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
+        used = sql("select t.file_id, t.word as name, t.line as at, t.method_id as inner from mtok t").distinct()
+        local = intervals.contained(indexes.local_scopes(ast, spans), used, ["file_id", "name"], innermost=True, self_too=True).select("file_id", "name", F.col("inner").alias("method_id"), F.col("outer.type").alias("local")).distinct()
+        fields = sql("select distinct m.file_id, m.node_id as method_id, lower(f.name) as name, f.type_ref as field from meth m join klass k on k.file_id = m.file_id and k.short = m.owner join ast f on f.file_id = k.file_id and f.parent_id = k.node_id and f.kind = 'Field'")
+        shared = sql("select file_id, lower(name) as name, max(type_ref) as shared from ast where kind = 'Var' and method_id is null group by 1, 2")
+        names = used.select("file_id", "name", F.col("inner").alias("method_id")).distinct()
+        out = names.join(local, ["file_id", "name", "method_id"], "left").join(fields, ["file_id", "name", "method_id"], "left").join(shared, ["file_id", "name"], "left")
+        return keep(out.select("file_id", "method_id", "name", F.lower(F.coalesce("local", "field", "shared")).alias("type_ref")).where("type_ref is not null").distinct(), name)
     if name == "refs":
         uses = sql("select t.word, t.file_id as unit, coalesce(m.owner, '') as owner, coalesce(m.short = t.word and m.line = t.line, false) as heading from mtok t left join meth m on m.file_id = t.file_id and m.node_id = t.method_id")
         members = sql(MEMBERS).select("owner", "name", "line", F.col("short").alias("word"), F.col("file_id").alias("unit"))
@@ -190,7 +202,7 @@ AST: dict[str, str] = {
     "RaiseOutsideExcept": "select r.file_id, r.line, '' as detail from ast r where r.kind = 'Raise' and r.name = 'raise' and not exists (select 1 from inside i join ast e on e.file_id = i.file_id and e.node_id = i.outer_id where i.file_id = r.file_id and i.node_id = r.node_id and e.kind in ('ExceptBlock', 'OnHandler'))",
     "AbstractNotImpl": "select k.file_id, k.line, concat(k.name, '.', d.name) as detail from klass k join decl d on d.file_id = k.file_id and d.owner = k.base and d.mods like '%;abstract;%' where k.mods not like '%abstract%' and not exists (select 1 from decl o where o.file_id = k.file_id and o.owner = k.short and o.short = d.short) and not exists (select 1 from edges e where e.parent = k.short)",
     "LeakInConstructor": "select distinct m.file_id, m.line, m.name as detail from ast a join meth m on m.file_id = a.file_id and m.node_id = a.method_id and m.type_ref = 'constructor' join ast r on r.file_id = a.file_id and r.method_id = a.method_id and r.kind = 'Raise' and r.node_id > a.node_id where a.kind = 'Assign' and a.name rlike '^(Self[.])?F[A-Z]' and a.type_ref rlike '(?i)^T\\\\w+[.]Create\\\\b' and not exists (select 1 from ast t where t.file_id = a.file_id and t.method_id = a.method_id and t.kind = 'TryExcept') and not exists (select 1 from meth d where d.file_id = a.file_id and d.owner = m.owner and d.type_ref = 'destructor')",
-    "IntegerOverflow": rf"select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join vars v on v.file_id = a.file_id and v.method_id = a.method_id and lower(v.name) = lower(a.name) and lower(v.type_ref) in ('int64', 'uint64') where a.kind = 'Assign' and a.type_ref rlike '^\\w+\\s*[*]\\s*\\w+$' and a.type_ref not rlike '(?i)int64' and not exists (select 1 from vars o where o.file_id = a.file_id and o.method_id = a.method_id and lower(o.type_ref) in ('int64', 'uint64', 'double', 'extended', 'single') and {word('o.name', 'a.type_ref')})",
+    "IntegerOverflow": rf"select a.file_id, a.line, concat(a.name, ' := ', a.type_ref) as detail from ast a join typed v on v.file_id = a.file_id and v.method_id = a.method_id and v.name = lower(a.name) and v.type_ref in ('int64', 'uint64') where a.kind = 'Assign' and a.type_ref rlike '^\\w+\\s*[*]\\s*\\w+$' and a.type_ref not rlike '(?i)int64' and not exists (select 1 from typed o where o.file_id = a.file_id and o.method_id = a.method_id and o.type_ref in ('int64', 'uint64', 'double', 'extended', 'single', 'currency') and {word('o.name', 'a.type_ref')})",
     "GodClass": "select k.file_id, k.line, concat(k.name, ' ', count_if(x.kind = 'MethodDecl'), ' methods ', count_if(x.kind = 'Field'), ' fields') as detail from klass k join ast x on x.file_id = k.file_id and x.parent_id = k.node_id group by k.file_id, k.node_id, k.line, k.name having (count_if(x.kind = 'MethodDecl') > 20 or count_if(x.kind = 'Field' and x.mods not like '%;class') > 15) and not (count_if(x.kind = 'MethodDecl') > 0 and count_if(x.kind = 'MethodDecl') = count_if(x.kind = 'MethodDecl' and x.mods rlike ';(abstract|external);'))",
     "InsecureRandom": r"""select l.file_id, l.line_no as line, trim(l.text) as detail from lines l where l.code_ns rlike '(?i)(?<![\\w.])Random(Range|From)?\\s*([(]|;|[)])' and l.code_ns not rlike '(?i)\\b(function|procedure)\\b'
         and not exists (select 1 from tok t where t.file_id = l.file_id and t.kind = 'ident' and lower(t.value) = 'randomize')""",
@@ -207,7 +219,7 @@ AST: dict[str, str] = {
     "UnsortedUses": "select file_id, line, '' as detail from (select u.file_id, u.line, transform(array_sort(collect_list(struct(i.sibling_ix, lower(i.name) as name))), x -> x.name) as names from ast u join ast i on i.file_id = u.file_id and i.parent_id = u.node_id and i.kind = 'UsesItem' where u.kind = 'Uses' group by u.file_id, u.node_id, u.line) where names <> array_sort(names)",
     "MissingUnitHeader": """select u.file_id, u.line, '' as detail from ast u join ast i on i.file_id = u.file_id and i.kind = 'Section' and i.name = 'interface' where u.kind = 'Unit' and u.mods = 'unit'
         and not exists (select 1 from lines l where l.file_id = u.file_id and l.line_no > u.line and l.line_no < i.line and (trim(l.text) like '//%' or trim(l.text) like '{%' or trim(l.text) like '(*%'))""",
-    "FloatEquality": r"select c.file_id, c.line, c.name as detail from ast c join vars v on v.file_id = c.file_id and v.method_id = c.method_id and lower(v.type_ref) in ('double', 'single', 'extended', 'real') and c.name rlike concat('(?i)(?<![A-Za-z0-9_.<>:])', v.name, '\\s*(=|<>)\\s*(?!nil|\\d+(?![\\d.]))[\\w(]|(?<![<>:])(=|<>)\\s*', v.name, '(?![A-Za-z0-9_.(])') where c.kind in ('IfStmt', 'WhileStmt', 'RepeatStmt')",
+    "FloatEquality": r"select c.file_id, c.line, c.name as detail from ast c join typed v on v.file_id = c.file_id and v.method_id = c.method_id and v.type_ref in ('double', 'single', 'extended', 'real', 'currency', 'tdatetime') and c.name rlike concat('(?i)(?<![A-Za-z0-9_.<>:])', v.name, '\\s*(=|<>)\\s*(?!nil|\\d+(?![\\d.]))[\\w(]|(?<![<>:])(=|<>)\\s*', v.name, '(?![A-Za-z0-9_.(])') where c.kind in ('IfStmt', 'WhileStmt', 'RepeatStmt')",
     "ExceptInDestructor": "select r.file_id, r.line, r.name as detail from ast r join meth m on m.file_id = r.file_id and m.node_id = r.method_id and m.type_ref = 'destructor' where r.kind = 'Raise' and not exists (select 1 from inside i join ast t on t.file_id = i.file_id and t.node_id = i.outer_id where i.file_id = r.file_id and i.node_id = r.node_id and t.kind = 'TryExcept')",
     "BooleanParam": f"select distinct p.file_id, p.line, p.name as detail from ast p join meth m on m.file_id = p.file_id and m.node_id = p.parent_id and m.short not like 'set%' join ast i on i.file_id = p.file_id and i.method_id = m.node_id and i.kind = 'IfStmt' and {word('p.name', 'i.name')} where p.kind = 'Param' and lower(p.type_ref) = 'boolean'",
     "UnusedPrivateMethod": "select d.file_id, d.line, d.name as detail from decl d where d.owner_kind = 'Class' and d.mods rlike ';(strict )?private;' and d.mods not rlike ';(override|virtual|message);' and d.type_ref not rlike '^(con|de)structor' and not exists (select 1 from tok t left join meth m on m.file_id = t.file_id and m.owner = d.owner and m.short = d.short and t.line = m.line where t.file_id = d.file_id and lower(t.value) = d.short and t.line <> d.line and m.file_id is null)",

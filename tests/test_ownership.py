@@ -105,6 +105,44 @@ end;
 """
 
 
+def test_types_come_from_the_innermost_scope(spark):
+    """A field, a unit's variable and a nested routine's local of the same name."""
+    text = unit("T", """var
+  Rate: Double;
+  Total: Int64;
+
+procedure TFoo.One;
+begin
+  if FSize = 1.5 then¶
+    Exit;
+  if Rate = FOther then¶
+    Exit;
+end;
+
+procedure TFoo.Two(Rate: Integer);
+  procedure Inner;
+  var
+    Rate: Extended;
+  begin
+    if Rate = FOther then¶
+      Exit;
+  end;
+begin
+  if Rate = FOther then
+    Exit;
+end;
+
+procedure Three(a, b: Integer);
+begin
+  Total := a * b;
+end;
+""", "type\n  TFoo = class\n    FSize: Single;\n    FOther: Integer;\n    procedure One;\n    procedure Two(Rate: Integer);\n  end;\n")
+    t = files.tables(files.in_memory(spark, {"uT.pas": text.replace(MARK, "")}))
+    rows = analysis.raw_findings(t, {"FloatEquality", "IntegerOverflow"}).select("kind", "line").collect()
+    assert {r["line"] for r in rows if r["kind"] == "FloatEquality"} == lines(text)
+    assert {r["line"] for r in rows if r["kind"] == "IntegerOverflow"} == {n for n, x in enumerate(text.splitlines(), 1) if "a * b" in x}
+
+
 def test_grandchildren_and_helpers(spark):
     text = unit("A", BODY, CLASSES)
     low = "unit uB;\ninterface\nuses uA;\ntype\n  TFar = class(TLow)\n    procedure Walk;\n  end;\nimplementation\nprocedure TFar.Walk;\nbegin\n  Idle;\nend;\nend.\n"

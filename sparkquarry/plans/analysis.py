@@ -103,7 +103,7 @@ class _Views:
         if not places or len(places) < len(tokens.NEEDS[kind]):
             return {}
         out = {}
-        for name in ("ast", "tok", "lines", "prop") if not kind.startswith("Dfm") or kind == "DfmSqlFromUserInput" else ("comp", "prop"):
+        for name in ("ast", "tok", "lines", "prop") if not kind.startswith("Dfm") else ("comp", "prop"):
             out[name] = f"{name}_{kind}"
             getattr(self.t, name).where(prefilter.any_bit("bits", places)).createOrReplaceTempView(self.prefix + out[name])
             self.names.append(out[name])
@@ -153,8 +153,8 @@ def raw_findings(t: files.Tables, kinds: set[str], s: Settings = Settings(), kee
     views.drop()
     if kinds & {*flow.FLOW}:
         parts.append(flow.flow_findings(t.ast, kinds).select(*plain))
-    injections = [t.tokens.index(w) for k in ("SQLInjection", "CommandInjection") if k in kinds for w in tokens.NEEDS[k] if w in t.tokens]
-    if (injected := taint.findings(t.ast.where(prefilter.any_bit("bits", injections)) if injections else t.ast, kinds, keep)) is not None:
+    injections = [t.tokens.index(w) for k in sorted(taint.RULES & kinds) for w in tokens.NEEDS[k] if w in t.tokens]
+    if (injected := taint.findings(t.ast.where(prefilter.any_bit("bits", injections)) if injections else t.ast, t.comp, kinds, keep)) is not None:
         parts.append(injected.select(*plain))
     if "DfmCircularDataSource" in kinds:
         parts.append(_circular(t).select(*plain))

@@ -32,6 +32,12 @@ SQL_TEXT = (
 )
 #: Words of which a unit must have one for any of this.
 VERBS = ("select", "insert", "update", "delete", "merge", "replace", "exec", "call", "create", "alter", "drop", "truncate", "with", "sql", "commandtext")
+#: Terms that read what a user or a request gives.
+INPUT = r"(?i)[.](?:Text|Caption|Params?|QueryFields|ContentFields|QueryParams)(?:\W|$)|^ParamStr\b|^(?:\w+[.])*Request[.]"
+#: Routines that start programs, and those that open files by their path.
+STARTS = r"(?i)^(?:\w+[.])*(?:ShellExecute(?:Ex)?[AW]?|CreateProcess[AW]?|WinExec)$"
+OPENS = r"(?i)^(?:(?:\w+[.])*TFileStream[.]Create|AssignFile|FileOpen|FileCreate|(?:\w+[.])*TFile[.]\w+|(?:.*[.])?(?:LoadFromFile|SaveToFile))$"
+RULES = {"SQLInjection", "CommandInjection", "PathTraversal", "DfmSqlFromUserInput"}
 #: Where text for people goes, properties that hold statements, and names of routines that take them.
 MESSAGE = r"(?i)(?:^|[.])(?:Caption|Hint|Title|Message|Msg|ErrorText|ShowMessage\w*|MessageDlg\w*|MessageBox|Log\w*|Write(?:Ln)?|OutputDebugString\w*|Raise\w*|Panels.*|StatusBar\w*|Check\w*|Assert\w*|Add(?:Log|Line|Message)\w*)$"
 PROPERTY = r"(?i)(?:^|[.])(?:SQL(?:[.]Text)?|CommandText|\w+SQL(?:[.]Text)?)$"
@@ -73,7 +79,7 @@ def terms(rows: DataFrame) -> DataFrame:
 
 
 def judged(ast: DataFrame, lits: DataFrame, found: DataFrame, keep) -> DataFrame:
-    """Terms with `unsafe`, by the flow over all routines.
+    """Terms with `unsafe` and `inputs` (what a user gives reaches them), by the flow over all routines.
 
     Nodes of a routine's graph are its variables (`v:name`), its terms (`t:statement:group:argument:term`), its groups (`g:statement:group`)
     and what its formats put in as text (`f:statement:group`).
@@ -111,25 +117,27 @@ def judged(ast: DataFrame, lits: DataFrame, found: DataFrame, keep) -> DataFrame
     # what a statement's top holds goes to the variable that it assigns
     targets = ast.where("kind = 'Assign' and method_id is not null").select(graph.alias("graph"), F.concat_ws(":", F.lit("g"), "node_id", F.lit("top")).alias("a"), F.concat(F.lit("v:"), F.lower("name")).alias("b"))
     edges = keep(edges.unionByName(targets), "flow")
-    marked = flow.carried(t.where("own = 'unsafe'").select("graph", F.lit("x").alias("origin"), node.alias("node")), edges)
-    unsafe = marked.where("node like 't:%'").select("graph", F.col("node").alias("_node"), F.lit(True).alias("unsafe"))
-    return t.withColumn("_node", node).join(unsafe, ["graph", "_node"], "left").withColumn("unsafe", F.coalesce("unsafe", F.lit(False))).drop("_node")
+    origins = F.array_compact(F.array(F.lit("unsafe"), F.when(F.col("term").rlike(INPUT), F.lit("inputs"))))
+    marked = flow.carried(t.where("own = 'unsafe'").select("graph", F.explode(origins).alias("origin"), node.alias("node")), edges)
+    reached = marked.where("node like 't:%'").groupBy("graph", F.col("node").alias("_node")).agg(F.bool_or(F.col("origin") == "unsafe").alias("unsafe"), F.bool_or(F.col("origin") == "inputs").alias("inputs"))
+    out = t.withColumn("_node", node).join(reached, ["graph", "_node"], "left").drop("_node")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("unsafe", "inputs")})
 
 
 def chains(ast: DataFrame, keep) -> DataFrame:
     """(file_id, node_id, g, a, n, first, unsafe, inputs): arguments with their first literal and whether any term is unsafe.
 
-    inputs: whether an unsafe term reads a control's text. Format calls have a row of their own: n is null, first is the mask.
+    inputs: whether what a user gives reaches a term. Format calls have a row of their own: n is null, first is the mask.
     """
     rows = keep(statements(ast), "statements")
     found = keep(judged(ast, rows.select("file_id", "node_id", "lits"), terms(rows), keep), "judged")
     literal = F.when(F.col("term").rlike(r"^«\d+»$"), F.regexp_extract("term", r"\d+", 0).cast("int"))
     held = found.join(rows.select("file_id", "node_id", "lits"), ["file_id", "node_id"]).withColumn("lit", F.get("lits", literal))
     by = ["file_id", "node_id", "g", "a"]
-    out = held.groupBy(*by).agg(F.max("n").alias("n"), F.min_by("lit", F.when(F.col("lit").isNotNull(), F.col("k"))).alias("first"), F.bool_or("unsafe").alias("unsafe"), F.bool_or(F.col("unsafe") & F.col("term").rlike(r"(?i)[.](Text|Caption)$")).alias("inputs"))
-    formats = held.where("own = 'format'").select("file_id", "node_id", F.col("inner").alias("g"), "unsafe")
+    out = held.groupBy(*by).agg(F.max("n").alias("n"), F.min_by("lit", F.when(F.col("lit").isNotNull(), F.col("k"))).alias("first"), F.bool_or("unsafe").alias("unsafe"), F.bool_or("inputs").alias("inputs"))
+    formats = held.where("own = 'format'").select("file_id", "node_id", F.col("inner").alias("g"), "unsafe", "inputs")
     masked = out.where("a = 0").select("file_id", "node_id", "g", "first").join(formats, ["file_id", "node_id", "g"])
-    masked = masked.select("file_id", "node_id", "g", F.lit(-1).alias("a"), F.lit(None).cast("int").alias("n"), "first", "unsafe", F.lit(False).alias("inputs"))
+    masked = masked.select("file_id", "node_id", "g", F.lit(-1).alias("a"), F.lit(None).cast("int").alias("n"), "first", "unsafe", "inputs")
     return rows.drop("groups", "lits").join(out.unionByName(masked), ["file_id", "node_id"]).join(called(rows), ["file_id", "node_id", "g"], "left")
 
 
@@ -140,9 +148,9 @@ def called(rows: DataFrame) -> DataFrame:
     return calls.select("file_id", "node_id", F.regexp_extract("c", r"‹(\d+:\d+)»$", 1).alias("g"), F.regexp_replace(F.regexp_replace("c", r"‹\d+:\d+»$", ""), r"‹\d+:\d+»", "").alias("callee")).distinct()
 
 
-def findings(ast: DataFrame, kinds: set[str], keep) -> DataFrame | None:
-    """(file_id, line, kind, detail) of the injection rules."""
-    if not kinds & {"SQLInjection", "CommandInjection"}:
+def findings(ast: DataFrame, comp: DataFrame, kinds: set[str], keep) -> DataFrame | None:
+    """(file_id, line, kind, detail) of the injection rules; units beside a form are those of comp."""
+    if not kinds & RULES:
         return None
     c = keep(chains(ast, keep), "chains")
     joined = (F.col("n") > 1) & F.col("unsafe")
@@ -155,8 +163,12 @@ def findings(ast: DataFrame, kinds: set[str], keep) -> DataFrame | None:
     people_around = c.where(to_people).select("file_id", "node_id").distinct()  # ShowMessage(Format('...'))
     injected = injected.join(people_around, ["file_id", "node_id"], "left_anti")
     out = injected.select("file_id", "line", "node_id", F.lit("SQLInjection").alias("kind"))
-    started = F.col("callee").rlike(r"(?i)^(?:\w+[.])*(?:ShellExecute(?:Ex)?[AW]?|CreateProcess[AW]?|WinExec)$")
-    starts = c.where(started).select("file_id", "node_id").distinct()
+    by_user = c.where(F.col("inputs") & ~to_people & (format_call | joined & (sql & taken | to_property)))
+    units = comp.where("parent_id is null").select(F.regexp_replace("form_id", "(?i)[.]dfm$", ".pas").alias("file_id")).distinct()
+    out = out.unionByName(by_user.join(units, "file_id", "left_semi").select("file_id", "line", "node_id", F.lit("DfmSqlFromUserInput").alias("kind")))
+    paths = c.where(joined & F.col("inputs") & F.col("callee").rlike(OPENS))
+    out = out.unionByName(paths.select("file_id", "line", "node_id", F.lit("PathTraversal").alias("kind")))
+    starts = c.where(F.col("callee").rlike(STARTS)).select("file_id", "node_id").distinct()
     commands = c.where(joined & F.col("first").isNotNull()).join(starts, ["file_id", "node_id"], "left_semi").select("file_id", "line", "node_id", F.lit("CommandInjection").alias("kind"))
     texts = ast.select("file_id", "node_id", F.concat_ws(" ", "name", "type_ref").alias("detail"))
     out = out.unionByName(commands).distinct().where(F.col("kind").isin(sorted(kinds)))

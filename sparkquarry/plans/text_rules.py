@@ -85,7 +85,6 @@ TEXT: dict[str, tuple[str, str]] = {
     "AssertMessage": ("code_ns", r"(?<![\w.])(Assert)\s*\((?:[^(),;]|\((?:[^();]|\([^();]*\))*\))*\)\s*;"),
     "ThreadResumeDeprecated": ("code_ns", r"\b(\w*Thread\w*\.Resume)\b(?!\s*:=)"),
     "TThreadDestroyWithoutTerminate": ("code_ns", rf"(?<!Terminate;)\s(FreeAndNil\s*\(\s*\w*Thread\w*\s*\)|\w*Thread\w*\.Free\b)(?<!x)"),
-    "PathTraversal": ("code_ks", r"\b((?:TFileStream\.Create|AssignFile|FileOpen|FileCreate|TFile\.\w+|LoadFromFile|SaveToFile)\s*\([^;]*?(?:\.Text\b|Params?\b|QueryFields|ParamStr)[^;]*?\+|(?:TFileStream\.Create|AssignFile|FileOpen|FileCreate|TFile\.\w+)\s*\([^;]*?\+[^;]*?(?:\.Text\b|Request\.|ParamStr|QueryFields))"),
     "EmptyVisibilitySection": ("code_ns", r"^\s*((?:strict\s+)?(?:private|protected|public|published))\s*(?=(?:(?:strict\s+)?(?:private|protected|public|published)\b|end\b))"),
     "AnonMethodCaptureLoopVar": ("code_ns", r"\bfor\s+(?:var\s+)?(\w+)\s*:=[^;]*?\bdo\b(?:(?!\b(?:end\s*;\s*end)\b)[\s\S]){0,400}?\b(?:procedure|function)\s*(?:\([^)]*\)\s*)?(?::\s*\w+\s*)?begin(?:(?!\bend\b)[\s\S])*?\b\1\b"),
     "AttributeTestFixtureWithoutTests": ("code_ns", r"(\[\s*TestFixture[^\]]*\])\s*\w+\s*=\s*class\b(?:(?!\[\s*Test|\bpublished\b)[\s\S])*?\bend\s*;"),
@@ -96,7 +95,7 @@ PREFILTER: dict[str, tuple[str, ...]] = {
     "EmptyInterface": ("interface",), "EmptyBlock": ("begin",), "RedundantJump": ("exit", "continue"), "EmptyFinallyBlock": ("finally",), "RedundantConditional": ("true",), "IfElseBegin": ("else",), "FreeAndNilHint": (".free",),
     "EmptyOnHandler": ("except",), "SetLengthAppendInLoop": ("setlength",), "UnpairedLock": ("lock", "acquire", "entercriticalsection", "tmonitor", "rtleventwaitfor"), "LockWithoutTryFinally": ("enter", "acquire", "beginwrite", "beginread"),
     "WithMultipleTargets": ("with",), "GetMemWithoutFreeMem": ("freemem",), "AssertMessage": ("assert",), "ThreadResumeDeprecated": (".resume",), "TThreadDestroyWithoutTerminate": ("thread",), 
-    "EmptyVisibilitySection": ("private", "protected", "public", "published"), "AnonMethodCaptureLoopVar": ("for",), "AttributeTestFixtureWithoutTests": ("testfixture",), "PathTraversal": ("file", "stream"),
+    "EmptyVisibilitySection": ("private", "protected", "public", "published"), "AnonMethodCaptureLoopVar": ("for",), "AttributeTestFixtureWithoutTests": ("testfixture",),
 }
 
 FOUND = "file_id string, line int, kind string, detail string"

@@ -17,7 +17,7 @@ NEEDS: dict[str, tuple[str, ...]] = PREFILTER | {
     "SynchronizeInDestructor": ("destructor",), "ConstructorWithoutInherited": ("constructor",), "VirtualCallInCtor": ("constructor",), "InsecureRandom": ("random",),
     "ThreadFreeOnTerminateWithRef": ("freeonterminate",), "FloatEquality": ("double", "single", "extended", "real", "currency", "tdatetime"), "IntegerOverflow": ("int64",), "AssertWithSideEffect": ("assert",),
     "CaseStatementSize": ("case",), "DefaultCaseInCaseStatement": ("case",), "RaisingRawException": ("exception",), "TObjectListWithoutOwnership": ("tobjectlist",),
-    "SQLInjection": VERBS, "CommandInjection": ("shellexecute", "createprocess", "winexec"), "DfmSqlFromUserInput": ("sql",), "DfmGodHandler": ("on",), "DfmTabOrderConflict": ("taborder",),
+    "SQLInjection": VERBS, "CommandInjection": ("shellexecute", "createprocess", "winexec"), "DfmSqlFromUserInput": VERBS, "PathTraversal": ("file", "stream"), "DfmGodHandler": ("on",), "DfmTabOrderConflict": ("taborder",),
     "DfmActionMismatch": ("action",), "DfmMasterDetailUnlinked": ("mastersource",), "DfmDuplicateBinding": ("datafield",),
 }
 

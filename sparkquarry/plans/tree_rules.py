@@ -265,7 +265,6 @@ FORM: dict[str, str] = {
     "DfmOrphanHandler": "select d.file_id, d.line, d.name as detail from decl d join form f on f.unit_id = d.file_id and f.short = d.owner join ast p on p.file_id = d.file_id and p.parent_id = d.node_id and p.kind = 'Param' and lower(p.type_ref) = 'tobject' and lower(p.name) = 'sender' where d.mods like '%;published;%' and not exists (select 1 from evt e where e.form_id = f.form_id and lower(e.handler) = d.short)",
     "DfmEmptyBoundEvent": "select e.form_id as file_id, e.line, e.handler as detail from evt e join form f on f.form_id = e.form_id join meth m on m.file_id = f.unit_id and m.owner = f.short and m.short = lower(e.handler) join ast b on b.file_id = m.file_id and b.parent_id = m.node_id and b.kind = 'Block' and b.last_pre = b.node_id",
     "DfmSchemaMismatch": "select c.form_id as file_id, c.line, c.name as detail from comp c join form f on f.form_id = c.form_id join klass k on k.file_id = f.unit_id and k.short = f.short and k.base in ('tform', 'tframe', 'tdatamodule') where c.parent_id is not null and c.name <> '' and not c.is_inherited and not exists (select 1 from comp i where i.form_id = c.form_id and i.is_inline and c.line > i.line and c.line < i.end_line) and not exists (select 1 from ast x where x.file_id = f.unit_id and x.parent_id = k.node_id and x.kind = 'Field' and lower(x.name) = lower(c.name))",
-    "DfmSqlFromUserInput": rf"select a.file_id, a.line, concat(a.name, ' ', a.type_ref) as detail from ast a join form f on f.unit_id = a.file_id where a.kind in ('Assign', 'Call') and a.name rlike '(?i)SQL([.](Text|Add)|\\b)' and {NOSTR.format('''concat_ws(' ', a.name, a.type_ref)''')} rlike '(?i)[+] *\\w+[.](Text|Caption)\\b'",
     "DfmRequiredFieldUnbound": "select c.form_id as file_id, c.line, c.name as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id join comp ds on ds.form_id = c.form_id and ds.comp_id = c.parent_id where p.required = 'true' and p.fieldname is not null and not exists (select 1 from pv s join comp sc on sc.form_id = s.form_id and sc.comp_id = s.comp_id join pv b on b.form_id = s.form_id and lower(b.datasource) = lower(sc.name) where s.form_id = c.form_id and lower(s.dataset) = lower(ds.name) and lower(b.datafield) = lower(p.fieldname))",
     "DfmRequiredFieldNotVisible": "select c.form_id as file_id, c.line, c.name as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id and p.required = 'true' join comp ds on ds.form_id = c.form_id and ds.comp_id = c.parent_id join pv s on s.form_id = c.form_id and lower(s.dataset) = lower(ds.name) join comp sc on sc.form_id = s.form_id and sc.comp_id = s.comp_id join pv b on b.form_id = s.form_id and lower(b.datasource) = lower(sc.name) and lower(b.datafield) = lower(p.fieldname) group by c.form_id, c.comp_id, c.line, c.name having not bool_or(coalesce(b.visible, 'true') <> 'false')",
     "DfmFieldTypeMismatch": "select b.form_id as file_id, bc.line, concat(bc.class, ' for ', c.class) as detail from comp c join pv p on p.form_id = c.form_id and p.comp_id = c.comp_id and p.fieldname is not null join comp ds on ds.form_id = c.form_id and ds.comp_id = c.parent_id join pv s on s.form_id = c.form_id and lower(s.dataset) = lower(ds.name) join comp sc on sc.form_id = s.form_id and sc.comp_id = s.comp_id join pv b on b.form_id = s.form_id and lower(b.datasource) = lower(sc.name) and lower(b.datafield) = lower(p.fieldname) join comp bc on bc.form_id = b.form_id and bc.comp_id = b.comp_id where c.class = 'TBooleanField' and bc.class in ('TDBEdit', 'TDBMemo', 'TDBRichEdit', 'TDBImage') or c.class in ('TBlobField', 'TGraphicField') and bc.class in ('TDBEdit', 'TDBCheckBox') or c.class = 'TMemoField' and bc.class in ('TDBEdit', 'TDBCheckBox') or c.class rlike '^T(Integer|Float|Currency|BCD|FMTBCD|Smallint|Largeint|Date|DateTime|Time|SQLTimeStamp)Field$' and bc.class in ('TDBCheckBox', 'TDBMemo', 'TDBImage', 'TDBRichEdit')",

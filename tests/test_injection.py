@@ -1,13 +1,15 @@
-"""Data flow of the injection rules: each case is a routine with the lines that must be found, marked with a pilcrow."""
+"""Data flow of the injection rules: each case is a routine with marks at the lines that must be found."""
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from sparkquarry.plans import analysis
 from sparkquarry.sources import files
 
-MARK = "¶"
+MARKS = {"¶": "SQLInjection", "¤": "CommandInjection", "§": "PathTraversal"}
 #: name: (head of the routine with its variables, statements)
 CASES = {
     "assign": ("procedure Run(Id: string);", "Query.SQL.Text := 'SELECT * FROM t WHERE id = ' + Id;¶"),
@@ -59,6 +61,8 @@ CASES = {
     "local_by_sanitizer": ("procedure Run(const x: string);\nvar q: string;", "q := QuotedStr(x);\nQ1.SQL.Text := 'SELECT * FROM t WHERE a = ' + q;"),
     "accumulators": ("procedure Run(const x: string);\nvar a, b: string;", "a := 'a';\na := a + ', ' + IntToStr(3);\nb := 'b';\nb := b + ', ' + x;\nQ1.SQL.Text := 'SELECT * FROM t WHERE a in ' + a;\nQ1.SQL.Text := 'SELECT * FROM t WHERE a in ' + b;¶"),
     "two_steps": ("procedure Run(const x: string);\nvar a, b, c: string;", "a := x;\nb := a;\nc := b + 'x';\nQ1.SQL.Text := 'SELECT * FROM t WHERE a = ' + c;¶\nQ1.SQL.Text := 'SELECT * FROM t WHERE a = ' + (('x') + 'y');"),
+    "command": ("procedure Run(const n: string);\nvar c, d: string;", "c := 'dir';\nd := c + n;\nShellExecute(0, 'open', PChar('cmd /c ' + c), nil, nil, 1);\nShellExecute(0, 'open', PChar('cmd /c ' + d), nil, nil, 1);¤\nWinExec('del ' + Edit1.Text, 0);¤"),
+    "path": ("procedure Run(const n: string);\nvar p, q: string;", "p := edName.Text;\nq := n;\nF := TFileStream.Create('data\\' + p, 0);§\nF := TFileStream.Create('data\\' + q, 0);\nF := TFileStream.Create(p, 0);\nList.LoadFromFile('data\\' + ParamStr(1));§\nAssignFile(g, Base + Request.QueryFields.Values['f']);§"),
     "unknown_helper": ("procedure Run(const x: string);", "Q.SQL.Text := 'SELECT * FROM t WHERE a = ' + Mangle(x);¶"),
 }
 
@@ -71,12 +75,12 @@ def unit(case: str) -> str:
 @pytest.fixture(scope="module")
 def found(spark):
     """All cases are scanned at once, as the rules are made for."""
-    t = files.tables(files.in_memory(spark, {f"{case}.pas": unit(case).replace(MARK, "") for case in CASES}))
-    rows = analysis.raw_findings(t, {"SQLInjection", "CommandInjection"}).select("file_id", "line", "kind").collect()
-    return {(r["file_id"], r["line"]) for r in rows if r["kind"] == "SQLInjection"}
+    t = files.tables(files.in_memory(spark, {f"{case}.pas": re.sub("[¶¤§]", "", unit(case)) for case in CASES}))
+    rows = analysis.raw_findings(t, {*MARKS.values()}).select("file_id", "line", "kind").collect()
+    return {(r["file_id"], r["line"], r["kind"]) for r in rows}
 
 
 @pytest.mark.parametrize("case", list(CASES))
 def test_injection(found, case):
-    want = {n for n, line in enumerate(unit(case).splitlines(), 1) if MARK in line}
-    assert {line for name, line in found if name == f"{case}.pas"} == want
+    want = {(n, kind) for n, line in enumerate(unit(case).splitlines(), 1) for mark, kind in MARKS.items() if mark in line}
+    assert {(line, kind) for name, line, kind in found if name == f"{case}.pas"} == want

@@ -6,10 +6,9 @@ import html
 import json
 import os
 import re
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import findings, scoring
@@ -42,42 +41,40 @@ def sarif_results(found: DataFrame) -> DataFrame:
 
 
 def sarif(found: DataFrame, path: str) -> None:
-    """One SARIF file. Results are written as parts beside it by the executors and joined by name; read errors are notifications.
-
-    A folder that the executors share stands in for the file until all parts are there.
-    """
+    """One SARIF file in any store that Spark writes to. Executors write results as parts, which are joined as streams; read errors are notifications."""
     rules = [{"id": r.rule_id, "name": r.kind, "defaultConfiguration": {"level": {0: "error", 1: "warning", 2: "note"}[r.severity]}, "properties": {"type": r.type}} for r in catalogue.RULES.values()]
     note = F.struct(F.lit("error").alias("level"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("file_id").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"))
     notes = found.where(F.col("kind") == findings.EXEMPT).select(F.to_json(note).alias("value"))
     head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "sparkquarry", "rules": ' + json.dumps(rules) + '}}, "invocations": [{"executionSuccessful": true, "toolExecutionNotifications": ['
     tables = [notes.orderBy("value"), sarif_results(found).orderBy("file_id", "line", "value").select("value")]
-    with open(path, "wb") as out:
-        out.write(head.encode())
-        for table, after in zip(tables, [b']}], "results": [', b"]}]}\n"], strict=True):
-            first = True
-            for part in _parts(table):
-                with part:
-                    while block := part.readline():
-                        out.write((b"\n" if first else b",\n") + block.rstrip(b"\n"))
-                        first = False
-            out.write(after)
-
-
-def _parts(table: DataFrame):
-    """The text parts of a table in order, as open streams; the executors have written them to the shared folder."""
-    spark = table.sparkSession
-    folder = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
-    table.write.text(folder)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    with tempfile.TemporaryDirectory() as own:
-        for status in sorted(fs.listStatus(root), key=lambda x: x.getPath().getName()):
-            name = status.getPath().getName()
-            if name.startswith("part-") and status.getLen():
-                fs.copyToLocalFile(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{own}/{name}"))
-                yield open(f"{own}/{name}", "rb")
-    fs.delete(root, True)
+    _joined(found.sparkSession, path, [head, tables[0], ']}], "results": [', tables[1], "]}]}\n"])
+
+
+def _joined(spark: SparkSession, path: str, pieces: list[str | DataFrame]) -> None:
+    """One file of texts and of tables' rows (value), these parted by commas. The rows go from the shared folder to the file as streams, part by part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    target = hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    store.setWriteChecksum(False)
+    out = store.create(target, True)
+    try:
+        for piece in pieces:
+            if isinstance(piece, str):
+                out.write(bytearray(piece.encode()))
+                continue
+            folder = hadoop.fs.Path(f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}")
+            piece.select(F.concat(F.lit(","), "value").alias("value")).write.text(folder.toString())
+            own = folder.getFileSystem(conf)
+            parts = sorted((x for x in own.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getLen()), key=lambda x: x.getPath().getName())
+            for i, part in enumerate(parts):
+                stream = own.open(part.getPath())
+                stream.skip(0 if i else 1)  # no comma before the first row
+                hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                stream.close()
+            own.delete(folder, True)
+    finally:
+        out.close()
 
 
 def sonar_issues(found: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def sonar_issues(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(effort), "kind").select(F.to_json(issue).alias("value"))
 
 
-def sonar_push(found: DataFrame, project: str, name: str = "sca-findings.json") -> str:
+def sonar_push(found: DataFrame, project: str, name: str = "findings.json") -> str:
     """Issues for a scanner to pick up: the one JSON file in a project's .sonar/external; those of earlier runs go. Returns its path."""
     folder = os.path.join(project, ".sonar", "external")
     os.makedirs(folder, exist_ok=True)
@@ -99,15 +96,7 @@ def sonar_push(found: DataFrame, project: str, name: str = "sca-findings.json")
         if old.endswith(".json"):
             os.remove(os.path.join(folder, old))
     path = os.path.join(folder, re.sub(r'[\\/:*?"<>|]', "_", name)[:80])
-    first = True
-    with open(path, "wb") as out:
-        out.write(b'{"issues": [')
-        for part in _parts(sonar_issues(found)):
-            with part:
-                while block := part.readline():
-                    out.write((b"\n" if first else b",\n") + block.rstrip(b"\n"))
-                    first = False
-        out.write(b"]}\n")
+    _joined(found.sparkSession, f"file:{os.path.abspath(path)}", ['{"issues": [', sonar_issues(found), "]}\n"])
     return path
 
 

@@ -30,7 +30,7 @@ def form_components(spark, sf_dir):
 
 
 def form_properties(spark, sf_dir):
-    return _tables(spark).prop
+    return _tables(spark).prop.drop("bits")
 
 
 def source_facts(spark, sf_dir):

@@ -84,20 +84,52 @@ def test_an_older_version_that_comes_later_is_dropped(spark, tmp_path, rocks):
     assert sorted(got) == [(0, "a.pas", "a1", 1), (0, "b.pas", "b1", 1), (1, "b.pas", "b2", 2), (2, "a.pas", "a4", 2)]
 
 
-def test_a_version_waits_until_it_is_quiet(spark, tmp_path, rocks):
-    got: list[tuple] = []
-    versions(spark, tmp_path, 0, [("a.pas", "2024-01-01 10:00:00", "a1")])
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
-    stream = watch.newest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), quiet_ms=8000)
-    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend((r["file_id"], bytes(r["content"]).decode(), r["generation"]) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="500 milliseconds").start()
-    try:
-        until = time.time() + 60  # batches go on without rows, so the stream is never done with all of them
-        while not any(p["numInputRows"] for p in query.recentProgress) and time.time() < until:
-            time.sleep(0.2)
-        versions(spark, tmp_path, 1, [("a.pas", "2024-01-01 10:00:01", "a2")])
-        until = time.time() + 90
-        while ("a.pas", "a2", 2) not in got and time.time() < until:
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    assert got[-1] == ("a.pas", "a2", 2) and len(got) <= 2  # a slow machine may tell the first one before it reads the second
+class Held:
+    """A value state, and timers, as the processor sees them."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValueState(self, name, schema, **ttl):
+        return Held()
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_a_version_waits_until_it_is_quiet():
+    """Versions that come while one waits take its place; the last one is told when its timer ends, a stale one never."""
+    import pandas as pd
+
+    handle, processor = Held(), watch.Newest(quiet_ms=100)
+    processor.init(handle)
+    rows = lambda t, x: iter([pd.DataFrame({"modificationTime": [pd.Timestamp(t)], "length": [len(x)], "content": [x.encode()]})])
+    assert list(processor.handleInputRows(("a.pas",), rows("2024-01-01 10:00:00", "a1"), Clock(1000))) == [] and handle.timers == {1100}
+    assert list(processor.handleInputRows(("a.pas",), rows("2024-01-01 10:00:01", "a2"), Clock(1050))) == [] and handle.timers == {1150}
+    assert list(processor.handleInputRows(("a.pas",), rows("2024-01-01 09:00:00", "old"), Clock(1060))) == [] and handle.timers == {1150}
+    told = list(processor.handleExpiredTimer(("a.pas",), Clock(1150), None))
+    assert [(r.file_id, r.content, r.generation) for pdf in told for r in pdf.itertuples()] == [("a.pas", b"a2", 2)]
+    assert list(processor.handleExpiredTimer(("a.pas",), Clock(1150), None)) == []

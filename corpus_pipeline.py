@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkquarry.llm import stages
-from sparkquarry.llm.storage import written
+from sparkquarry.llm.storage import as_written
 
 STAGES = [
     ("quality_classifier", stages.quality_filter),
@@ -23,5 +23,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each reads what the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = as_written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

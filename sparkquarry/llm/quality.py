@@ -202,7 +202,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
                 packed.append((at.astype("<i4").tobytes(), row[at].astype("<f4").tobytes()))
             yield pd.DataFrame({"label": pdf["label"], "stats": [r.tobytes() for r in stats], "at": [p[0] for p in packed], "value": [p[1] for p in packed]})
 
-    sample = written(labelled_sample(docs, labels, label, parts, held_out, s.rows).mapInPandas(run, "label int, stats binary, at binary, value binary"), "quality-sample")
+    sample = written(labelled_sample(docs, labels, label, parts, held_out, s.rows).mapInPandas(run, "label int, stats binary, at binary, value binary"), "quality-sample", 500)
     got = sample.orderBy("stats", "at", "value", "label").toPandas()
     stats = np.array([np.frombuffer(bytes(b)) for b in got["stats"]]).reshape(len(got), len(STATISTICS))
     hashed = np.zeros((len(got), s.hashed), np.float32)

@@ -13,6 +13,8 @@ from . import exact, minhash, packing, quality, toxicity
 from .storage import BITS, bitmap, written
 
 CAPACITIES = [512, 1024, 2048, 4096, 8192]
+#: Whole texts that a classifier's Python worker gets at a time. Both classifiers write what they keep, since only the action that runs a plan sets this.
+TEXTS = 1000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +40,13 @@ def _within(docs: DataFrame, bitmaps: list[np.ndarray]) -> Column:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality."""
     machine = quality.learned(_documents(spark, sf_dir), _labels(spark, sf_dir), "quality", 3, 1)
-    return docs.where(quality.predicted(machine, docs)("text") == 1)
+    return written(docs.where(quality.predicted(machine, docs)("text") == 1), "good", TEXTS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic."""
     lexicon = toxicity.learned(_documents(spark, sf_dir), _labels(spark, sf_dir), "toxic", 5, 0)
-    return docs.where(toxicity.predicted(lexicon)("text") == 0)
+    return written(docs.where(toxicity.predicted(lexicon)("text") == 0), "clean", TEXTS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

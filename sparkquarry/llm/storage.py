@@ -21,28 +21,38 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that Python workers get at a time where `batch` is given, and of a table's row groups: what a task holds doesn't follow the files it reads.
+SENT = 8 << 20
+ROW_GROUP = 32 << 20
 
 
 def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
     """The same rows read back from a table: later steps neither recompute them nor need the executors that made them.
 
-    batch: rows that Python workers get at a time while the table is made, where rows are large.
+    batch: rows that Python workers get at a time while the table is made, where rows are large; and SENT bytes, about.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
+    held = {BATCH: str(batch), BATCH_BYTES: str(SENT)} if batch else {}
+    before = {k: spark.conf.get(k) for k in held}
     try:
-        if batch:
-            spark.conf.set(BATCH, str(batch))
-        df.write.parquet(path)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
 
 
+def as_written(df: DataFrame, name: str) -> DataFrame:
+    """df itself if written() made it, else its rows read back."""
+    return df if hasattr(df, "_table_path") else written(df, name)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for table in tables:

@@ -148,7 +148,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
 
     # Of copies one stays, the least, so that a text with many copies doesn't make its rare words look like a pattern.
     sample = labelled_sample(docs, labels, label, parts, held_out, s.rows)
-    sample = written(sample.mapInPandas(fold, "text string, label int, rough long").groupBy("rough", "label").agg(F.min("text").alias("text")), "toxicity-sample")
+    sample = written(sample.mapInPandas(fold, "text string, label int, rough long").groupBy("rough", "label").agg(F.min("text").alias("text")), "toxicity-sample", 500)
     size = dict(sample.groupBy("label").count().collect())
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:

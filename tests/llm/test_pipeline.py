@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkquarry.llm import packing, stages
-from sparkquarry.llm.storage import written
+from sparkquarry.llm.storage import BATCH, BATCH_BYTES, SENT, written
 
 SF = "/root/testdata/sf0.01"
 
@@ -92,3 +96,30 @@ def test_null_rows_and_empty_table(spark, tmp_path):
         assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in docs.collect()} | {None, 7000}
         if name in ("exact_dedup", "minhash_dedup", "best_fit_packing"):
             assert 7000 in {r["doc_id"] for r in got}
+
+
+def test_classifiers_get_bounded_batches(spark, monkeypatch):
+    """However many rows or bytes one partition has, a worker gets TEXTS rows and about SENT bytes at a time; no row is lost."""
+
+    def strict(*_):
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                if len(texts) > stages.TEXTS or texts.str.len().sum() > 2 * SENT:
+                    raise ValueError(f"{len(texts)} texts of {texts.str.len().sum()} characters at once")
+                yield texts.str.startswith("x").astype("int32")
+
+        return F.pandas_udf(run, "int")
+
+    monkeypatch.setattr(stages.quality, "learned", lambda *_: None)
+    monkeypatch.setattr(stages.toxicity, "learned", lambda *_: None)
+    monkeypatch.setattr(stages.quality, "predicted", strict)
+    monkeypatch.setattr(stages.toxicity, "predicted", strict)
+    before = {k: spark.conf.get(k) for k in (BATCH, BATCH_BYTES)}
+    many = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "if(id % 2 = 0, 'x', 'y') as text")
+    long = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat(if(id % 2 = 0, 'x', 'y'), 100000) as text")
+    for docs, n in ((many, 2500), (long, 200)):
+        good, clean = stages.quality_filter(spark, docs, SF), stages.toxicity_filter(spark, docs, SF)
+        assert good.columns == clean.columns == docs.columns
+        assert good.selectExpr("count(*)", "sum(doc_id % 2)").first() == (n, 0)
+        assert clean.selectExpr("count(*)", "sum(doc_id % 2)").first() == (n, n)
+    assert before == {k: spark.conf.get(k) for k in (BATCH, BATCH_BYTES)}

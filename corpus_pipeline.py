@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkquarry.llm import stages
-from sparkquarry.llm.storage import as_written
+from sparkquarry.llm.storage import as_written, release
 
 STAGES = [
     ("quality_classifier", stages.quality_filter),
@@ -20,8 +20,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each reads what the one before it wrote."""
+    """All stages in turn; each reads what the one before it wrote, which goes when the next has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = as_written(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, as_written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(last)
     return STAGES[-1][1](spark, docs, sf_dir)

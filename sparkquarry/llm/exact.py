@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BITS, bitmap, lookup, written
+from .storage import BITS, Packed, bitmap, lookup, written
 
 #: Characters of a text that the second step hashes, and bits of a bitmap at most.
 PREFIX = 256
@@ -41,7 +41,7 @@ def _shared(classes: DataFrame, bits: int) -> np.ndarray:
 
 def _among(spark, bitmaps: list[np.ndarray], *numbers: Column) -> Column:
     """How many of the bitmaps, from the first on, have the bit of their number set. One Python worker a task looks at all of them."""
-    sent = spark.sparkContext.broadcast(bitmaps)
+    sent = spark.sparkContext.broadcast([Packed(bits) for bits in bitmaps])
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:

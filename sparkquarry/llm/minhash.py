@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import BITS, bitmap, lookup, release, written
+from .storage import BITS, Packed, bitmap, lookup, release, written
 
 WORDS = 5
 TREES = 10
@@ -301,7 +301,7 @@ def _likely(texts: DataFrame, rows: int) -> DataFrame:
     spark = texts.sparkSession
     limit = max(SMALL, rows // LARGE_NODES)
     sized = written(_paths(texts, [], []).groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "nodes")
-    shared = spark.sparkContext.broadcast(_bits(sized))
+    shared = spark.sparkContext.broadcast(Packed(_bits(sized)))
     large = sized.where(F.col("m") > limit).toPandas().sort_values("path")
     release(sized)
     stars = None
@@ -461,7 +461,7 @@ def _open(texts: DataFrame, rows: int) -> list[DataFrame]:
     bits = _bits(every.where("parts > 1"))
     release(*mixed_nodes)
     at_end = len(branch) == DEPTH  # large nodes of the last level don't branch
-    sent = spark.sparkContext.broadcast((bits, branch, done))
+    sent = spark.sparkContext.broadcast((Packed(bits), branch, done))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, branch, done = sent.value
@@ -522,7 +522,7 @@ def _copies(pairs: str):
 
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts that pairs name and a few more, once each: a bitmap of fixed size keeps the others out of the shuffle."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))))
+    bits = docs.sparkSession.sparkContext.broadcast(Packed(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit")))))
 
     def there(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for k in batches:

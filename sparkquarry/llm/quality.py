@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import labelled_sample, remainder
-from .storage import written
+from .storage import release, written
 
 BLOCK = 64
 SPACE, UPPER, LOWER, DIGIT, MARK, HIGH = range(6)
@@ -204,6 +204,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
 
     sample = written(labelled_sample(docs, labels, label, parts, held_out, s.rows).mapInPandas(run, "label int, stats binary, at binary, value binary"), "quality-sample", 500)
     got = sample.orderBy("stats", "at", "value", "label").toPandas()
+    release(sample)
     stats = np.array([np.frombuffer(bytes(b)) for b in got["stats"]]).reshape(len(got), len(STATISTICS))
     hashed = np.zeros((len(got), s.hashed), np.float32)
     for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +28,33 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.
 #: Bytes that Python workers get at a time where `batch` is given, and of a table's row groups: what a task holds doesn't follow the files it reads.
 SENT = 8 << 20
 ROW_GROUP = 32 << 20
+#: Shuffle files go when an action ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, batch: int = 0) -> DataFrame:
     """The same rows read back from a table: later steps neither recompute them nor need the executors that made them.
 
     batch: rows that Python workers get at a time while the table is made, where rows are large; and SENT bytes, about.
+    What was shuffled to make the table is deleted.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    held = {BATCH: str(batch), BATCH_BYTES: str(SENT)} if batch else {}
-    before = {k: spark.conf.get(k) for k in held}
-    try:
-        for k, v in held.items():
-            spark.conf.set(k, v)
+    with settings(spark, {CLEANUP: "true"} | ({BATCH: str(batch), BATCH_BYTES: str(SENT)} if batch else {})):
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -92,10 +104,25 @@ BITS = 1 << 26
 def bitmap(bits: DataFrame, size: int = BITS) -> np.ndarray:
     """Bytes with the bits that a column `bit` of numbers below size names. At most size / 8 bytes reach the driver."""
     number = F.col("bit") + 1  # these functions count from 1
-    packed = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    with settings(bits.sparkSession, {CLEANUP: "true"}):
+        packed = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect()
     out = np.zeros(size // 8, np.uint8)
-    for row in packed.collect():
+    for row in packed:
         at = (row["part"] - 1) * 4096
         block = np.frombuffer(bytes(row["bits"]), np.uint8)
         out[at : at + len(block)] = block[: len(out) - at]
     return out
+
+
+class Packed:
+    """Pickles a bitmap packed, as the bitmap itself: each executor writes what is broadcast to its disk, and few rows leave most bytes 0."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (zlib.compress(self.bits, 1),)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import labelled_sample, remainder
-from .storage import written
+from .storage import release, written
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -152,6 +152,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
     size = dict(sample.groupBy("label").count().collect())
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
+        release(sample)
         return Lexicon()
     least = max(min(s.least_documents, bad), int(s.least_share * bad))
 
@@ -212,6 +213,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out
     found = sample.mapInPandas(phrases, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     lexicon.exceptions = sorted(r["pattern"] for r in found.where((F.col("c") >= s.least_documents) & (F.col("c") >= 10 * F.col("t"))).collect())
     x = sample.mapInPandas(_measure(lexicon, ["label"]), "label int, raw double, words long").toPandas().sort_values(["raw", "words", "label"])
+    release(sample)
     lexicon.calibration = _calibrated(x["raw"].to_numpy(), x["words"].to_numpy(), x["label"].to_numpy(), s.steps)
     return lexicon
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+import time
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkquarry.llm import packing, stages
-from sparkquarry.llm.storage import BATCH, BATCH_BYTES, SENT, written
+from sparkquarry.llm import packing, stages, storage
+from sparkquarry.llm.storage import BATCH, BATCH_BYTES, BITS, CLEANUP, SENT, Packed, bitmap, written
 
 SF = "/root/testdata/sf0.01"
 
@@ -123,3 +127,43 @@ def test_classifiers_get_bounded_batches(spark, monkeypatch):
         assert good.selectExpr("count(*)", "sum(doc_id % 2)").first() == (n, 0)
         assert clean.selectExpr("count(*)", "sum(doc_id % 2)").first() == (n, n)
     assert before == {k: spark.conf.get(k) for k in (BATCH, BATCH_BYTES)}
+
+
+def _shuffled(spark) -> int:
+    """Files of shuffles in the folders of the driver, which runs the tasks of tests."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(p.name.startswith("shuffle_") for d in folders for p in Path(d).rglob("*"))
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """A written table, and a bitmap, keep nothing of what was shuffled to make them; nor does the setting stay."""
+    was = spark.conf.get(CLEANUP)
+    counted = spark.range(0, 100_000, 1, 4).selectExpr("id % 1000 as bit").groupBy("bit").count()
+    before = _shuffled(spark)
+    table = written(counted, "counted")
+    assert np.unpackbits(bitmap(counted.select("bit"))).sum() == 1000
+    deadline = time.time() + 20  # files go beside the caller
+    while (left := _shuffled(spark)) > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert left <= before
+    assert table.selectExpr("sum(count)").first()[0] == 100_000
+    assert spark.conf.get(CLEANUP) == was
+
+
+def test_bitmaps_are_sent_packed():
+    """Executors write what is broadcast to disk; few bits take few bytes, and workers get the same bitmap."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    bits[:: len(bits) // 1000] = 5
+    data = pickle.dumps(Packed(bits))
+    assert len(data) < len(bits) / 50
+    assert (pickle.loads(data) == bits).all()
+
+
+def test_tables_go_when_nothing_reads_them(spark, monkeypatch, tmp_path):
+    """Samples that classifiers are fitted on, and in the whole pipeline what stages before the last one wrote."""
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "stage-minhash_dedup" in names
+    assert not names & {"quality-sample", "toxicity-sample", "good", "clean", "stage-exact_dedup"}
+    assert got.count() > 0
